@@ -3,24 +3,49 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own = ""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; only where that is unset (local tests) one of our own."""
+    global _own
+    if shared := spark.conf.get("spark.checkpoint.dir", ""):
+        return shared
+    _own = _own or tempfile.mkdtemp(prefix="tesela-")
+    return f"file://{_own}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the cluster's checkpoint folder, so that lost executors lose nothing.
+    """``df`` computed once and written as a table in the cluster's shared folder, so that lost executors lose nothing.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) is one made.
+    A written table is read with column pruning and carries neither lineage nor the constraints of earlier plans,
+    which iterative jobs would otherwise pile up.  The files go when the application ends, or with :func:`discard`.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tesela-checkpoint-"))
-    return df.checkpoint()
+    path = f"{_shared_folder(spark)}/tesela-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a checkpointed table that nothing will read again."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def utf8(name: str) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, utf8
+from .common import checkpointed, discard, utf8
 from .textkit import LOWER, Words, slices, windows
 
 #: Low bits kept of each minimum, lanes in a long.
@@ -178,10 +178,14 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
         lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
         jump = labels.select(F.col("node").alias("of"), F.col("component").alias("up"))
-        labels = checkpointed(lower.join(jump, F.col("component") == F.col("of"), "left").select("node", "old", F.least("component", F.coalesce("up", "component")).alias("component")))
+        after = checkpointed(lower.join(jump, F.col("component") == F.col("of"), "left").select("node", "old", F.least("component", F.coalesce("up", "component")).alias("component")))
+        discard(labels)
+        labels = after
         if labels.filter("old <> component").isEmpty():
+            discard(both)
             return labels.select("node", "component")
-        labels = labels.select("node", "component")
+        labels = after.select("node", "component")
+        labels.written_to = after.written_to
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 85, width: int = 5, lower: bool = True, bands: int = 25, rows: int = 5, slack: float = 0.25) -> DataFrame:
