@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .minhash import op4
+from .packing import op9
+from .rules import op1
 
 QUERIES = {
+    "op1_quality_rules": op1,
     "op4_minhash_near_dedup": op4,
+    "op9_mixture_packing": op9,
 }
 
 ORACLES: dict[str, str] = {}
