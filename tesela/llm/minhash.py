@@ -2,20 +2,20 @@
 
 1. Each text becomes its set of hashed word shingles.  Equal sets (exact copies and their like) collapse to one
    representative first, so a group of copies of any size costs one row from here on.
-2. A representative has ``bands * rows`` minima.  Bands of whole minima give bucket keys; of every minimum only
-   ``BITS`` low bits are kept, packed into longs.
+2. A representative has ``bands * rows`` minima; bands of whole minima give bucket keys.  One more hash deals the
+   shingles to ``LANES`` lanes (one-permutation MinHash), and of each lane's minimum only the lowest bit is kept; two
+   bits in a long tell empty, 0 and 1 apart, so that counting common bits compares two documents.
 3. Candidates come from buckets, without all pairs of a bucket: every member is paired with the bucket's hub, the
-   member that meets most others over all its buckets.  Packed signatures give a similarity by counting equal
-   lanes, corrected for lanes that agree by chance; pairs far below the threshold go without reading texts.
+   member that meets most others over all its buckets.  The packed signatures give a similarity, corrected for lanes
+   that agree by chance; pairs surely below the threshold go without reading texts.
 4. The rest is confirmed on full shingle sets, and confirmed links give components.
-5. Buckets whose members still lie in different components are worked off exactly: first the most promising pair of
-   each two components, then every remaining pair of members in different components.  No bucket is capped.
+5. Where members of a bucket still lie in different components, every pair of them across components that the
+   signatures don't rule out is confirmed too.  No bucket is capped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from .common import checkpointed, discard, utf8
 from .textkit import LOWER, Words, slices, windows
 
-#: Low bits kept of each minimum, lanes in a long.
-BITS = 2
-_LANES = 64 // BITS
+#: Lanes of the packed signature, each of two bits, and the longs they fill.
+LANES = 768
+LONGS = LANES * 2 // 64
+#: A pair is ruled out when its estimate is so many standard deviations below the threshold.
+SURE = 4.0
 #: Shingles whose minima are taken at once.
 _CHUNK = 1 << 14
 
@@ -83,18 +85,30 @@ def _minima(value: np.ndarray, bounds: np.ndarray, seeds: np.ndarray) -> np.ndar
         return out
 
 
-def _packed(minima: np.ndarray) -> np.ndarray:
-    """The low bits of each minimum, ``_LANES`` to a long."""
-    n, k = minima.shape
-    lanes = np.zeros((n, -(-k // _LANES), _LANES), np.uint64)
-    lanes.reshape(n, -1)[:, :k] = minima & np.uint32((1 << BITS) - 1)
-    return (lanes << (np.arange(_LANES, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64).view(np.int64)
+def _packed(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One bit of each lane's minimum as two bits of a long (01 for 0, 10 for 1, 00 for an empty lane); one row a set.
+
+    Lanes are ranges of the hash, so in a sorted set each lane's minimum is the first of its run.
+    """
+    out = np.zeros((len(bounds) - 1, LONGS), np.uint64)
+    if not len(value):
+        return out
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    lane = ((value >> np.uint64(32)) * np.uint64(LANES) >> np.uint64(32)).astype(np.int64)
+    first = np.ones(len(value), bool)
+    first[1:] = (lane[1:] != lane[:-1]) | (doc[1:] != doc[:-1])
+    value, lane, doc = value[first], lane[first], doc[first]
+    bit = np.uint64(1) << (np.uint64(2) * (lane % 32).astype(np.uint64) + (value & np.uint64(1)))
+    cell = doc * LONGS + lane // 32
+    new = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    out.reshape(-1)[cell[new]] = np.bitwise_or.reduceat(bit, new)
+    return out
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, width: int, lower: bool) -> DataFrame:
-    """doc_id, n_shingles, set_hi and set_lo (128 bits that name the set), keys (one long a band), packed (longs)."""
+    """doc_id, n_shingles, set_hi and set_lo (128 bits that name the set), keys (one long a band), s0... (the packed lanes)."""
     seeds = _seeds(bands * rows)
-    names = ["doc_id", "n_shingles", "set_hi", "set_lo", "keys", "packed"]
+    names = ["doc_id", "n_shingles", "set_hi", "set_lo", "keys", *(f"s{i}" for i in range(LONGS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -113,31 +127,44 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int, lower: bool)
                     for r in range(rows):
                         keys = (keys ^ blocks[:, :, r] * salt[0, r]) * salt[1, r]
                         keys ^= keys >> np.uint64(31)
-                    packed = _packed(minima)
+                    packed = _packed(value, cut).view(np.int64)
                     wide = lambda m, t: pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), pa.array(m.ravel().view(t)))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(name[0].view(np.int64)), pa.array(name[1].view(np.int64)), wide(keys, np.int64), wide(packed, np.int64)], names
+                        [batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(name[0].view(np.int64)), pa.array(name[1].view(np.int64)), wide(keys, np.int64), *(pa.array(np.ascontiguousarray(c)) for c in packed.T)], names
                     )
 
-    return docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_hi long, set_lo long, keys array<long>, packed array<long>")
+    return docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_hi long, set_lo long, keys array<long>, " + ", ".join(f"s{i} long" for i in range(LONGS)))
+
+
+def filled_lanes(prefix: str = "s") -> Column:
+    return sum((F.bit_count(f"{prefix}{i}") for i in range(1, LONGS)), F.bit_count(f"{prefix}0"))
 
 
-def estimate(a: Column, b: Column, lanes: int) -> Column:
-    """The similarity two packed signatures tell: the share of equal lanes, less what chance makes equal."""
-    low = sum(1 << i for i in range(0, 64, BITS))
-    low = low - (1 << 64) if low >= 1 << 63 else low
-    unequal = None
-    for i in range(-(-lanes // _LANES)):
-        x = a[i].bitwiseXOR(b[i])
-        lane = reduce(lambda u, v: u.bitwiseOR(v), [x if k == 0 else F.shiftrightunsigned(x, k) for k in range(BITS)])
-        count = F.bit_count(lane.bitwiseAND(F.lit(low)))
-        unequal = count if unequal is None else unequal + count
-    chance = 1.0 / (1 << BITS)
-    return (1.0 - unequal / F.lit(float(lanes)) - chance) / (1.0 - chance)
+def common_bits(a: str, b: str) -> Column:
+    """Bits that the lanes ``{a}0...`` and ``{b}0...`` of two documents share."""
+    return sum((F.bit_count(F.col(f"{a}{i}").bitwiseAND(F.col(f"{b}{i}"))) for i in range(1, LONGS)), F.bit_count(F.col(f"{a}0").bitwiseAND(F.col(f"{b}0"))))
+
+
+def needed_bits(a: str, b: str, similarity: float, sure: float = SURE) -> Column:
+    """How many common bits two documents of that similarity have, less ``sure`` standard deviations.
+
+    From ``f_{side}`` (filled lanes) and ``n_{side}`` (set size).  Common bits are the lanes with one minimum and, by
+    chance, half of those that both fill with different ones; the expectation corrects for these.
+    """
+    lanes = F.col(f"f_{a}").cast("double") + F.col(f"f_{b}")
+    half = lanes / 2.0
+    part = similarity / (1.0 + similarity)
+    # Lanes both fill with different minima, from lanes of about equal number.
+    clash = (half - lanes * part) * (half - lanes * part) / (F.lit(LANES + 1.0) - lanes * part)
+    same = (lanes - clash) * part
+    # Lanes sample the union without replacement: what they hold of it needs no guess.
+    unseen = F.greatest(F.lit(0.03), 1.0 - lanes / (F.col(f"n_{a}") + F.col(f"n_{b}")))
+    variance = similarity * (1.0 - similarity) * unseen * (lanes - same) + clash * 0.25 + 1.0
+    return same + clash / 2.0 - sure * F.sqrt(variance)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, threshold: float, width: int, lower: bool) -> DataFrame:
-    """Of pairs (a, b) of doc_id those whose full sets have a similarity of ``threshold`` hundredths or more."""
+def confirmed(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, lower: bool) -> DataFrame:
+    """Of pairs (a, b) of ids in ``texts`` (id, text) those whose full sets have a similarity of ``threshold`` hundredths or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,10 +184,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: float, width: int, l
                     keep.append(100 * both >= threshold * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), utf8("text").alias("text"))
     return (
-        pairs.join(text.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        .join(text.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+        pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
         .select("a", "b", "ta", "tb")
         .mapInArrow(run, "a long, b long")
     )
@@ -188,7 +214,7 @@ def components(links: DataFrame) -> DataFrame:
         labels.written_to = after.written_to
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 85, width: int = 5, lower: bool = True, bands: int = 25, rows: int = 5, slack: float = 0.25) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 85, width: int = 5, lower: bool = True, bands: int = 25, rows: int = 5) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): n_shingles, component_id, kept, n_links.
 
     Two documents are linked when ``100 * |A & B| >= threshold * |A | B|`` over their sets of ``width``-word
@@ -196,8 +222,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 85, width: int = 5, lowe
     over links; ``kept`` says that it is the document's own; n_links counts confirmed links of the document's
     representative (links found redundant are not tried).
 
-    With 25 bands of 5, a pair at the threshold of 85 shares no band with a probability of 4e-7.  A pair is dropped
-    unread only when its estimate is ``slack`` below the threshold, over 6 standard deviations of 125 2-bit lanes.
+    With 25 bands of 5, a pair at the threshold of 85 shares no band with a probability of 4e-7, and the lanes rule
+    out one just at the threshold with a probability of 3e-5; both fall steeply above it.
 
     Null or wordless texts have no shingles and link with nothing.  Rows without doc_id link with nothing and come
     back with a null component, kept.  A repeated row gives a repeated result.  Other columns of ``docs`` are ignored;
@@ -207,68 +233,44 @@ def near_duplicates(docs: DataFrame, threshold: float = 85, width: int = 5, lowe
     filled = sign.filter("n_shingles > 0 and doc_id is not null")
     sets = checkpointed(filled.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")))
     # A document that is the smallest of its set stands for it; repeated rows of it are one.
-    reps = filled.join(sets.select(F.col("rep").alias("doc_id"), "set_hi", "set_lo"), ["doc_id", "set_hi", "set_lo"]).groupBy("doc_id", "set_hi", "set_lo").agg(F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("packed").alias("packed"))
-    reps = checkpointed(reps.select(F.col("doc_id").alias("rep"), "n", "keys", "packed"))
+    lanes = [f"s{i}" for i in range(LONGS)]
+    reps = filled.join(sets.select(F.col("rep").alias("doc_id"), "set_hi", "set_lo"), ["doc_id", "set_hi", "set_lo"]).dropDuplicates(["doc_id", "set_hi", "set_lo"])
+    reps = checkpointed(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), filled_lanes().alias("f"), "keys", *lanes))
 
     exploded = reps.select("rep", F.explode("keys").alias("key"))
     crowded = exploded.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     live = checkpointed(exploded.join(crowded, "key"))
     degree = live.groupBy("rep").agg(F.sum("members").alias("degree"))
-    ranked = live.join(degree, "rep")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("top")).select("key", (-F.col("top.r")).alias("hub"))
-    star = live.join(hubs, "key").filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-
-    side = lambda name: reps.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("packed").alias(f"packed_{name}"))
-    similar = lambda a, b: (estimate(a, b, bands * rows) >= threshold / 100 - slack)
-    sized = (F.lit(100) * F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b"))
-    probable = star.join(side("a"), "a").join(side("b"), "b").filter(sized).filter(similar(F.col("packed_a"), F.col("packed_b"))).select("a", "b")
-
-    links = tested = None
-
-    def test(pairs: DataFrame) -> bool:
-        """Confirm pairs; say whether there were any."""
-        nonlocal links, tested
-        pairs = checkpointed(pairs)
-        if pairs.isEmpty():
-            return False
-        tested = pairs if tested is None else tested.union(pairs)
-        found = checkpointed(confirmed(pairs, docs.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"), threshold, width, lower))
-        links = found if links is None else links.union(found)
-        return True
-
-    def labelled() -> DataFrame:
-        """live with the component of each member."""
-        if links is None:
-            return live.withColumn("component", F.col("rep"))
-        c = components(links)
-        return live.join(c, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-
-    def unresolved() -> DataFrame:
-        """Untested probable pairs (a < b) of members of one bucket that lie in different components."""
-        now = labelled()
-        mixed = now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
-        part = now.join(mixed, "key").join(side("rep"), "rep")
-        as_side = lambda s: part.select("key", F.col("rep").alias(s), F.col("component").alias(f"c_{s}"), F.col("n_rep").alias(f"n_{s}"), F.col("packed_rep").alias(f"packed_{s}"))
-        score = estimate(F.col("packed_a"), F.col("packed_b"), bands * rows)
-        pairs = as_side("a").join(as_side("b"), "key").filter("c_a < c_b").filter(sized).select("a", "b", "c_a", "c_b", score.alias("score")).filter(F.col("score") >= threshold / 100 - slack)
-        pairs = pairs.groupBy("a", "b").agg(F.first("c_a").alias("c_a"), F.first("c_b").alias("c_b"), F.first("score").alias("score"))
-        if tested is not None:
-            done = tested.select("a", "b").union(tested.select("b", "a"))
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        return pairs
-
-    test(probable)
-    best = unresolved().groupBy("c_a", "c_b").agg(F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("p")).select("p.a", "p.b")
-    if test(best):
-        test(unresolved().select("a", "b"))
+    hubs = live.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("top")).select("key", (-F.col("top.r")).alias("hub"))
+    star = live.select("key", "rep").join(hubs, "key").filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+
+    side = lambda name: reps.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("f").alias(f"f_{name}"), *[F.col(c).alias(f"{name}{c[1:]}") for c in lanes])
+    sized = F.lit(100) * F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")
+    probable = common_bits("a", "b") >= needed_bits("a", "b", threshold / 100)
+    # Only texts that share a bucket can be needed; they are picked once, whatever the number of pairs.
+    texts = checkpointed(docs.select(F.col("doc_id").cast("long").alias("id"), utf8("text").alias("text")).join(live.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi"))
+    tested: list[DataFrame] = []
+    links: list[DataFrame] = []
+
+    def test(pairs: DataFrame) -> None:
+        tested.append(checkpointed(pairs))
+        links.append(checkpointed(confirmed(tested[-1], texts, threshold, width, lower)))
+
+    test(star.join(side("a"), "a").join(side("b"), "b").filter(sized & probable).select("a", "b"))
+    joined = components(links[0])
+    now = checkpointed(live.join(joined, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component")))
+    mixed = now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
+    part = checkpointed(now.join(mixed, "key").join(reps.drop("keys"), "rep"))
+    facing = lambda name: part.select(F.col("key").alias(f"key_{name}"), F.col("rep").alias(name), F.col("component").alias(f"c_{name}"), F.col("n").alias(f"n_{name}"), F.col("f").alias(f"f_{name}"), *[F.col(c).alias(f"{name}{c[1:]}") for c in lanes])
+    rest = facing("a").join(facing("b"), (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b")) & sized & probable).select("a", "b").distinct()
+    done = tested[0].select("a", "b").union(tested[0].select("b", "a"))
+    test(rest.join(done, ["a", "b"], "left_anti"))
+    links = links[0].union(links[1])
 
     named = sets.select("set_hi", "set_lo", "rep")
-    if links is not None:
-        both = links.select("a", "b").union(links.select("b", "a")).distinct()
-        named = named.join(components(links), F.col("rep") == F.col("node"), "left").join(both.groupBy("a").agg(F.count("*").alias("links")), F.col("rep") == F.col("a"), "left")
-        named = named.select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    else:
-        named = named.select("set_hi", "set_lo", F.col("rep").alias("component"), F.lit(0).cast("long").alias("links"))
+    both = links.select("a", "b").union(links.select("b", "a")).distinct()
+    named = named.join(components(links), F.col("rep") == F.col("node"), "left").join(both.groupBy("a").agg(F.count("*").alias("links")), F.col("rep") == F.col("a"), "left")
+    named = named.select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     linked = filled.select("doc_id", "n_shingles", "set_hi", "set_lo").join(named, ["set_hi", "set_lo"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("links").alias("n_links"))
     alone = sign.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.union(alone).select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"), "n_links")

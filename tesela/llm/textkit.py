@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; bounds the temporary arrays (about 40 bytes for each byte of text).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _P = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1

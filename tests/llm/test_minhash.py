@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesela.llm.minhash import components, estimate, near_duplicates, op4, signatures
+from tesela.llm.minhash import LONGS, common_bits, components, filled_lanes, near_duplicates, needed_bits, op4, signatures
 from tesela.llm.textkit import Words, slices, windows, word_hash
 
 SCHEMA = "doc_id long, text string"
@@ -99,7 +100,7 @@ def test_nulls_repeats_empty_and_extra_columns(spark):
     schema = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("key", T.LongType()), ("rep", T.StringType()), ("a", T.LongType()))])
     assert near_duplicates(spark.createDataFrame([], schema)).count() == 0
     rows = [(None, "a b c d e f", 1, "x", 2), (1, "a b c d e f", None, None, None), (1, "a b c d e f", None, None, None), (2, "a b c d e f", 1, "x", 2)]
-    out = sorted(got(near_duplicates(spark.createDataFrame(rows, schema))) if False else [tuple(r) for r in near_duplicates(spark.createDataFrame(rows, schema)).select("doc_id", "component_id", "kept").collect()], key=str)
+    out = sorted([tuple(r) for r in near_duplicates(spark.createDataFrame(rows, schema)).select("doc_id", "component_id", "kept").collect()], key=str)
     assert out == sorted([(None, None, True), (1, 1, True), (1, 1, True), (2, 1, False)], key=str)
 
 
@@ -108,12 +109,22 @@ def test_components_of_a_long_path(spark):
     assert {tuple(r) for r in components(links).collect()} == {(i, 100) for i in range(100, 161)} | {(7, 7), (8, 7), (9, 7)}
 
 
-@pytest.mark.parametrize("shared", [100, 180, 200])
-def test_estimate_is_close(spark, shared):
-    words = [f"w{i}" for i in range(404 - shared)]
-    a, b = " ".join(words[:204]), " ".join(words[204 - shared - 4 : ] if shared < 200 else words[:204])
-    rows = signatures(spark.createDataFrame([(1, a), (2, b)], SCHEMA), 25, 5, 5, True).orderBy("doc_id")
-    x, y = shingles(a), shingles(b)
-    pair = rows.selectExpr("collect_list(packed) as p").selectExpr("p[0] as a", "p[1] as b")
-    told = pair.select(estimate(pair.a, pair.b, 125)).first()[0]
-    assert abs(told - len(x & y) / len(x | y)) < 0.2
+@pytest.mark.parametrize("scale", [0.2, 1, 20])
+def test_lanes_tell_close_pairs_from_far_ones(spark, scale):
+    """Pairs at the threshold are never ruled out; those of a similarity under 0.7 nearly always."""
+    rows, wanted = [], []
+    for k in range(40):
+        n = int(200 * scale)
+        for far in (False, True):
+            d = len(rows)
+            shared = round(n * (0.80 if far else 0.919)) if n > 50 else n - (4 if far else 1)
+            rows.append((d, " ".join(f"{k}{far}{i}" for i in range(n))))
+            rows.append((d + 1, " ".join(f"{k}{far}{i}" for i in range(n - shared, 2 * n - shared))))
+            x, y = shingles(rows[-2][1]), shingles(rows[-1][1])
+            wanted.append((d, len(x & y) / len(x | y)))
+    sign = signatures(spark.createDataFrame(rows, SCHEMA), 25, 5, 5, True).withColumn("f", filled_lanes()).cache()
+    sides = [sign.select((F.col("doc_id") - off).alias(f"id_{s}"), F.col("f").alias(f"f_{s}"), F.col("n_shingles").alias(f"n_{s}"), *[F.col(f"s{k}").alias(f"{s}{k}") for k in range(LONGS)]) for off, s in ((0, "a"), (1, "b"))]
+    told = {r[0]: r[1] for r in sides[0].join(sides[1], F.col("id_a") == F.col("id_b")).select("id_a", common_bits("a", "b") >= needed_bits("a", "b", 0.85)).collect()}
+    assert all(told[d] for d, j in wanted if j >= 0.85)
+    far = [told[d] for d, j in wanted if j < 0.7]
+    assert scale < 1 or far and sum(far) <= 0.1 * len(far)
