@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -237,7 +238,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 85, width: int = 5, lowe
     reps = filled.join(sets.select(F.col("rep").alias("doc_id"), "set_hi", "set_lo"), ["doc_id", "set_hi", "set_lo"]).dropDuplicates(["doc_id", "set_hi", "set_lo"])
     reps = checkpointed(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), filled_lanes().alias("f"), "keys", *lanes))
 
-    exploded = reps.select("rep", F.explode("keys").alias("key"))
+    exploded = reps.select("rep", F.posexplode("keys").alias("band", "key"))
     crowded = exploded.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     live = checkpointed(exploded.join(crowded, "key"))
     degree = live.groupBy("rep").agg(F.sum("members").alias("degree"))
@@ -258,11 +259,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 85, width: int = 5, lowe
 
     test(star.join(side("a"), "a").join(side("b"), "b").filter(sized & probable).select("a", "b"))
     joined = components(links[0])
-    now = checkpointed(live.join(joined, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component")))
+    now = checkpointed(live.join(joined, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component")))
     mixed = now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
-    part = checkpointed(now.join(mixed, "key").join(reps.drop("keys"), "rep"))
-    facing = lambda name: part.select(F.col("key").alias(f"key_{name}"), F.col("rep").alias(name), F.col("component").alias(f"c_{name}"), F.col("n").alias(f"n_{name}"), F.col("f").alias(f"f_{name}"), *[F.col(c).alias(f"{name}{c[1:]}") for c in lanes])
-    rest = facing("a").join(facing("b"), (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b")) & sized & probable).select("a", "b").distinct()
+    # Short forms of the keys tell whether a pair shares an earlier band too, so that it comes out once.
+    short = reps.withColumn("keys", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")))
+    part = checkpointed(now.join(mixed, "key").join(short, "rep"))
+    facing = lambda name: part.select(F.col("key").alias(f"key_{name}"), F.col("band").alias(f"band_{name}"), F.col("keys").alias(f"keys_{name}"), F.col("rep").alias(name), F.col("component").alias(f"c_{name}"), F.col("n").alias(f"n_{name}"), F.col("f").alias(f"f_{name}"), *[F.col(c).alias(f"{name}{c[1:]}") for c in lanes])
+    earliest = reduce(lambda x, y: x & y, [(F.col("band_a") <= i) | (F.col("keys_a")[i] != F.col("keys_b")[i]) for i in range(bands - 1)], F.lit(True))
+    rest = facing("a").join(facing("b"), (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b")) & sized & probable & earliest).select("a", "b").distinct()
     done = tested[0].select("a", "b").union(tested[0].select("b", "a"))
     test(rest.join(done, ["a", "b"], "left_anti"))
     links = links[0].union(links[1])
