@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from .crf import op2
+from .lines import OP5_SQL, op5
 from .minhash import op4
 from .packing import op9
 from .rules import op1
+from .substrings import OP10_SQL, op10
+from .toxicity import op8
+from .vafile import OP3_SQL, op3
 
 QUERIES = {
     "op1_quality_rules": op1,
+    "op2_quality_classifier": op2,
+    "op3_exact_top_k": op3,
     "op4_minhash_near_dedup": op4,
+    "op5_line_dedup": op5,
+    "op8_toxicity": op8,
     "op9_mixture_packing": op9,
+    "op10_substring_dedup": op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_exact_top_k": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_substring_dedup": OP10_SQL}
