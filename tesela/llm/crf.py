@@ -228,23 +228,31 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Field | None:
     return train(np.concatenate(lines).astype(float), np.concatenate([np.frombuffer(r.length, np.int64) for r in got]), first, np.array([r.label for r in got]))
 
 
-def quality_scores(docs: DataFrame, field: Field | None) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, score (probability of good), n_lines (with a word).
-
-    Texts without a word, null ones included, get the smoothed share of good among such training texts.  Without a
-    field (no labelled rows) every score is 0.5.  Repeated rows give repeated results, a null doc_id stays null, other
-    columns are ignored and an empty table gives an empty result.
-    """
+def with_scores(docs: DataFrame, field: Field | None) -> DataFrame:
+    """``docs`` (with a text column) with score and n_lines behind its columns, which they replace where names clash."""
+    columns = [c for c in docs.columns if c not in ("score", "n_lines")]
+    kept = docs.select(*[F.col(f"`{c}`") for c in columns])
+    at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, bounds in slices(batch.column(1)):
+            for lo, hi, data, bounds in slices(batch.column(at).cast(pa.binary())):
                 lines, length, doc = line_statistics(data, bounds)
                 first = np.searchsorted(doc, np.arange(hi - lo + 1))
                 score = field.score(lines.astype(float), length, first) if field else np.full(hi - lo, 0.5)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(score), pa.array(np.diff(first))], ["doc_id", "score", "n_lines"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(score), pa.array(np.diff(first))], [*columns, "score", "n_lines"])
+
+    return kept.mapInArrow(run, kept.withColumn("score", F.lit(0.5)).withColumn("n_lines", F.lit(0).cast("long")).schema)
 
-    return docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text")).mapInArrow(run, "doc_id long, score double, n_lines long")
+
+def quality_scores(docs: DataFrame, field: Field | None) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): doc_id, score (probability of good), n_lines (with a word).
+
+    Texts without a word, null ones included, get the smoothed share of good among such training texts.  Without a
+    field (no labelled rows) every score is 0.5.  Repeated rows give repeated results, a null doc_id stays null, other
+    columns are ignored and an empty table gives an empty result.
+    """
+    return with_scores(docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text")), field).select("doc_id", "score", "n_lines")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from .crf import op2
 from .lines import OP5_SQL, op5
 from .minhash import op4
+from .mixing import op7
 from .packing import op9
 from .rules import op1
 from .substrings import OP10_SQL, op10
+from .surrogates import op6
 from .toxicity import op8
 from .vafile import OP3_SQL, op3
 
@@ -17,6 +19,8 @@ QUERIES = {
     "op3_exact_top_k": op3,
     "op4_minhash_near_dedup": op4,
     "op5_line_dedup": op5,
+    "op6_pii_surrogates": op6,
+    "op7_soft_mixing": op7,
     "op8_toxicity": op8,
     "op9_mixture_packing": op9,
     "op10_substring_dedup": op10,
