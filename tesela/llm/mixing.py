@@ -12,25 +12,27 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, checkpointed, discard, table
 
-#: A few common insults in English; their rate is one of the statistics.
+#: A few common insults in English; how many of them a text holds is one of the statistics.
 INSULTS = ["idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown"]
 BINS = 8
 DIGITS = 3
 
 
 def _with_words(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``words`` (of the text in lower case) and ``n_tokens``: 0 for a null, empty or blank text."""
+    """``docs`` with ``words`` (of the text) and ``n_tokens``: 0 for a null, empty or blank text."""
     flat = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    spaced = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\n\t\r\x0b\x0c", F.col("text"))
-    words = flat.withColumn("words", F.filter(F.split(spaced, " "), lambda w: w != ""))
-    return words.withColumn("n_tokens", F.size("words").cast("long"))
+    # Replacing and splitting at one character each takes half the time of a regular expression.
+    spaced = F.col("text")
+    for c in "\n\t\r\x0b\x0c":
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    words = flat.withColumn("words", F.array_remove(F.split(spaced, " "), ""))
+    return words.withColumn("low", F.lower("text")).withColumn("n_tokens", F.size("words").cast("long"))
 
 
 def _density(chars: str) -> Column:
@@ -39,10 +41,10 @@ def _density(chars: str) -> Column:
     return sum((F.length("text") - F.length(F.replace(F.col("text"), F.lit(c), F.lit(""))) for c in chars[1:]), F.length("text") - F.length(F.replace(F.col("text"), F.lit(chars[0]), F.lit("")))) / n
 
 
-def statistics() -> Column:
-    """The dense statistics of a text, as one array."""
+def statistics() -> list[Column]:
+    """The dense statistics of a text.  They and all that follows compile to code; only whole arrays would not."""
     n = F.greatest(F.col("n_tokens"), F.lit(1))
-    return F.array(
+    return [
         F.log1p("n_tokens"),
         F.length("text") / n,
         _density("*#$%&"),
@@ -50,10 +52,14 @@ def statistics() -> Column:
         _density("|"),
         _density(".,"),
         _density("\n"),
-        F.size(F.filter("words", lambda w: w == F.upper(w))) / n,
         F.size(F.array_distinct("words")) / n,
-        F.size(F.array_intersect(F.split(F.regexp_replace(F.lower(F.array_join("words", " ")), "[.,!?]", ""), " "), F.array(*map(F.lit, INSULTS)))) / F.lit(1.0),
-    )
+        sum((F.contains("low", F.lit(w)).cast("int") for w in INSULTS[1:]), F.contains("low", F.lit(INSULTS[0])).cast("int")) / F.lit(1.0),
+    ]
+
+
+def _measured(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns to keep and s0, s1...: the statistics of ``text``."""
+    return _with_words(docs).select(*keep, *[v.cast("double").alias(f"s{k}") for k, v in enumerate(statistics())])
 
 
 class Classifier:
@@ -63,34 +69,35 @@ class Classifier:
         known = labelled.filter(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).groupBy(F.col("doc_id").cast("long").alias("chosen_id")).agg(F.min("domain").alias("domain"))
         chosen = F.broadcast(bounded_sample(known, "chosen_id", rows))
         sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id") == F.col("chosen_id")).select("domain", "text")
-        sample = checkpointed(_with_words(sample).select("domain", statistics().alias("x")))
+        sample = checkpointed(_measured(sample, "domain"))
         quantiles = [i / BINS for i in range(1, BINS)]
-        cuts = sample.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.percentile_approx("v", quantiles, 10_000).alias("q")).collect()
-        self.edges = [sorted(set(r.q)) for r in sorted(cuts)]
+        names = [c for c in sample.columns if c != "domain"]
+        cuts = sample.agg(*[F.percentile_approx(c, quantiles, 10_000).alias(c) for c in names]).first()
+        self.edges = [sorted(set(cuts[c] or [])) for c in names]
         self.domains = domains
         prior = {r.domain: r["count"] for r in sample.groupBy("domain").count().collect()}
-        counted = sample.select("domain", F.posexplode(self.binned(F.col("x"))).alias("k", "bin")).groupBy("k", "bin", "domain").count().collect() if cuts else []
+        bins = F.posexplode(F.array(*[b.cast("int") for b in self.bins()])).alias("k", "bin")
+        counted = sample.select("domain", bins).groupBy("k", "bin", "domain").count().collect()
         seen, total = {(r.k, r.bin, r.domain): r["count"] for r in counted}, sum(prior.values())
         self.base = [math.log((prior.get(d, 0) + 1) / (total + len(domains))) for d in domains]
         self.logs = [[[math.log((seen.get((k, b, d), 0) + 0.5) / (prior.get(d, 0) + 0.5 * (len(e) + 1))) for d in domains] for b in range(len(e) + 1)] for k, e in enumerate(self.edges)]
         discard(sample)
 
-    def binned(self, x: Column) -> Column:
+    def bins(self) -> list[Column]:
         """The bin of each statistic: how many edges lie under it."""
-        edges = F.array(*[F.array(*map(F.lit, e)) if e else F.array().cast("array<double>") for e in self.edges])
-        return F.zip_with(x, edges, lambda v, e: F.size(F.filter(e, lambda c: v > c)))
+        return [sum(((F.col(f"s{k}") > e).cast("int") for e in edges), F.lit(0)) for k, edges in enumerate(self.edges)]
 
     def posteriors(self, docs: DataFrame, columns: list[str]) -> DataFrame:
         """row (the given columns), doc_id, n_tokens and p (one posterior a domain, rounded to ``DIGITS``)."""
         scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-        if not self.logs:
-            even = F.array(*[F.lit(round(1 / len(self.domains), DIGITS)) for _ in self.domains])
-            return _with_words(scored).select("row", "doc_id", "n_tokens", even.alias("p"))
-        logs = F.array(*[F.array(*[F.array(*map(F.lit, b)) for b in k]) for k in self.logs])
-        scored = _with_words(scored).select("row", "doc_id", "n_tokens", self.binned(statistics()).alias("bins"))
-        scored = scored.withColumn("log", F.aggregate(F.zip_with("bins", logs, lambda b, t: F.get(t, b)), F.array(*map(F.lit, self.base)), lambda a, t: F.zip_with(a, t, lambda x, y: x + y)))
-        scored = scored.withColumn("raised", F.transform("log", lambda v: F.exp(v - F.array_max("log"))))
-        share = F.transform("raised", lambda v: F.round(v / F.aggregate("raised", F.lit(0.0), lambda a, x: a + x), DIGITS))
+        held = ["row", "doc_id", "n_tokens"]
+        scored = _measured(scored, *held).select(*held, *[b.alias(f"b{k}") for k, b in enumerate(self.bins())])
+        log = lambda d: sum((F.get(F.array(*[F.lit(w[d]) for w in weights]), F.col(f"b{k}")) for k, weights in enumerate(self.logs)), F.lit(self.base[d]))
+        scored = scored.select(*held, *[log(d).alias(f"l{d}") for d in range(len(self.domains))])
+        most = F.greatest(*[F.col(f"l{d}") for d in range(len(self.domains))]) if len(self.domains) > 1 else F.col("l0")
+        scored = scored.select(*held, *[F.exp(F.col(f"l{d}") - most).alias(f"r{d}") for d in range(len(self.domains))])
+        whole = sum((F.col(f"r{d}") for d in range(len(self.domains))), F.lit(0.0))
+        share = F.array(*[F.round(F.col(f"r{d}") / whole, DIGITS) for d in range(len(self.domains))])
         return scored.select("row", "doc_id", "n_tokens", share.alias("p"))
 
 
