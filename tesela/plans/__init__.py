@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import documents, tables
+
 FLAGSHIP = "pii_scan_counts"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = documents.QUERIES | tables.QUERIES
+ORACLES: dict[str, str] = documents.ORACLES | tables.ORACLES
