@@ -2,7 +2,7 @@
 
 1. One pass finds entities; only documents that hold some are kept aside with their texts, so other texts never move.
 2. Distinct entities (kind, normal form) get a candidate each from a keyed hash (HMAC-SHA-256), in the entity's own
-   format: digits for digits, letters for letters of their script and case, a name of the same gender and script.
+   format: digits for digits, letters for letters of their script (any of Unicode's) and case, a name of the same gender and script.
 3. Collision checks: a candidate that equals another entity of the data, or that another entity already holds, is
    drawn again with the next attempt number, until all are distinct.  Equal entities share one normal form, so that
    references stay together over all documents; distinct ones stay distinct.
@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -108,6 +109,20 @@ def entities(text: str) -> list[tuple[int, int, str, str, str]]:
     return out
 
 
+@cache
+def letters_like(c: str) -> str:
+    """Letters of a letter's script and case, in lower case if it has two: those near it in Unicode, of its category."""
+    if "Ѐ" <= c <= "ӿ":
+        return "абвгдежзиклмнопрстуфхцчшэюя"
+    if c <= "ɏ":
+        return "abcdefghijklmnopqrstuvwxyz"
+    c = c.lower() if len(c.lower()) == 1 else c
+    script = lambda x: unicodedata.name(x, "").split(" ")[0]
+    block = map(chr, range(ord(c) & ~0xFF, (ord(c) | 0xFF) + 1))
+    # Composed and compatibility forms are left out, and letters that don't come back from their upper case.
+    return "".join(x for x in block if x.isalpha() and unicodedata.category(x) == unicodedata.category(c) and script(x) == script(c) and unicodedata.normalize("NFKD", x) == x and x.upper().lower() == x) or c
+
+
 class Draw:
     """Numbers from a keyed hash of an entity and an attempt."""
 
@@ -131,7 +146,7 @@ class Draw:
             elif c.isdigit():
                 out.append(str(self.below(10)))
             elif c.isalpha():
-                letters = "абвгдежзиклмнопрстуфхцчшэюя" if "Ѐ" <= c <= "ӿ" else "abcdefghijklmnopqrstuvwxyz" if c <= "ɏ" else c
+                letters = letters_like(c)
                 x = letters[self.below(len(letters))]
                 out.append(x.upper() if c.isupper() else x)
             else:
@@ -140,39 +155,46 @@ class Draw:
 
 
 def surrogate(key: bytes, kind: str, name: str, hint: str, attempt: int) -> str:
-    """A candidate for an entity's normal form; later attempts give other ones."""
+    """A candidate for an entity's normal form; later attempts give other ones.
+
+    Every format has finitely many values, some a single one: attempts after the fourth are longer and keep growing, so
+    there is always room for one entity more.  An address (ip) can't grow and gets one of version 6.
+    """
     draw = Draw(key, kind, name, attempt)
+    longer = 4 + attempt // 4 if attempt > 3 else 0
+    own = next((c for c in reversed(name.partition("@")[0]) if c.isalpha()), "a")
     if kind == "email":
         local, _, domain = name.partition("@")
         labels = domain.split(".")
-        return draw.like(local) + "@" + ".".join([draw.like(labels[0]), *labels[1:]])
+        return draw.like(local) + draw.like(own * longer) + "@" + ".".join([draw.like(labels[0]), *labels[1:]])
+    if kind == "ip" and longer:
+        return "2001:db8:" + ":".join(f"{draw.below(1 << 16):04x}" for _ in range(6))
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "card":
-        body = name[0] + draw.like(name[1:-1])
+        body = name[0] + draw.like(name[1:-1] + "0" * longer)
         last = [str(d) for d in range(10) if luhn(body + str(d))][0]
         return body + (last if luhn(name) else str((int(last) + 1 + draw.below(9)) % 10))
     if kind in ("phone", "ssn"):
-        return "".join(str(2 + draw.below(8)) if i == 0 else str(draw.below(10)) for i in range(len(name)))
+        return "".join(str(2 + draw.below(8)) if i == 0 else str(draw.below(10)) for i in range(len(name) + longer))
     if kind == "iban":
-        return name[:2] + draw.like(name[2:])
+        return name[:2] + draw.like(name[2:] + "0" * longer)
     if kind == "access_key":
         head = re.match(r"[A-Za-z]+[_-]?(?=[A-Za-z0-9-]{16})", name)
         cut = 4 if name[:4] in ("AKIA", "ASIA") else head.end() if head else 0
-        return name[:cut] + draw.like(name[cut:])
+        return name[:cut] + draw.like(name[cut:]) + draw.like("a" * longer)
     if kind == "name":
         script = _script(name)
         if script not in FAMILY:
-            return draw.like(name)
+            return draw.like(name) + draw.like(own * longer)
         parts = name.split(" ")
         gender = hint or next((g for (s, g), names in GIVEN.items() if s == script and parts[0].capitalize() in names), "mf"[draw.below(2)])
         pick = lambda names: names[draw.below(len(names))].lower()
         out = [pick(GIVEN[script, gender]) if len(parts) > 1 else pick(FAMILY[script]), *(pick(FAMILY[script]) for _ in parts[1:])]
-        # Lists are finite: later attempts join a drawn name on, so there is always room for one entity more.
-        if attempt > 3:
-            out[-1] += "-" + draw.like("a" * (4 + attempt // 4))
+        if longer:
+            out[-1] += "-" + draw.like(own * longer)
         return " ".join(out)
-    return draw.like(name)
+    return draw.like(name) + draw.like("a" * longer)
 
 
 def rendered(kind: str, surface: str, fake: str) -> str:
@@ -187,10 +209,10 @@ def rendered(kind: str, surface: str, fake: str) -> str:
             elif c.isdigit():
                 c = next(digits, c)
             out.append(c)
-        return "".join(out)
+        return "".join([*out, *digits])
     if kind == "iban":
         letters = iter(fake)
-        return "".join(c if c == " " else next(letters, c) for c in surface)
+        return "".join([*(c if c == " " else next(letters, c) for c in surface), *letters])
     if kind == "name":
         words = surface.split(" ")
         return " ".join(w.upper() if s.isupper() and len(s) > 1 else "-".join(p.capitalize() for p in w.split("-")) if s[:1].isupper() else w for s, w in zip(words + [words[-1]] * 9, fake.split(" "), strict=False))

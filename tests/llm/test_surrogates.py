@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +71,26 @@ def test_collisions_are_drawn_again(spark):
     finally:
         pii.surrogate = original
     assert len({r.fake for r in got}) == len(got) == 12
+
+
+def test_every_script_and_every_exhausted_format_gets_a_free_surrogate(spark):
+    """Before, letters of other scripts stood for themselves and mapping() never ended."""
+    texts = ["Dr. Γιώργος Παπάς", "Dr. 王小明", "Dr. محمد علي", "Dr. משה כהן", "γιώργος@παράδειγμα.gr", "王@例子.com", "_@_.com", "sk-" + "-" * 16, "ip 1.2.3.4"]
+    texts += [f"token: -------{i}" for i in range(10)]  # all ten values of one format
+    for text in texts:
+        ((start, end, kind, name, hint),) = pii.entities(text)
+        for attempt in range(4, 12):  # longer ones never come back to the entity, nor lose what tells them apart
+            fakes = {pii.surrogate(b"k", kind, name, hint, a) for a in (attempt, attempt + 16)}
+            assert len(fakes | {name}) == 3 and len({pii.rendered(kind, text[start:end], f) for f in fakes}) == 2
+    name = pii.surrogate(b"k", "name", "γιώργος παπάς", "", 0)
+    assert name != "γιώργος παπάς" and all(c == " " or unicodedata.name(c).startswith("GREEK") for c in name)
+    assert all("一" <= c <= "\u9fff" for c in pii.surrogate(b"k", "name", "王小明", "", 0))
+    for kind, text in (("card", "4539 1488 0343 6467"), ("phone", "+1 (489) 555-0950"), ("ssn", "123-45-6789"), ("iban", "DE44 5001 0517 5407 3249 31")):
+        name = pii.normal(kind, text)
+        fake = pii.surrogate(b"k", kind, name, "", 5)
+        assert len(fake) > len(name) and pii.normal(kind, pii.rendered(kind, text, fake)) == fake
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.detected(docs, True)
+    got = pii.mapping(found, b"k").collect()
+    assert len(got) == len({(r.kind, r.fake) for r in got}) == len(texts) and not {r.fake for r in got} & {r.name for r in got}
+    assert not {r.text for r in pii.with_surrogates(docs, "key").collect()} & set(texts)
