@@ -1,6 +1,6 @@
 """Surrogates for personal data: detected entities get keyed replacements of the same type and format.
 
-1. One pass finds entities; only documents that hold some are kept aside with their texts, so other texts never move.
+1. One pass finds entities, and in a text with names a second scan their bare mentions and parts; only documents that hold some are kept aside with their texts, so other texts never move.
 2. Distinct entities (kind, normal form) get a candidate each from a keyed hash (HMAC-SHA-256), in the entity's own
    format: digits for digits, letters for letters of their script (any of Unicode's) and case, a name of the same gender and script.
 3. Collision checks: a candidate that equals another entity of the data, or that another entity already holds, is
@@ -51,10 +51,14 @@ PATTERN = re.compile(
     re.IGNORECASE,
 )
 _DIGITS = re.compile(r"\d")
-#: What every entity holds at least: a digit or @, the head of a key, or a title and a blank.  Most texts hold none of
+#: Scripts written without blanks between words: names in them are found inside runs of letters.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+#: What every entity holds at least: a digit or @, the head of a key, a secret's label, or a title and a blank.  Most texts hold none of
 #: these, and testing them takes a small part of the time that the pattern takes.
 _DIGIT_OR_AT = re.compile(r"[\d@]")
 _HEADS = ("akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox")
+_LABELS = ("pass", "pwd", "token", "secret", "api")
+_LABEL = re.compile(r"\b(?:pass(?:word|wd)?|pwd|token|secret|api[_-]?key)\b[\"']?\s*[:=]")
 _TITLED = [t + end for t in TITLES for end in (" ", ". ", ": ")]
 _TITLE = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + r")\b[.:]? ")
 
@@ -92,7 +96,7 @@ def possible(text: str) -> bool:
     if _DIGIT_OR_AT.search(text):
         return True
     folded = text.casefold()
-    return any(h in folded for h in _HEADS) or (any(t in folded for t in _TITLED) and _TITLE.search(folded) is not None)
+    return any(h in folded for h in _HEADS) or (any(x in folded for x in _LABELS) and _LABEL.search(folded) is not None) or (any(t in folded for t in _TITLED) and _TITLE.search(folded) is not None)
 
 
 def entities(text: str) -> list[tuple[int, int, str, str, str]]:
@@ -101,14 +105,82 @@ def entities(text: str) -> list[tuple[int, int, str, str, str]]:
     for m in PATTERN.finditer(text) if possible(text) else ():
         kind = m.lastgroup if m.lastgroup != "title" else "name"
         surface = m[kind]
-        digits = sum(map(str.isdigit, surface)) if kind in ("phone", "card", "secret") else 0
-        if kind == "phone" and not 7 <= digits <= 15 or kind == "card" and not 13 <= digits <= 19 or kind == "secret" and not digits:
+        digits = sum(map(str.isdigit, surface)) if kind in ("phone", "card") else 0
+        if kind == "phone" and not 7 <= digits <= 15 or kind == "card" and not 13 <= digits <= 19 or kind == "secret" and not any(map(str.isalnum, surface)):
             continue
+        if kind == "name" and re.search("\\w['’][sS]$", surface):
+            surface = surface[:-2]
         hint = TITLES[m["title"].lower()] if kind == "name" else ""
-        out.append((m.start(kind), m.end(kind), kind, normal(kind, surface), hint))
+        out.append((m.start(kind), m.start(kind) + len(surface), kind, normal(kind, surface), hint))
     return out
 
 
+def _places(words: list[str], within: list[str]) -> list[int]:
+    """Places of ``words`` in a longer name, in order; none if they aren't all in it."""
+    out, at = [], 0
+    for w in words:
+        if w not in within[at:]:
+            return []
+        at = within.index(w, at) + 1
+        out.append(at - 1)
+    return out
+
+
+def references(text: str) -> list[tuple[int, int, str, str, str, list[int]]]:
+    """The entities of a text, and bare mentions of its names and their parts, in order.
+
+    A name that is part of a longer one of the text (Smith, of John Smith) is that person's: it bears the longer name
+    and, last, the places of its words in it; of several such persons the last named before is meant, or else the first
+    named after, of the gender told if one is.  All else has no places and stands for itself.
+    """
+    found = entities(text)
+    hints, starts, by_word, surfaces = {}, {}, {}, set()
+    for start, end, kind, name, hint in found:
+        if kind == "name":
+            hints[name] = max(hint, hints.get(name, ""))
+            starts.setdefault(name, []).append(start)
+            surfaces.update(text[start:end].split())
+    if not hints:
+        return [(*f, []) for f in found]
+    for name in hints:
+        for w in set(name.split()):
+            by_word.setdefault(w, []).append(name)
+
+    def longer(name: str, hint: str) -> Iterator[tuple[str, list[int]]]:
+        words = name.split()
+        for other in by_word.get(words[0], ()):
+            within = other.split()
+            if len(within) > len(words) and not (hint and hints[other] and hint != hints[other]) and (places := _places(words, within)):
+                yield other, places
+
+    whole = {name for name in hints if next(longer(name, hints[name]), None) is None}
+
+    def meant(name: str, hint: str, at: int) -> tuple[str, list[int]]:
+        def rank(x: tuple[str, list[int]]) -> tuple[bool, int]:
+            before = [s for s in starts[x[0]] if s <= at]
+            return (True, before[-1]) if before else (False, -starts[x[0]][0])
+
+        return max((x for x in longer(name, hint) if x[0] in whole), key=rank, default=(name, []))
+
+    out = [(start, end, kind, *((meant(name, hint, start)[0], hint, meant(name, hint, start)[1]) if kind == "name" else (name, hint, []))) for start, end, kind, name, hint in found]
+    # A longer name's gender goes with its own mentions only.
+    out = [(*x[:4], "" if x[5] else x[4], x[5]) for x in out]
+    known = sorted({*hints, *(w for w in by_word if len(w) > 1 or _UNSPACED.match(w))}, key=lambda x: (-len(x), x))
+    bound = lambda x: (r"(?<!\w)" if not _UNSPACED.match(x[0]) else "") + r"\s+".join(map(re.escape, x.split())) + (r"(?!\w)" if not _UNSPACED.match(x[-1]) else "")
+    at = 0
+    held = sorted((x[0], x[1]) for x in out)
+    for m in re.compile("|".join(map(bound, known)), re.IGNORECASE).finditer(text):
+        while at < len(held) and held[at][1] <= m.start():
+            at += 1
+        if at < len(held) and held[at][0] < m.end() or m[0][0].islower() and m[0].split()[0] not in surfaces:
+            continue
+        name = normal("name", m[0])
+        person, places = (name, []) if name in whole else meant(name, "", m.start())
+        if places or person in hints:
+            out.append((m.start(), m.end(), "name", person, "", places))
+    return sorted(out, key=lambda x: x[:2])
+
+
 @cache
 def letters_like(c: str) -> str:
     """Letters of a letter's script and case, in lower case if it has two: those near it in Unicode, of its category."""
@@ -214,30 +286,31 @@ def rendered(kind: str, surface: str, fake: str) -> str:
         letters = iter(fake)
         return "".join([*(c if c == " " else next(letters, c) for c in surface), *letters])
     if kind == "name":
-        words = surface.split(" ")
-        return " ".join(w.upper() if s.isupper() and len(s) > 1 else "-".join(p.capitalize() for p in w.split("-")) if s[:1].isupper() else w for s, w in zip(words + [words[-1]] * 9, fake.split(" "), strict=False))
+        words, gaps = surface.split(), re.findall(r"\s+", surface)
+        out = [w.upper() if s.isupper() and len(s) > 1 else "-".join(p.capitalize() for p in w.split("-")) if s[:1].isupper() else w for s, w in zip(words + [words[-1]] * 9, fake.split(" "), strict=False)]
+        return "".join(x for pair in zip(out, [*gaps, *[" "] * len(out)][: len(out) - 1] + [""], strict=True) for x in pair)
     if kind == "email" and surface.isupper():
         return fake.upper()
     return fake
 
 
-_FOUND = "doc_id long, text string, spans array<struct<start:int,end:int,kind:string,name:string,hint:string>>"
+_FOUND = "doc_id long, text string, spans array<struct<start:int,end:int,kind:string,name:string,hint:string,places:array<int>>>"
 
 
 def detected(docs: DataFrame, held: bool) -> DataFrame:
     """doc_id, text, spans of the documents with entities, or (``held`` false) those of the documents without, spans null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("hint", pa.string())]))
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("hint", pa.string()), ("places", pa.list_(pa.int32()))]))
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 rows, spans = [], []
                 for i, text in enumerate(part.column(1)):
-                    found = entities(text.as_py() or "")
+                    found = references(text.as_py() or "") if held else entities(text.as_py() or "")
                     if bool(found) == held:
                         rows.append(i)
-                        spans.append([dict(zip(("start", "end", "kind", "name", "hint"), f, strict=True)) for f in found] if held else None)
+                        spans.append([dict(zip(("start", "end", "kind", "name", "hint", "places"), f, strict=True)) for f in found] if held else None)
                 where = pa.array(rows, pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(spans, kind)], ["doc_id", "text", "spans"])
 
@@ -298,7 +371,11 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
                 for text, spans, fakes in zip(*(part.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
                     by, out, at = {(f["kind"], f["name"]): f["fake"] for f in fakes}, [], 0
                     for s in spans:
-                        out += [text[at : s["start"]], rendered(s["kind"], text[s["start"] : s["end"]], by[s["kind"], s["name"]])]
+                        fake = by[s["kind"], s["name"]]
+                        if s["places"]:
+                            words = fake.split(" ")
+                            fake = " ".join(words[i] for i in s["places"])
+                        out += [text[at : s["start"]], rendered(s["kind"], text[s["start"] : s["end"]], fake)]
                         at = s["end"]
                     texts.append("".join([*out, text[at:]]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), part.column(2)], ["doc_id", "text", "spans"])

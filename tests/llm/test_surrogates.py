@@ -1,3 +1,4 @@
+import re
 import unicodedata
 
 import pytest
@@ -94,3 +95,28 @@ def test_every_script_and_every_exhausted_format_gets_a_free_surrogate(spark):
     got = pii.mapping(found, b"k").collect()
     assert len(got) == len({(r.kind, r.fake) for r in got}) == len(texts) and not {r.fake for r in got} & {r.name for r in got}
     assert not {r.text for r in pii.with_surrogates(docs, "key").collect()} & set(texts)
+
+
+def test_bare_mentions_and_parts_of_a_name_follow_it(spark):
+    """Before, only the words right after a title were replaced, and 'Mr. Smith' was not 'Mr. John Smith'."""
+    text = "Mr. Smith rang. Mr. John Smith met Mrs. Anna Smith and Dr. Vera Ruiz. Later JOHN\nSmith, and John, saw Mrs. Smith; Ruiz's blacksmith and Smithson left. Dr. 王小明 came,我见了王小明。"
+    docs = spark.createDataFrame([(1, text), (2, "Smith and John, untitled"), (3, "Mr. Adler's car. Adler left.")], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.with_surrogates(docs, "key").collect()}
+    words = re.findall(r"[\w-]+", out[1].text)
+    john, smith, female, ruiz = words[4], words[5], words[9], words[13]
+    assert words[1] == smith and words[15:17] == [john.upper(), smith] and words[18] == john and words[21] == female and words[22] == ruiz
+    assert smith != female and "JOHN" not in out[1].text
+    assert f"{john.upper()}\n{smith}" in out[1].text and "blacksmith and Smithson" in out[1].text and not re.search(r"\bSmith\b|\bRuiz\b|王小明", out[1].text)
+    assert out[2].text == "Smith and John, untitled" and out[2].n_entities == 0
+    first, second = re.fullmatch(r"Mr\. ([\w-]+)'s car\. ([\w-]+) left\.", out[3].text).groups()
+    assert first == second != "Adler"
+    assert out[1].n_name == out[1].n_entities == 10
+
+
+def test_secrets_without_digits_are_replaced():
+    """Before, a secret had to hold a digit."""
+    for text, secret in (("password = correcthorsebattery", "correcthorsebattery"), ('token: "abcdefghij"', "abcdefghij"), ("the api_key=ABCDEFGH now", "ABCDEFGH")):
+        ((start, end, kind, name, hint),) = pii.entities(text)
+        assert kind == "secret" and text[start:end] == secret and pii.surrogate(b"k", kind, name, hint, 0) != secret
+    for text in ("a password is required", "Password:\n==========", "Token - described below"):
+        assert pii.entities(text) == []
