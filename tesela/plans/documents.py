@@ -86,6 +86,17 @@ SELECT x.doc_id AS a, y.doc_id AS b, round(sum(x.w * y.w), 6) AS similarity FROM
 """
 
 
+def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
+    return search.tfidf(_t(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+TFIDF_WEIGHTS_SQL = f"""
+WITH t AS (SELECT item_id AS doc_id, unnest({_TOKENS}) AS w FROM benchmark), c AS (SELECT doc_id, left(w, 6) AS term, count(*) AS tf FROM t GROUP BY ALL),
+f AS (SELECT term, count(*) AS d FROM c GROUP BY ALL), g AS (SELECT doc_id, term, (1 + ln(tf)) * (ln(((SELECT count(*) FROM benchmark) + 1) / (d + 1)) + 1) AS w FROM c JOIN f USING (term))
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM g
+"""
+
+
 def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
     lists = [e.select(F.lit(c).alias("list"), F.col("user_id").alias("id"), F.col(c).cast("double").alias("score")) for c in ("n", "last")]
@@ -160,5 +171,5 @@ def vector_top5(spark: SparkSession, d: str) -> DataFrame:
 
 VECTOR_TOP5_SQL = "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])), 6) AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 5"
 
-QUERIES = {f.__name__: f for f in (pii_scan_counts, pii_decisions, pii_redacted, pii_pseudonyms, search_bm25, search_tfidf, rank_fusion, budgeted_pages, header_lines_removed, evidence_states, same_statements, normal_forms, vector_top5)}
+QUERIES = {f.__name__: f for f in (pii_scan_counts, pii_decisions, pii_redacted, pii_pseudonyms, search_bm25, search_tfidf, tfidf_weights, rank_fusion, budgeted_pages, header_lines_removed, evidence_states, same_statements, normal_forms, vector_top5)}
 ORACLES = {k.removesuffix("_SQL").lower(): v for k, v in dict(globals()).items() if k.endswith("_SQL")}

@@ -35,3 +35,10 @@ def test_query(spark, sf, duck, name):
         out = duck.execute(ORACLES[name])
         want = rows([c[0] for c in out.description], out.fetchall())
         assert got == want
+
+
+def test_tfidf_weights_cover_every_item(spark, sf, duck):
+    """Before, the only registered result was of items 0-4 against the others."""
+    want = {r[0] for r in duck.execute("SELECT item_id FROM benchmark WHERE regexp_matches(text, '[A-Za-z0-9]')").fetchall()}
+    got = {r.doc_id for r in QUERIES["tfidf_weights"](spark, sf).collect()}
+    assert want <= got and len(got) > 5
