@@ -29,8 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest doc_id; rows without doc_id stay."""
-    kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    """One document of each group of near duplicates (similarity of 0.8 or more), that of the smallest doc_id; rows without doc_id stay."""
+    kept = minhash.near_duplicates(docs, threshold=80).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
     docs = docs.select(*COLUMNS)
     named = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return named.union(docs.filter("doc_id is null"))

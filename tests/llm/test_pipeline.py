@@ -38,3 +38,13 @@ def test_empty(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf)
         assert out.count() == 0
+
+
+def test_near_copies_from_a_similarity_of_eight_tenths_on_go(spark, sf):
+    """Before, the stage's threshold was 0.85."""
+    base = [f"word{i}" for i in range(54)]
+    other = lambda *at: " ".join("changed" if i in at else w for i, w in enumerate(base))
+    # 50 shingles each: one word changed leaves 45 of 55 (0.818), two apart leave 40 of 60.
+    rows = [(1, other(), "en", "a", 1), (2, other(27), "en", "b", 1), (3, other(10, 40), "en", "c", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == [1, 3]
