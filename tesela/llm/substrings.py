@@ -4,8 +4,7 @@ Every unit is normalised and named by a 128-bit digest.  One grouped minimum a d
 occurrence; the other occurrences are reported with their offsets in the original text, neighbouring ones merge into
 spans, and :func:`cut` takes spans out.  A passage that starts or ends inside a line is found through its clauses: only
 the clauses it breaks at its two ends are lost.  Digests travel instead of texts; partial minima keep a hot digest
-small before the shuffle, and the join that sends the minimum back is an ordinary one, which adaptive execution splits
-where a digest is hot.
+small before the shuffle, and hot digests, whose number is bounded by their share, get their minimum by a broadcast.
 """
 
 from __future__ import annotations
@@ -23,8 +22,10 @@ from .common import checkpointed, table
 _TOKEN = re.compile(r"[^\W_]+")
 #: The marks that end a clause.
 MARKS = ".,;:!?。！？；：，、…"
-#: A clause and the marks that end it; a run of line feeds is a piece of its own, so pieces tile a text.
-CLAUSES = f"[^{MARKS}\\n]*[{MARKS}]+|[^{MARKS}\\n]+|\\n+"
+#: A clause runs to the first mark after its third word, or to the end of its line: shorter ones are no passage's own.
+CLAUSES = rf"(?:[^\w\n]|_)*[^\W_]+(?:(?:[^\w\n]|_)+[^\W_]+){{2}}[^{MARKS}\n]*[{MARKS}]*|[^\n]+"
+#: A digest that takes this share of all units or more is hot; there are at most so many of them to broadcast.
+HOT = 2000
 #: A line is what lies between line feeds; a paragraph what lies between blank lines.
 BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
 UNITS = [*BREAKS, "clause"]
@@ -96,12 +97,17 @@ def repeated_units(docs: DataFrame, by: str = "line", min_words: int = 1, rank:
         raise ValueError(f"by: one of {', '.join(UNITS)}")
     ranked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(rank).cast("double") if rank else F.lit(0.0)).alias("rank"), "text")
     found = checkpointed(units(ranked, by, max(1, min_words)))
+    total = found.count()
     place = F.struct(F.col("rank").isNull().alias("unranked"), "rank", F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "unit")
-    first = found.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("hi").alias("hi_"), F.col("lo").alias("lo_"), "first")
+    first = checkpointed(found.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("hi").alias("hi_"), F.col("lo").alias("lo_"), "first", "n"))
+    # Hot digests, at most HOT by their definition, meet their rows without a shuffle; no other key weighs more than one in HOT.
+    hot = F.col("n") * HOT >= total
+    same_digest = (F.col("hi") == F.col("hi_")) & (F.col("lo") == F.col("lo_"))
+    near = found.join(F.broadcast(first.filter(hot)), same_digest, "left")
+    far = near.filter("n is null").drop("hi_", "lo_", "first", "n").join(first.filter(~hot).hint("merge"), same_digest)
+    again = near.filter("n is not null").unionByName(far)
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row")) & (F.col("unit") == F.col("first.unit"))
-    # The hint keeps the plan the same at every size: repeated digests grow with the corpus.
-    again = found.join(first.hint("merge"), (F.col("hi") == F.col("hi_")) & (F.col("lo") == F.col("lo_"))).filter(~same)
-    again = again.select("doc_id", "row", "unit", "start", "end", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.unit").alias("kept_unit"))
+    again = again.filter(~same).select("doc_id", "row", "unit", "start", "end", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.unit").alias("kept_unit"))
     return again.repartition("doc_id", "row").dropDuplicates(["doc_id", "row", "unit"])
 
 
@@ -156,11 +162,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents")).drop("row")
 
 
+#: The clauses again in the terms of the other engine's expressions, with line feeds as pieces so that all tile a text.
+SQL_CLAUSES = rf"[^\p{{L}}\p{{N}}\n]*[\p{{L}}\p{{N}}]+(?:[^\p{{L}}\p{{N}}\n]+[\p{{L}}\p{{N}}]+){{2}}[^{MARKS}\n]*[{MARKS}]*|[^\n]+|\n+"
 OP10_SQL = (
     r"""
 WITH tiles AS (
     SELECT doc_id, regexp_extract_all(text, '"""
-    + CLAUSES
+    + SQL_CLAUSES
     + r"""') AS tiles FROM documents WHERE text IS NOT NULL
 ), numbered AS (
     SELECT doc_id, unnest(tiles) AS tile, unnest(range(len(tiles))) AS k FROM tiles
