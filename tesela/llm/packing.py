@@ -1,11 +1,12 @@
 """Mixture-controlled packing of token streams into fixed windows.
 
 Source queues are served by deficit round-robin (Shreedhar and Varghese, 1996).  In every round a queue earns a
-quantum, its target share of one window, and sends documents while its deficit covers them; what it can't spend it
-carries into the next round.  A backlogged queue therefore sends a document in round ``ceil(end / quantum)``, where
-``end`` counts its tokens up to that document's end, and so the whole schedule follows from running sums: rounds are a
-formula, not a loop, and deficits carry over windows and partitions by construction.  Laying the rounds end to end and
-cutting every window's worth of tokens gives sequences whose proportions stay within one document of the targets.
+quantum, its target share of one window, and sends a piece as soon as its deficit covers it; what it can't spend it
+carries into the next round.  Documents are cut at the multiples of their queue's quantum, so a queue sends its piece
+``b`` in round ``b``, and the whole schedule follows from running sums: rounds are a formula, not a loop, and deficits
+carry over windows and partitions by construction.  A queue whose quantum is tiny saves up for pieces of a useful length
+and begins with a deficit of its own, so that such queues don't all send at once.  Laying the rounds end to end and
+cutting every window's worth of tokens gives sequences whose proportions stay within one piece a queue of the targets.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _STABLE = 0x250
 #: A running sum has a block for so many rows, but no more blocks than this, since block totals are summed in one place.
 BLOCK_ROWS, MOST_BLOCKS = 256, 1 << 16
+#: Up to so many sources their quanta are broadcast (under 10 MB), beyond it they are joined.
+MOST_BROADCAST = 100_000
 
 
 def _byte_of() -> dict[str, int]:
@@ -108,18 +111,63 @@ def running_total(df: DataFrame, by: list[str], order: list[Column], block: Colu
     return out.withColumn(name, F.col("_inside") + F.col("_start")).drop("_inside", "_start", block_name)
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, targets: dict[str, float] | None = None, encode: Callable[[str], np.ndarray] | None = None) -> DataFrame:
+def summed_in_order(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with, in ``name``, the sum of ``value`` (long) over all earlier rows in the order of the columns ``order``.
+
+    Rows are dealt by ranges of the order, which are sampled and so of even size whatever its distribution; sums run
+    inside a range, and the ranges' totals, one row a partition, are summed across.
+    """
+    columns = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            size = batch.column(columns.index(value)).to_numpy()
+            ends = total + np.cumsum(size)
+            total = int(ends[-1]) if len(ends) else total
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - size), pa.array(np.full(len(size), part, np.int64))], [*columns, "_inside", "_part"])
+
+    shape = rows.withColumn("_inside", F.lit(0).cast("long")).withColumn("_part", F.lit(0).cast("long")).schema
+    # Written down, since the number of a range is only good for the run that dealt it.
+    dealt = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, shape))
+    totals = dealt.groupBy("_part").agg(F.max(F.col("_inside") + F.col(value)).alias("_total"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
+    return dealt.join(F.broadcast(starts), "_part").withColumn(name, F.col("_inside") + F.col("_start")).select(*columns, name)
+
+
+def quanta(queues: DataFrame, window: int, piece: int, targets: dict[str, float] | None, temper: float) -> DataFrame:
+    """queue, blocks, stride (tokens of a piece), phase (of the first), ratio and lag (rounds between pieces, before the first)."""
+    weight = F.pow(F.col("tokens").cast("double"), F.lit(float(temper)))
+    total = queues.agg(F.sum(weight)).first()[0] or 1.0
+    share = weight / total
+    if targets:
+        share = F.coalesce(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])[F.col("source")].cast("double"), share)
+    out = queues.select(F.col("source").alias("queue"), F.greatest(share * window, F.lit(1e-9)).alias("quantum"), blocks(F.col("docs")).alias("blocks"))
+    out = out.withColumn("stride", F.greatest("quantum", F.lit(float(piece))))
+    draw = F.pmod(F.xxhash64("queue", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
+    out = out.withColumn("phase", F.when(F.col("stride") > F.col("quantum"), draw * F.col("stride")).otherwise(0.0))
+    return out.select("queue", "blocks", "stride", "phase", (F.col("stride") / F.col("quantum")).alias("ratio"), (F.col("phase") / F.col("quantum")).alias("lag"))
+
+
+def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, targets: dict[str, float] | None = None, temper: float = 1.0, piece: int = 64, encode: Callable[[str], np.ndarray] | None = None) -> DataFrame:
     """One row for each piece of a document of ``docs`` (doc_id, text, source) in a sequence of ``window`` tokens.
 
     Columns: doc_id, source, start, length, ids (bytes, little-endian unsigned 32-bit), doc_tokens, sequence_id,
     offset.  A document is its token ids and then ``end_id``; a null text is an empty one, so it is ``end_id`` alone.
     Every sequence is full but the last of all, which is the only one that needs padding.
 
-    ``targets`` gives each source's share of a window; sources that it leaves out, and all where it is None, get their
-    share of the corpus, so that every queue lasts to the end.  With other targets a queue may run dry early; the
-    rest then go on in their own proportions.  A null source is a queue of its own.  A repeated row is packed as often
-    as it occurs.  Rows without doc_id are packed too and come back with a null doc_id.  Other columns are ignored; an
-    empty table gives an empty result.
+    ``targets`` gives each source's share of a window; sources that it leaves out, and all where it is None, get a share
+    in proportion to ``tokens ** temper``, so with a ``temper`` of 1 every queue lasts to the end.  Otherwise a queue may
+    run dry early, and the rest then go on in their own proportions; a source with a target of 0 comes after all others.
+    A queue whose share of a window is under ``piece`` tokens sends ``piece`` at once, every so many rounds.
+
+    A null source is a queue of its own.  A repeated row is packed as often as it occurs; different texts of one doc_id
+    are packed each.  Rows without doc_id are packed too and come back with a null doc_id.  Texts of any length are
+    packed whole, ties are broken by hashes of the rows, other columns are ignored, whatever their names; an empty table
+    gives an empty result.
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,15 +184,17 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1,
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 row, out = [], [[] for _ in range(5)]
-                for i, (at, n, packed) in enumerate(zip(*(part.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
-                    ids, start = _unpacked(packed, n), 0
-                    while start < n:
-                        where = at + start
-                        length = min(n - start, window - where % window)
-                        for column, v in zip(out, (start, length, ids[start : start + length].tobytes(), n, where), strict=True):
-                            column.append(v)
-                        row.append(i)
-                        start += length
+                for i, (pieces, n, packed) in enumerate(zip(*(part.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
+                    ids = _unpacked(packed, n)
+                    for p in pieces:
+                        start, end, shift = p["start"], p["start"] + p["length"], p["at"] - p["start"]
+                        while start < end:
+                            where = shift + start
+                            length = min(end - start, window - where % window)
+                            for column, v in zip(out, (start, length, ids[start : start + length].tobytes(), n, where), strict=True):
+                                column.append(v)
+                            row.append(i)
+                            start += length
                 place, rows = np.array(out[4], np.int64), pa.array(row, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(rows), part.column(1).take(rows), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64()), pa.array(place // window), pa.array(place % window)], names
@@ -156,37 +206,45 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1,
     tokens = checkpointed(flat.mapInArrow(encoded, "doc_id long, source string, key long, n long, packed binary"))
     counted = tokens.drop("packed")
     entries = counted.groupBy("doc_id", "source", "key").agg(F.min("n").alias("n"), F.count("*").alias("copies"))
-    entries = entries.select("doc_id", "source", "key", "n", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    entries = entries.select("doc_id", "source", "key", "n", "copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
 
     queues = checkpointed(counted.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")))
-    share = F.col("tokens") / F.sum("tokens").over(Window.partitionBy())
-    if targets:
-        share = F.coalesce(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])[F.col("source")], share)
-    quota = queues.select(F.col("source").alias("queue"), F.greatest(share * window, F.lit(1e-9)).alias("quantum"), blocks(F.col("docs")).alias("blocks"))
+    quota = quanta(queues, window, piece, targets, temper)
+    # Sources may be hosts: their quanta are broadcast only while there are few.
+    quota = F.broadcast(quota) if queues.count() <= MOST_BROADCAST else quota.hint("merge")
     rows = entries.join(quota, F.col("source").eqNullSafe(F.col("queue"))).drop("queue")
     order = [F.xxhash64("doc_id", "key", "copy"), F.col("doc_id"), F.col("key"), F.col("copy")]
     rows = running_total(rows, ["source"], order, F.pmod(F.xxhash64("doc_id", "key", "copy", F.lit(1)), F.col("blocks")), "n", "before")
-    rows = checkpointed(rows.select("doc_id", "source", "key", "copy", "n", "before", F.ceil((F.col("before") + F.col("n")) / F.col("quantum")).cast("long").alias("round")))
 
-    size = rows.agg(F.max("round").alias("last"), blocks(F.count("*")).alias("blocks")).first()
-    width = (size["last"] or 0) // size["blocks"] + 1
-    rows = running_total(rows, [], [F.col("round"), F.col("source"), F.col("before"), F.col("doc_id"), F.col("key"), F.col("copy")], F.floor(F.col("round") / width).cast("long"), "n", "at")
+    # Piece b of a queue ends at phase + b * stride, and its deficit covers that in round lag + b * ratio.
+    # The slivers keep whole numbers whole; whatever rounding does, a document's pieces meet at the same borders.
+    turn = lambda at: (F.floor((at - F.col("phase")) / F.col("stride") + 1e-9) + 1).cast("long")
+    border = lambda b: F.ceil(F.col("phase") + b * F.col("stride") - 1e-6).cast("long")
+    end = F.col("before") + F.col("n")
+    rows = rows.withColumn("first", turn(F.col("before"))).withColumn("last", turn(end - 1)).withColumn("b", F.explode(F.sequence("first", "last")))
+    starts = F.when(F.col("b") == F.col("first"), F.col("before")).otherwise(F.greatest("before", F.least(border(F.col("b") - 1), end)))
+    ends = F.when(F.col("b") == F.col("last"), end).otherwise(F.greatest("before", F.least(border(F.col("b")), end)))
+    pieces = rows.select("doc_id", "key", "copy", "copies", F.ceil(F.col("lag") + F.col("b") * F.col("ratio")).cast("double").alias("round"), F.xxhash64("source").alias("queue"), starts.alias("place"), (ends - starts).alias("length"), (starts - F.col("before")).alias("start"))
+    pieces = summed_in_order(pieces.filter("length > 0"), ["round", "queue", "place", "doc_id", "key", "copy"], "length", "at")
 
     name = lambda: [F.coalesce("doc_id", F.lit(-(1 << 63))).alias("name"), "key"]
-    placed = checkpointed(rows.groupBy(*name()).agg(F.collect_list("at").alias("places")))
+    # A document's pieces are bounded by its own tokens.
+    placed = checkpointed(pieces.groupBy(*name(), "copy").agg(F.min("copies").alias("copies"), F.collect_list(F.struct("start", "length", "at")).alias("pieces")))
     named = tokens.select("doc_id", "source", "n", "packed", *name())
     # The hint keeps the plan the same at every size: the ids are never the side to broadcast, nor the places.
-    ready = named.join(placed.filter(F.size("places") == 1).hint("merge"), ["name", "key"]).select("doc_id", "source", F.col("places")[0].alias("at"), "n", "packed")
-    copied = placed.filter(F.size("places") > 1)
+    ready = named.join(placed.filter("copies = 1").hint("merge"), ["name", "key"]).select("doc_id", "source", "pieces", "n", "packed")
+    copied = placed.filter("copies > 1")
     if not copied.isEmpty():
-        same = named.join(copied, ["name", "key"]).groupBy("name", "key").agg(*[F.first(c).alias(c) for c in ("doc_id", "source", "places", "n", "packed")])
-        ready = ready.union(same.select("doc_id", "source", F.explode("places").alias("at"), "n", "packed"))
+        some = named.join(copied.select("name", "key").distinct().hint("merge"), ["name", "key"], "left_semi").dropDuplicates(["name", "key"])
+        ready = ready.union(some.join(copied.hint("merge"), ["name", "key"]).select("doc_id", "source", "pieces", "n", "packed"))
     return ready.mapInArrow(cut, "doc_id long, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document packed into sequences of at most 2048 tokens in the corpus's own source proportions."""
+    """Every document packed into sequences of 2048 tokens; sources' targets go with the power 0.7 of their tokens, which
+    lifts small ones, as is usual for training mixtures.
+    """
     import public_tokenizers
 
-    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), temper=0.7)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
