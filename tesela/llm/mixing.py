@@ -2,17 +2,18 @@
 
 1. A labelled table of (doc_id, domain) trains a naive Bayes classifier on dense statistics of texts, cut into bins at
    training quantiles; it gives every document posteriors over the domains.
-2. Document rates r >= ``least`` minimise the weighted squared gap between expected domain token totals, the sum of
-   r * tokens * posterior, and the targets.  Projected gradient steps in the metric of the documents' tokens are
-   ``r = max(least, r - step * posterior . gap)``: they depend on a document only through its posterior, so documents
-   with the same posterior are one cell, and a step is one aggregation of the cells to a few numbers.
-3. A document's rate replays the gaps of all steps on its own posterior; no state is kept between steps.
+2. Document rates r >= ``least`` minimise the squared gap between expected domain token totals, the sum of
+   r * tokens * posterior, and the targets, by projected gradient steps ``r = max(least, r - posterior . gap)`` with the
+   gap scaled so that all directions have one curvature; without bounds a step would do.  Steps depend on a document
+   only through its posterior, so documents with the same posterior are one cell, and a step is a pass over the cells.
+3. The cells' rates go back to the documents.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from .common import bounded_sample, checkpointed, discard, table
 INSULTS = ["idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown"]
 BINS = 8
 DIGITS = 3
+#: Up to so many cells (under 10 MB) their rates are broadcast, beyond it they are joined.
+MOST_BROADCAST = 100_000
 
 
 def _with_words(docs: DataFrame) -> DataFrame:
@@ -53,6 +56,7 @@ def statistics() -> list[Column]:
         _density(".,"),
         _density("\n"),
         F.size(F.array_distinct("words")) / n,
+        F.regexp_count("text", F.lit("[A-Z]")) / F.greatest(F.length("text"), F.lit(1)),
         sum((F.contains("low", F.lit(w)).cast("int") for w in INSULTS[1:]), F.contains("low", F.lit(INSULTS[0])).cast("int")) / F.lit(1.0),
     ]
 
@@ -97,55 +101,78 @@ class Classifier:
         most = F.greatest(*[F.col(f"l{d}") for d in range(len(self.domains))]) if len(self.domains) > 1 else F.col("l0")
         scored = scored.select(*held, *[F.exp(F.col(f"l{d}") - most).alias(f"r{d}") for d in range(len(self.domains))])
         whole = sum((F.col(f"r{d}") for d in range(len(self.domains))), F.lit(0.0))
-        share = F.array(*[F.round(F.col(f"r{d}") / whole, DIGITS) for d in range(len(self.domains))])
+        # Running sums are rounded, and the posteriors are their differences: so they stay nonnegative and sum to 1.
+        upto = [F.lit(0.0), *[F.round(sum((F.col(f"r{d}") for d in range(k + 1)), F.lit(0.0)) / whole, DIGITS) for k in range(len(self.domains))]]
+        share = F.array(*[F.round(y - x, DIGITS) for x, y in zip(upto, upto[1:], strict=False)])
         return scored.select("row", "doc_id", "n_tokens", share.alias("p"))
 
 
-def _dot(p: Column, gap: Column | list[float]) -> Column:
-    other = gap if isinstance(gap, Column) else F.array(*map(F.lit, gap))
-    return F.aggregate(F.zip_with(p, other, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+def _total(of: str, domains: int) -> list[Column]:
+    """Token totals by domain of cells whose tokens are in ``of``."""
+    return [F.sum(F.col(of) * F.col("p")[k]).alias(f"m{k}") for k in range(domains)]
 
 
-def _rate(p: Column, steps: list[list[float]], least: float) -> Column:
-    """The rate after the given scaled gaps, from 1 on."""
-    if not steps:
-        return F.lit(max(1.0, least))
-    history = F.array(*[F.array(*map(F.lit, g)) for g in steps])
-    return F.aggregate(history, F.lit(max(1.0, least)), lambda r, g: F.greatest(F.lit(least), r - _dot(p, g)))
+def fitted(cells: DataFrame, want: list[float], least: float, close: float) -> DataFrame:
+    """``cells`` (p, n) with ``rate``: the rates whose totals come nearest ``want``, from 1 on.
 
-
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, growth: float = 1.0, carry: list[str] | None = None, rows: int = 6000, steps: int = 40, close: float = 1e-3) -> DataFrame:
+    A step goes along the gradient, scaled by the second moments of the cells that it can move (those at the bound which
+    it would push further down stay), and is projected on the bound.  One that doesn't lower the squared gap is halved.
+    Steps end when every total is within ``close`` of its target, relative to it, or at the least squares, when none
+    lowers the squared gap by a millionth any more.
+    """
+    k = len(want)
+
+    def moments(of: DataFrame) -> np.ndarray:
+        row = of.agg(*[F.coalesce(F.sum(F.col("n") * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)) for i in range(k) for j in range(k)]).first()
+        return np.array(row, float).reshape(k, k)
+
+    def toward(u: np.ndarray) -> Column:
+        return sum((F.col("p")[i] * float(u[i]) for i in range(1, k)), F.col("p")[0] * float(u[0]))
+
+    def gap_of(of: DataFrame) -> np.ndarray:
+        return np.array(of.withColumn("t", F.col("n") * F.col("rate")).agg(*_total("t", k)).first(), float) - np.array(want)
+
+    metric = moments(cells)
+    metric = np.linalg.inv(metric + np.eye(k) * 1e-9 * max(np.trace(metric), 1e-300))
+    root = np.linalg.cholesky((metric + metric.T) / 2).T
+    cells = checkpointed(cells.withColumn("rate", F.lit(max(1.0, least))))
+    gap, share = gap_of(cells), 1.0
+    while (abs(gap) > close * np.array(want)).any() and share > 1e-3:
+        free = moments(cells.filter((F.col("rate") > least) | (toward(metric @ gap) < 0)))
+        step = np.linalg.lstsq(root @ free, root @ gap, rcond=1e-9)[0]
+        after = checkpointed(cells.select("p", "n", F.greatest(F.lit(least), F.col("rate") - toward(share * step)).alias("rate")))
+        then = gap_of(after)
+        better = then @ metric @ then < (1 - 1e-6) * (gap @ metric @ gap)
+        discard(cells if better else after)
+        cells, gap, share = (after, then, min(1.0, 2 * share)) if better else (cells, gap, share / 4)
+    return cells
+
+
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, growth: float = 1.0, carry: list[str] | None = None, rows: int = 6000, close: float = 1e-3) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): row (a struct of the columns in ``carry``, or all), doc_id, n_tokens, p, rate.
 
     ``targets`` gives domains their shares of tokens (made to sum to 1); ``labelled`` (doc_id, domain) trains the
     classifier on at most ``rows`` documents.  Expected totals are to sum to ``growth`` times the corpus' own
-    tokens, and rates stay at ``least`` or above.  Steps end when every domain is within ``close`` of its target, relative to it, or after ``steps`` of them,
-    whichever is first; targets that nonnegative rates can't meet end at the least squares.
+    tokens, and rates stay at ``least`` or above.  Every domain's total comes within ``close`` of its target, relative
+    to it; targets that such rates can't meet end at the least squares.
 
-    Null, empty and blank texts have no tokens and count for nothing, but still get a rate.  Labels of other domains
-    or without doc_id are ignored, and an id labelled twice takes its first domain by name; without any labels
-    posteriors are uniform.  Repeated rows give repeated results, a null doc_id stays null, clashing names don't meet
-    since the row is one struct; an empty table gives an empty result.
+    Null, empty and blank texts have no tokens and count for nothing, but still get a rate; texts of any length are read
+    whole.  Labels of other domains or without doc_id are ignored, and an id labelled twice takes its first domain by
+    name; without any labels posteriors are uniform.  Repeated rows give repeated results, a null doc_id stays null,
+    clashing names don't meet since the row is one struct; an empty table gives an empty result.
     """
     domains = sorted(targets)
     goal = {d: targets[d] / sum(targets.values()) for d in domains}
     # Texts are read once for the posteriors; what is carried waits beside them in a written table.
     scored = checkpointed(Classifier(docs, labelled, domains, rows).posteriors(docs, carry or docs.columns))
     cells = checkpointed(scored.groupBy("p").agg(F.sum("n_tokens").cast("double").alias("n")))
-    mass = cells.agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col("p")[k]).alias(f"m{k}") for k in range(len(domains))]).first()
-    history: list[list[float]] = []
-    if mass["n"]:
-        want = [goal[d] * growth * mass["n"] for d in domains]
-        # Dividing a gap by its domain's own mass makes the largest curvature 1, so steps under 2 settle.
-        scale = [1.5 / max(mass[f"m{k}"], 1e-9 * mass["n"]) for k in range(len(domains))]
-        for _ in range(steps):
-            rate = _rate(F.col("p"), history, least)
-            now = cells.select("p", (F.col("n") * rate).alias("t")).agg(*[F.sum(F.col("t") * F.col("p")[k]).alias(f"m{k}") for k in range(len(domains))]).first()
-            gap = [now[f"m{k}"] - want[k] for k in range(len(domains))]
-            if all(abs(g) <= close * w for g, w in zip(gap, want, strict=True)):
-                break
-            history.append([g * s for g, s in zip(gap, scale, strict=True)])
-    return scored.withColumn("rate", _rate(F.col("p"), history, least))
+    size = cells.agg(F.sum("n").alias("n"), F.count("*").alias("cells")).first()
+    if not size["n"]:
+        return scored.withColumn("rate", F.lit(max(1.0, least)))
+    rates = fitted(cells, [goal[d] * growth * size["n"] for d in domains], least, close).select(F.col("p").alias("of"), "rate")
+    # There are as many cells as rounded posteriors, however many documents: with three domains half a million at most.
+    rates = F.broadcast(rates) if size["cells"] <= MOST_BROADCAST else rates.hint("merge")
+    return scored.join(rates, F.col("p") == F.col("of")).drop("of")
 
 
 def copies(rate: Column, *names: Column) -> Column:
