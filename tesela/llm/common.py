@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only where that is unset (local tests) one of our own."""
+    """The cluster's checkpoint folder; only where that is unset on a single machine (tests) one of our own."""
     global _own
     if shared := spark.conf.get("spark.checkpoint.dir", ""):
         return shared
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     _own = _own or tempfile.mkdtemp(prefix="tesela-")
     return f"file://{_own}"
 

@@ -3,6 +3,9 @@
 A HyperLogLog sketch of the sites that carry it is kept for each line hash; sketches merge map-side and again after
 the shuffle, so a line on a third of all pages costs a sketch a task.  Lines whose estimate is clear of the threshold
 are settled by it, those near it by an exact distinct count.  Everything is DataFrame code; texts are shuffled once.
+
+Copies of one page on many sites spread all their lines, which makes them no boilerplate.  So a second count settles
+the lines that spread at all: only pages which mostly consist of other lines are evidence in it.
 """
 
 from __future__ import annotations
@@ -27,10 +30,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def line_rows(keyed: DataFrame) -> DataFrame:
-    """name, line_key, source, line (its number), size (characters), hi, lo (hashes of the trimmed line); blank lines left out."""
-    rows = keyed.select("name", "line_key", F.col("row.source").cast("string").alias("source"), F.posexplode(F.split("row.text", "\n")).alias("line", "content"))
+    """name, line_key, source, total, line (its number), size, hi, lo (hashes of the trimmed line); blank lines left out.
+
+    size and total count the characters of the line and of all lines of its text.
+    """
+    parts = F.split("row.text", "\n")
+    total = F.aggregate(F.transform(parts, lambda x: F.length(F.trim(x))), F.lit(0), lambda a, x: a + x)
+    # Two steps, or the total would be summed again for every line.
+    whole = keyed.select("name", "line_key", F.col("row.source").cast("string").alias("source"), total.alias("total"), parts.alias("parts"))
+    rows = whole.select("name", "line_key", "source", "total", F.posexplode("parts").alias("line", "content"))
     rows = rows.withColumn("content", F.trim("content")).filter("content <> ''")
-    return rows.select("name", "line_key", "source", "line", F.length("content").alias("size"), F.xxhash64("content").alias("hi"), F.xxhash64(F.lit(20_07), "content").alias("lo"))
+    return rows.select("name", "line_key", "source", "total", "line", F.length("content").alias("size"), F.xxhash64("content").alias("hi"), F.xxhash64(F.lit(20_07), "content").alias("lo"))
 
 
 def widespread(lines: DataFrame, min_sites: int) -> DataFrame:
@@ -44,30 +54,31 @@ def widespread(lines: DataFrame, min_sites: int) -> DataFrame:
     return spread.filter(sure).select("hi", "lo").union(exact.select("hi", "lo"))
 
 
-def line_dedup(docs: DataFrame, min_sites: int = 8, most_removed: float = 0.5) -> DataFrame:
+def line_dedup(docs: DataFrame, min_sites: int = 8) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) without boilerplate lines, and n_lines and n_removed of each row.
 
-    A line is boilerplate when its trimmed text stands on at least ``min_sites`` distinct sources.  It is taken out of
-    every document, except where boilerplate makes up over ``most_removed`` of the characters of a document's lines:
-    such a document is a copy, not a page with boilerplate, and stays whole for the document deduplicators.
+    A line spreads when its trimmed text stands on at least ``min_sites`` distinct sources; it is boilerplate when it
+    still does so on the pages of which spreading lines make up at most half of the characters.  Boilerplate is taken out
+    of every document, whatever its share there.  Copies of one page, exact or near, are therefore no evidence against
+    their own lines, and are left to the document deduplicators.
 
     Blank lines are never boilerplate and stay.  A null source counts for no site.  A null text stays null, with no
-    lines; an empty text has none either.  Repeated rows give repeated results.  Further columns pass through, whatever
-    their names but for n_lines and n_removed, which are replaced; an empty table gives an empty result.
+    lines; an empty text has none either; texts of any length are read whole.  Repeated rows give repeated results, and
+    different texts of one doc_id are told apart.  Further columns pass through, whatever their names but for n_lines and
+    n_removed, which are replaced; an empty table gives an empty result.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = _keyed(docs.select(*columns))
     lines = checkpointed(line_rows(keyed))
-    found = widespread(lines, min_sites)
-    hits = lines.join(found, ["hi", "lo"], "left_semi").groupBy("name", "line_key").agg(F.collect_set(F.struct("line", "size")).alias("hits"))
-    hits = hits.select(F.col("name").alias("hit_name"), F.col("line_key").alias("hit_key"), "hits")
-    # The hint keeps the plan the same at every size: hits grow with the corpus and are no side to broadcast.
-    joined = keyed.join(hits.hint("merge"), (F.col("name") == F.col("hit_name")) & (F.col("line_key") == F.col("hit_key")), "left")
+    # The hints keep the plan the same at every size: these sides grow with the corpus and are none to broadcast.
+    spread = checkpointed(lines.join(widespread(lines, min_sites).hint("merge"), ["hi", "lo"], "left_semi").repartition("name", "line_key"))
+    # A repeated row holds its lines as often as it occurs, so each counts once here.
+    rows = spread.groupBy("name", "line_key", "line", "total").agg(F.first("size").alias("size")).groupBy("name", "line_key").agg((2 * F.sum("size") <= F.first("total")).alias("page")).filter("page").select("name", "line_key")
+    found = widespread(spread.join(rows.hint("merge"), ["name", "line_key"], "left_semi"), min_sites)
+    hits = spread.join(found.hint("merge"), ["hi", "lo"], "left_semi").groupBy("name", "line_key").agg(F.collect_set("line").alias("gone"))
+    hits = hits.select(F.col("name").alias("hit_name"), F.col("line_key").alias("hit_key"), "gone")
+    joined = keyed.join(hits.hint("merge"), (F.col("name") == F.col("hit_name")) & (F.col("line_key") == F.col("hit_key")), "left").select("row", "gone")
     parts = F.split("row.text", "\n")
-    total = F.aggregate(F.transform(parts, lambda x: F.length(F.trim(x))), F.lit(0), lambda a, x: a + x)
-    taken = F.aggregate("hits", F.lit(0), lambda a, x: a + x["size"])
-    gone = F.when(F.col("hits").isNotNull() & (taken <= F.lit(most_removed) * total), F.transform("hits", lambda x: x["line"]))
-    joined = joined.select("row", gone.alias("gone"))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
     n_lines = F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.size(F.filter(parts, lambda x: F.trim(x) != "")))
     n_removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone"))
@@ -86,16 +97,18 @@ WITH parts AS (
     SELECT doc_id, source, unnest(lines) AS line, unnest(range(len(lines))) AS n FROM parts
 ), spread AS (
     SELECT trim(line) AS content FROM numbered WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 8
+), pages AS (
+    SELECT doc_id FROM numbered LEFT JOIN spread ON trim(line) = content GROUP BY doc_id
+    HAVING 2 * coalesce(sum(length(content)), 0) <= sum(length(trim(line)))
+), boilerplate AS (
+    SELECT content FROM numbered JOIN spread ON trim(line) = content WHERE doc_id IN (SELECT doc_id FROM pages) GROUP BY 1 HAVING count(DISTINCT source) >= 8
 ), flagged AS (
-    SELECT n.*, s.content IS NOT NULL AS hit FROM numbered n LEFT JOIN spread s ON trim(n.line) = s.content
+    SELECT m.*, b.content IS NOT NULL AS hit FROM numbered m LEFT JOIN boilerplate b ON trim(m.line) = b.content
 ), totals AS (
-    SELECT doc_id, count(*) FILTER (trim(line) <> '') AS n_lines, count(*) FILTER (hit) AS hits,
-        coalesce(sum(length(trim(line))) FILTER (hit), 0) <= 0.5 * sum(length(trim(line))) AS cut,
-        string_agg(line, chr(10) ORDER BY n) FILTER (NOT hit) AS rest
+    SELECT doc_id, count(*) FILTER (trim(line) <> '') AS n_lines, count(*) FILTER (hit) AS n_removed, string_agg(line, chr(10) ORDER BY n) FILTER (NOT hit) AS rest
     FROM flagged GROUP BY doc_id
 ), done AS (
-    SELECT d.doc_id, t.n_lines, CASE WHEN t.cut THEN t.hits ELSE 0 END AS n_removed,
-        CASE WHEN t.cut AND t.hits > 0 THEN coalesce(t.rest, '') ELSE d.text END AS text
+    SELECT d.doc_id, t.n_lines, t.n_removed, CASE WHEN t.n_removed > 0 THEN coalesce(t.rest, '') ELSE d.text END AS text
     FROM documents d JOIN totals t USING (doc_id)
 )
 SELECT doc_id, n_lines, n_removed, length(text) AS n_chars_left, md5(text) AS text_md5 FROM done

@@ -5,19 +5,24 @@ import duckdb
 from tesela.llm.lines import OP5_SQL, line_dedup, op5
 
 
-def brute(rows, least, most=0.5):
-    sites = defaultdict(set)
-    for _, text, source in rows:
-        for line in (text or "").split("\n"):
-            if line.strip(" ") and source is not None:
-                sites[line.strip(" ")].add(source)
+def brute(rows, least):
+    strip = lambda text: [x.strip(" ") for x in (text or "").split("\n")]
+
+    def spread(chosen):
+        sites = defaultdict(set)
+        for _, text, source in chosen:
+            for line in strip(text):
+                if line and source is not None:
+                    sites[line].add(source)
+        return {x for x, s in sites.items() if len(s) >= least}
+
+    once = spread(rows)
+    found = once & spread([r for r in rows if 2 * sum(len(x) for x in strip(r[1]) if x in once) <= sum(map(len, strip(r[1])))])
     out = []
     for d, text, source in rows:
-        lines = text.split("\n") if text is not None else []
-        hit = [len(sites[x.strip(" ")]) >= least if x.strip(" ") else False for x in lines]
-        size = [len(x.strip(" ")) for x in lines]
-        cut = any(hit) and sum(s for s, h in zip(size, hit, strict=True) if h) <= most * sum(size)
-        out.append((d, "\n".join(x for x, h in zip(lines, hit, strict=True) if not h) if cut else text, source, sum(s > 0 for s in size), sum(hit) if cut else 0))
+        hit = [x in found for x in strip(text)]
+        rest = "\n".join(x for x, h in zip((text or "").split("\n"), hit, strict=True) if not h) if any(hit) else text
+        out.append((d, rest, source, sum(x != "" for x in strip(text)), sum(hit)))
     return sorted(out, key=str)
 
 
@@ -50,3 +55,15 @@ def test_spread_over_thousands_of_sites_is_counted(spark):
     got = line_dedup(df, 1500)
     assert got.filter("n_removed = 2").count() == 3000
     assert line_dedup(df, 1501).filter("n_removed = 1").count() == 3000
+
+
+def test_copies_are_no_evidence_and_boilerplate_goes_whatever_its_share(spark):
+    page = "\n".join(f"line {i} of a page that many sites copied, some with a word changed" for i in range(10))
+    rows = [(i, page.replace(f"line {i % 10} of", f"line {i} in") if i % 3 else page, f"s{i % 20}") for i in range(60)]
+    rows += [(100 + i, f"own words of page {i} and some more of them here\nAll rights reserved", f"s{i % 20}") for i in range(30)]
+    rows += [(200, "All rights reserved", "s1"), (201, "tiny\nAll rights reserved\nAll rights reserved", "s2"), (202, page + "\nAll rights reserved", "s3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in line_dedup(df).collect()}
+    assert all(got[i] == rows[i][1] for i in range(60))
+    assert all("reserved" not in got[100 + i] for i in range(30))
+    assert (got[200], got[201], got[202]) == ("", "tiny", page)
