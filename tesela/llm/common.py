@@ -68,9 +68,11 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
 def labelled_texts(docs: DataFrame, labels: DataFrame, target: str, rows: int) -> DataFrame:
     """doc_id, text (bytes) and label (0 or 1) of at most ``rows`` labelled documents; the ids are broadcast, bounded by that.
 
-    An id labelled more than once takes its highest label; rows without id or label take no part.
+    An id labelled more than once takes its highest label, and of several texts of one id the first in byte order;
+    rows without id or label take no part.
     """
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(target).cast("int")).alias("label"))
     chosen = bounded_sample(chosen, "doc_id", rows).select(F.col("doc_id").alias("chosen_id"), "label")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select("doc_id", "text", "label")
+    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"))
+    return found.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("x")).select("doc_id", "x.text", "x.label")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_texts, table, utf8
+from .common import checkpointed, discard, fold, labelled_texts, table, utf8
 from .textkit import Words, slices, sums, windows
 
 _ALPHA, _UPPER, _DIGIT, _SYMBOL, _STOP, _LOUD, _CHAR = (np.zeros(256, bool) for _ in range(7))
@@ -29,6 +29,8 @@ _SYMBOL[list(b"#*$%&|<>{}[]=~^@\\/_+")] = True
 _STOP[list(b".,;:?\"'()-")] = True
 _LOUD[list(b"!")] = True
 _CHAR[:0x80] = _CHAR[0xC0:] = True
+#: Lines of a document from which on its messages are doubled.
+LONG = 512
 #: Statistics of a line; the evidence of a line holds them for it and both neighbours.
 WIDTH = 13
 
@@ -98,11 +100,40 @@ def _evidence(rows: np.ndarray, first: np.ndarray, mean: np.ndarray, scale: np.n
     return out
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of 2 x 2 matrices of logarithms."""
+    return np.logaddexp(a[:, :, :1] + b[:, :1, :], a[:, :, 1:] + b[:, 1:, :])
+
+
+def _doubled(score: np.ndarray, first: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages of every line by prefix products of its document's transitions."""
+    n = len(score)
+    size = np.diff(first)
+    place = np.arange(n) - np.repeat(first[:-1], size)
+    rest = np.repeat(size, size) - 1 - place
+    steps = tie[None] + score[:, None, :]
+    one = np.where(np.eye(2, dtype=bool), 0.0, -np.inf)[None]
+    upto = np.where((place > 0)[:, None, None], steps, one)
+    after = np.repeat(one, n, axis=0)
+    inner = np.flatnonzero(rest > 0)
+    after[inner] = steps[inner + 1]
+    d = 1
+    while d <= place.max(initial=0):
+        at = np.flatnonzero(place >= d)
+        upto[at] = _times(upto[at - d], upto[at])
+        at = np.flatnonzero(rest >= d)
+        after[at] = _times(after[at], after[at + d])
+        d *= 2
+    head = score[np.arange(n) - place]
+    return np.logaddexp(head[:, :1] + upto[:, 0], head[:, 1:] + upto[:, 1]), np.logaddexp(after[:, :, 0], after[:, :, 1])
+
+
 def forward_backward(emission: np.ndarray, first: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Marginal of the good label of every line, expected label pairs (2 x 2), and the sum of log normalisers.
 
     ``emission``: log-odds of good from a line's own evidence; ``first``: each document's first line, with one entry
-    more; ``tie``: transition weights.  Documents step together, the longest first, so memory is a few numbers a line.
+    more; ``tie``: transition weights.  Documents step together, the longest first, so memory is a few numbers a line;
+    where one has over ``LONG`` lines, messages come from products of doubling length instead of a step a line.
     """
     size = np.diff(first)
     order = np.argsort(-size, kind="stable")
@@ -110,17 +141,20 @@ def forward_backward(emission: np.ndarray, first: np.ndarray, tie: np.ndarray) -
     steps = int(size[0]) if len(size) else 0
     live = np.searchsorted(-size, -np.arange(1, steps + 1), "right")
     score = np.stack([np.zeros(len(emission)), emission], axis=1)
-    ahead, back = score.copy(), np.zeros((len(emission), 2))
-    for t in range(1, steps):
-        at = start[: live[t]] + t
-        before = ahead[at - 1]
-        for y in (0, 1):
-            ahead[at, y] += np.logaddexp(before[:, 0] + tie[0, y], before[:, 1] + tie[1, y])
-    for t in range(steps - 2, -1, -1):
-        at = start[: live[t + 1]] + t
-        after = back[at + 1] + score[at + 1]
-        for y in (0, 1):
-            back[at, y] = np.logaddexp(tie[y, 0] + after[:, 0], tie[y, 1] + after[:, 1])
+    if steps > LONG:
+        ahead, back = _doubled(score, first, tie)
+    else:
+        ahead, back = score.copy(), np.zeros((len(emission), 2))
+        for t in range(1, steps):
+            at = start[: live[t]] + t
+            before = ahead[at - 1]
+            for y in (0, 1):
+                ahead[at, y] += np.logaddexp(before[:, 0] + tie[0, y], before[:, 1] + tie[1, y])
+        for t in range(steps - 2, -1, -1):
+            at = start[: live[t + 1]] + t
+            after = back[at + 1] + score[at + 1]
+            for y in (0, 1):
+                back[at, y] = np.logaddexp(tie[y, 0] + after[:, 0], tie[y, 1] + after[:, 1])
     total = ahead + back
     norm = np.logaddexp(total[:, 0], total[:, 1])
     pairs = np.zeros((2, 2))
@@ -206,8 +240,11 @@ def train(rows: np.ndarray, length: np.ndarray, first: np.ndarray, label: np.nda
     return field
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Field | None:
-    """A field from at most ``rows`` labelled documents (doc_id, text) and (doc_id, quality); None without any."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, most_lines: int = 200_000) -> Field | None:
+    """A field from at most ``rows`` labelled documents (doc_id, text) and (doc_id, quality); None without any.
+
+    The driver gets at most ``most_lines`` lines (about 12 MB): documents of the sample that no longer fit are left out.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +254,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Field | None:
                 packed = [(lines[a:b].tobytes(), length[a:b].astype(np.int64).tobytes()) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], ["doc_id", "label", "lines", "length"])
 
-    got = labelled_texts(docs, labels, "quality", rows).mapInArrow(measure, "doc_id long, label int, lines binary, length binary").collect()
+    sample = checkpointed(labelled_texts(docs, labels, "quality", rows).withColumn("n_lines", F.size(F.split(F.col("text").cast("string"), "\n"))))
+    chosen, left = [], most_lines
+    for r in sorted(sample.select("doc_id", "n_lines").collect(), key=lambda r: (r.doc_id * 0x9E3779B1 & 0xFFFFFFFF, r.doc_id)):
+        if r.n_lines <= left:
+            chosen.append(r.doc_id)
+            left -= r.n_lines
+    got = sample.filter(F.col("doc_id").isin(chosen)).select("doc_id", "text", "label").mapInArrow(measure, "doc_id long, label int, lines binary, length binary").collect()
+    discard(sample)
     if not got:
         return None
     got.sort(key=lambda r: (r.doc_id, r.label, bytes(r.lines)))
@@ -249,8 +293,9 @@ def quality_scores(docs: DataFrame, field: Field | None) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, score (probability of good), n_lines (with a word).
 
     Texts without a word, null ones included, get the smoothed share of good among such training texts.  Without a
-    field (no labelled rows) every score is 0.5.  Repeated rows give repeated results, a null doc_id stays null, other
-    columns are ignored and an empty table gives an empty result.
+    field (no labelled rows) every score is 0.5.  Texts of any length are scored whole.  Repeated rows give repeated
+    results, a null doc_id stays null, other columns are ignored, whatever their names, and an empty table gives an empty
+    result.
     """
     return with_scores(docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text")), field).select("doc_id", "score", "n_lines")
 

@@ -31,6 +31,8 @@ LANES = 768
 LONGS = LANES * 2 // 64
 #: A pair is ruled out when its estimate is so many standard deviations below the threshold.
 SURE = 4.0
+#: Members of a bucket that are compared with one another in one place.
+BLOCK = 256
 #: Shingles whose minima are taken at once.
 _CHUNK = 1 << 14
 
@@ -227,8 +229,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 85, width: int = 5, lowe
     out one just at the threshold with a probability of 3e-5; both fall steeply above it.
 
     Null or wordless texts have no shingles and link with nothing.  Rows without doc_id link with nothing and come
-    back with a null component, kept.  A repeated row gives a repeated result.  Other columns of ``docs`` are ignored;
-    an empty table gives an empty result.
+    back with a null component, kept.  A repeated row gives a repeated result.  Different texts of one doc_id are one
+    document, which is linked where one of its texts is.  Texts of any length are read whole.  Other columns of ``docs``
+    are ignored, whatever their names; an empty table gives an empty result.
     """
     sign = checkpointed(signatures(docs, bands, rows, width, lower))
     filled = sign.filter("n_shingles > 0 and doc_id is not null")
@@ -263,13 +266,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 85, width: int = 5, lowe
     mixed = now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
     # Short forms of the keys tell whether a pair shares an earlier band too, so that it comes out once.
     short = reps.withColumn("keys", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")))
-    part = checkpointed(now.join(mixed, "key").join(short, "rep"))
-    facing = lambda name: part.select(F.col("key").alias(f"key_{name}"), F.col("band").alias(f"band_{name}"), F.col("keys").alias(f"keys_{name}"), F.col("rep").alias(name), F.col("component").alias(f"c_{name}"), F.col("n").alias(f"n_{name}"), F.col("f").alias(f"f_{name}"), *[F.col(c).alias(f"{name}{c[1:]}") for c in lanes])
+    # Large buckets are cut into blocks, and every block meets every other in a place of its own.
+    sizes = now.join(mixed, "key").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    part = checkpointed(now.join(sizes, "key").join(short, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    facing = lambda name, own, met: part.select(F.col("key").alias(f"key_{name}"), F.col("block").alias(f"{own}_{name}"), F.col("other").alias(f"{met}_{name}"), F.col("band").alias(f"band_{name}"), F.col("keys").alias(f"keys_{name}"), F.col("rep").alias(name), F.col("component").alias(f"c_{name}"), F.col("n").alias(f"n_{name}"), F.col("f").alias(f"f_{name}"), *[F.col(c).alias(f"{name}{c[1:]}") for c in lanes])
     earliest = reduce(lambda x, y: x & y, [(F.col("band_a") <= i) | (F.col("keys_a")[i] != F.col("keys_b")[i]) for i in range(bands - 1)], F.lit(True))
-    rest = facing("a").join(facing("b"), (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b")) & sized & probable & earliest).select("a", "b").distinct()
+    rest = facing("a", "x", "y").join(facing("b", "y", "x"), (F.col("key_a") == F.col("key_b")) & (F.col("x_a") == F.col("x_b")) & (F.col("y_a") == F.col("y_b")) & (F.col("c_a") < F.col("c_b")) & sized & probable & earliest).select("a", "b").distinct()
     done = tested[0].select("a", "b").union(tested[0].select("b", "a"))
     test(rest.join(done, ["a", "b"], "left_anti"))
-    links = links[0].union(links[1])
+    both_links, links = links, links[0].union(links[1])
 
     named = sets.select("set_hi", "set_lo", "rep")
     both = links.select("a", "b").union(links.select("b", "a")).distinct()
@@ -277,7 +282,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 85, width: int = 5, lowe
     named = named.select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     linked = filled.select("doc_id", "n_shingles", "set_hi", "set_lo").join(named, ["set_hi", "set_lo"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("links").alias("n_links"))
     alone = sign.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return linked.union(alone).select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"), "n_links")
+    out = checkpointed(linked.union(alone).select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"), "n_links"))
+    for done_with in (sign, sets, reps, live, texts, now, part, *tested, *both_links):
+        discard(done_with)
+    return out
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

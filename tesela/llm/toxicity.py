@@ -12,6 +12,7 @@ All models come from a bounded sample of labelled documents; scoring is one pass
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -20,10 +21,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_texts, table
+from .common import checkpointed, discard, fold, labelled_texts, table
 
 #: Common insults, and pronouns of the second person in English, German, French and Spanish.
 INSULTS = frozenset("idiot idiots moron morons stupid dumb scum trash loser losers pathetic worthless disgusting clown imbecile jerk creep vermin filth garbage idiota imbécil estúpido estúpida basura escoria dumm dummkopf abschaum arschloch crétin abruti ordure débile connard".split())
@@ -49,29 +50,56 @@ def terms(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
 
 
+class Reading(dict):
+    """What a token says: word, whether it was disguised, of the second person, a fixed insult, and its learned weight.
+
+    Texts repeat their tokens, so each is read once; the store starts anew when it is full.
+    """
+
+    def __init__(self, lexicon: dict[str, float], most: int = 1 << 18):
+        self.lexicon, self.most = lexicon, most
+
+    def __missing__(self, token: str) -> tuple[str, bool, bool, bool, float]:
+        word, changed = plain(token)
+        weight = max((self.lexicon.get(t, 0.0) for t in terms(word)), default=0.0) if self.lexicon and word else 0.0
+        if len(self) >= self.most:
+            self.clear()
+        out = self[token] = (word, changed, word in SECOND, word in INSULTS, weight)
+        return out
+
+
+def _capitals(text: str, lower: str) -> int:
+    if text == lower or text.islower():
+        return 0
+    if len(lower) != len(text):
+        return sum(map(str.isupper, text))
+    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in (text, lower))
+    return int(np.count_nonzero(a != b))
+
+
 def features(text: str, lexicon: dict[str, float]) -> list[float]:
+    """The dense features of a text, by a lexicon or a :class:`Reading` of one."""
+    read = lexicon if isinstance(lexicon, Reading) else Reading(lexicon)
+    lexicon = read.lexicon
     lower = text.lower()
     tokens = lower.split()
-    counts = Counter(tokens)
     fixed = learned = strongest = hidden = odd = second = 0.0
     found = set()
-    for token, times in counts.items():
-        word, changed = plain(token)
+    for token, times in Counter(tokens).items():
+        word, changed, you, insult, weight = read[token]
         if not word:
             continue
         odd += changed * times
-        second += (word in SECOND) * times
-        if word in INSULTS:
+        second += you * times
+        if insult:
             fixed += times
             hidden += changed * times
             found.add(token)
-        if lexicon:
-            weight = max((lexicon.get(t, 0.0) for t in terms(word)), default=0.0)
-            if weight:
-                learned += weight * times
-                strongest = max(strongest, weight)
-                hidden += (changed and word not in INSULTS) * times
-                found.add(token)
+        if weight:
+            learned += weight * times
+            strongest = max(strongest, weight)
+            hidden += (changed and not insult) * times
+            found.add(token)
     for m in _SPACED.finditer(lower):
         word = _NOT_LETTER.sub("", m[0])
         if word in INSULTS or lexicon.get(word):
@@ -83,12 +111,12 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
         gap = 1e9
         for i, token in enumerate(tokens):
             for kind in (True, False):
-                if (token in found) if kind else (token.strip(_EDGE) in SECOND):
+                if (token in found) if kind else read[token][2]:
                     gap = min(gap, i - last[not kind])
                     last[kind] = i
         near = 1 / (1 + gap)
     n, size = max(1, len(tokens)), max(1, len(text))
-    upper = sum(map(str.isupper, text)) if not text.islower() else 0
+    upper = _capitals(text, lower)
     marks = text.count("!")
     return [
         100 * fixed / n, np.log1p(fixed), np.log1p(learned), strongest, 100 * learned / n, hidden, 100 * second / n, near,
@@ -180,17 +208,21 @@ class Model:
         return np.clip(np.interp(margin, *self.knots) * 0.999 + 0.001 / (1 + np.exp(-margin)), 0.0, 1.0)
 
 
-def _lexicon(rows: list, toxic: float, clean: float, most: int) -> dict[str, float]:
-    """Weights (log odds) of the terms whose surplus in toxic documents is no chance: over five times as often there."""
-    out, base = {}, toxic / max(1.0, toxic + clean)
-    for term, t, c in rows:
-        lift = (t + 0.1) / (toxic + 0.2) / ((c + 0.5) / (clean + 1.0))
-        n = t + c
-        surprise = 2 * (t * np.log(max(t, 1e-9) / (n * base)) + (c * np.log(c / (n * (1 - base))) if c else 0.0)) if n and 0 < base < 1 else 0.0
-        if t >= 3 and lift > 5 and surprise > 20:
-            out[term] = (float(np.log(lift)), surprise)
-    best = sorted(out, key=lambda k: (-out[k][1], k))[:most]
-    return {k: out[k][0] for k in best}
+def _weighed(sums: DataFrame, toxic: Column, clean: Column, sizes: tuple[float, float], most: int) -> dict[str, float]:
+    """Weights (log odds) of the terms whose surplus in toxic documents is no chance: over five times as often there.
+
+    Terms are tested where they are counted; only the ``most`` surest of those that pass come to the driver.
+    """
+    n_toxic, n_clean = sizes
+    base = n_toxic / max(1.0, n_toxic + n_clean)
+    if not 0 < base < 1:
+        return {}
+    counted = sums.select("term", toxic.cast("double").alias("t"), clean.cast("double").alias("c")).filter("t >= 3")
+    lift = (F.col("t") + 0.1) / (n_toxic + 0.2) / ((F.col("c") + 0.5) / (n_clean + 1.0))
+    n = F.col("t") + F.col("c")
+    surprise = 2 * (F.col("t") * F.ln(F.col("t") / (n * base)) + F.when(F.col("c") > 0, F.col("c") * F.ln(F.col("c") / (n * (1 - base)))).otherwise(0.0))
+    sure = counted.select("term", lift.alias("lift"), surprise.alias("surprise")).filter("lift > 5 and surprise > 20")
+    return {r.term: math.log(r.lift) for r in sure.orderBy(F.desc("surprise"), "term").limit(most).collect()}
 
 
 def _half(doc_id: int) -> int:
@@ -201,14 +233,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, most_terms: int =
     """A model from at most ``rows`` toxic and as many other labelled documents; None where either is missing.
 
     Rows of each kind are weighted back to their share among all labelled rows, so scores are probabilities there.
-    ``most_terms`` bounds the learned lexicon, strongest terms first.
+    ``most_terms`` bounds the learned lexicon, surest terms first.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     share = {int(r.toxic): r["count"] for r in known.groupBy((F.col("toxic").cast("int") > 0).cast("int").alias("toxic")).count().collect()}
     if len(share) < 2:
         return None
     texts = reduce(DataFrame.union, [labelled_texts(docs, known.filter((F.col("toxic") > 0) == bool(k)), "toxic", rows) for k in (0, 1)])
-    texts = texts.select("doc_id", F.col("text").cast("string").alias("text"), (F.col("label") > 0).cast("int").alias("label"))
+    texts = checkpointed(texts.select("doc_id", F.col("text").cast("string").alias("text"), (F.col("label") > 0).cast("int").alias("label")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[tuple[int, int], Counter] = {}
@@ -224,12 +256,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, most_terms: int =
 
     counted = texts.mapInArrow(count, "term string, kind int, n long")
     sums = counted.groupBy("term").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)])
-    likely = sums.filter("n1 + n3 >= 3 and n1 + n3 > 0.3 * (n0 + n2)").orderBy(F.desc("n1"), F.desc("n3"), "term").limit(20 * most_terms).collect()
+    sums = checkpointed(sums.filter("n1 + n3 >= 3"))
 
-    measured: list[tuple[int, int, list[float]]] = []
     sizes = Counter((_half(r.doc_id), r.label) for r in texts.select("doc_id", "label").collect())
-    size = lambda k: (float(sizes[k // 2, 1]), float(sizes[k // 2, 0]))
-    of = {half: _lexicon([(r.term, r[f"n{2 * half + 1}"], r[f"n{2 * half}"]) for r in likely], *size(2 * half), most_terms) for half in (0, 1)}
+    size = lambda k: (float(sizes[k, 1]), float(sizes[k, 0]))
+    of = [Reading(_weighed(sums, F.col(f"n{2 * half + 1}"), F.col(f"n{2 * half}"), size(half), most_terms)) for half in (0, 1)]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, most_terms: int =
                 x = features(text or "", of[1 - _half(i)])
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([label], pa.int32()), pa.array([x], pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-    measured = sorted((r.doc_id, r.label, list(r.x)) for r in texts.mapInArrow(measure, "doc_id long, label int, x array<double>").collect())
+    measured: list[tuple[int, int, list[float]]] = sorted((r.doc_id, r.label, list(r.x)) for r in texts.mapInArrow(measure, "doc_id long, label int, x array<double>").collect())
     if len({m[1] for m in measured}) < 2:
         return None
     y = np.array([m[1] for m in measured])
@@ -250,7 +281,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, most_terms: int =
         if (part == k).any():
             inside = part != k
             margin[~inside] = boost(x[inside], y[inside], weight[inside]).margin(x[~inside]) if inside.any() else 0.0
-    whole = _lexicon([(r.term, r.n1 + r.n3, r.n0 + r.n2) for r in likely], size(0)[0] + size(2)[0], size(0)[1] + size(2)[1], most_terms)
+    whole = _weighed(sums, F.col("n1") + F.col("n3"), F.col("n0") + F.col("n2"), (size(0)[0] + size(1)[0], size(0)[1] + size(1)[1]), most_terms)
+    discard(sums), discard(texts)
     return Model(whole, boost(x, y, weight), isotonic(margin, y, weight))
 
 
@@ -258,12 +290,13 @@ def toxicity_scores(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, score (probability of toxic).
 
     A null text counts as empty; an empty one is scored by its features like any other.  Without a model (labels of
-    one kind only) the score is the share of fixed insults among the words.  Repeated rows give repeated results, a
-    null doc_id stays null, other columns are ignored and an empty table gives an empty result.
+    one kind only) the score is the share of fixed insults among the words.  Texts of any length are scored whole.
+    Repeated rows give repeated results, a null doc_id stays null, other columns are ignored, whatever their names, and an
+    empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = model.lexicon if model else {}
+        lexicon = Reading(model.lexicon if model else {})
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)

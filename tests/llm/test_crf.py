@@ -35,6 +35,26 @@ def test_forward_backward_matches_all_labelings():
     assert np.isclose(pairs.sum(), sum(max(0, n - 1) for n in sizes))
 
 
+def test_doubling_gives_the_same_messages(monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes = [700, 1, 0, 65, 2, 513]
+    first, tie = np.concatenate([[0], np.cumsum(sizes)]), rng.normal(size=(2, 2))
+    emission = rng.normal(size=first[-1]) * 3
+    got = crf.forward_backward(emission, first, tie)
+    monkeypatch.setattr(crf, "LONG", 10**9)
+    want = crf.forward_backward(emission, first, tie)
+    assert all(np.allclose(g, w) for g, w in zip(got, want, strict=True))
+
+
+def test_a_document_of_very_many_lines(spark):
+    rows = [(i, "Plain words, here in a line.\nAnother quiet line of words.") for i in range(6)] + [(10 + i, "BUY!! NOW!! BUY!! NOW!!\n### $$$ BUY!!") for i in range(6)]
+    docs = spark.createDataFrame([*rows, (30, "Plain words, here in a line.\n" * 100_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([*[(i, 1) for i in range(6)], *[(10 + i, 0) for i in range(6)], (30, 1)], "doc_id long, quality int")
+    field = crf.fit(docs, labels, most_lines=500)
+    by = {r.doc_id: (r.score, r.n_lines) for r in crf.quality_scores(docs, field).collect()}
+    assert by[30][0] > 0.5 > by[10][0] and by[30][1] == 100_000
+
+
 def test_held_out_accuracy(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
