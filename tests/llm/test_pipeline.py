@@ -48,3 +48,22 @@ def test_near_copies_from_a_similarity_of_eight_tenths_on_go(spark, sf):
     rows = [(1, other(), "en", "a", 1), (2, other(27), "en", "b", 1), (3, other(10, 40), "en", "c", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == [1, 3]
+
+
+def test_odd_rows_have_defined_results(spark, sf):
+    """Nulls, repeats, several texts of one doc_id, very long texts and clashing names in every stage."""
+    text = " ".join(f"word{i}" for i in range(60)) + "."
+    rows = [(1, text, "en", "a", 9), (1, text, "en", "a", 9), (1, text, "de", "b", 8), (1, "quite another text of that id, with words.", "en", "a", 1), (2, text, "en", "c", 9), (None, text, None, None, None), (3, None, None, "a", None), (4, "", "en", None, 0), (5, "long line of words here. " * 40_000, "en", "a", 1), (6, " \n ", "en", "a", 3)]
+    docs = spark.createDataFrame([(*r, "x", 1, 0.5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, kept int, score double")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == corpus_pipeline.COLUMNS, name
+        ids = sorted((r.doc_id for r in out.collect()), key=str)
+        if name == "line_dedup":
+            assert ids == sorted((r[0] for r in rows), key=str)
+        if name == "near_dedup":
+            assert ids == [1, 1, 3, 4, 5, 6, None] and out.filter(f"doc_id = 1 and lang = 'de'").count() == 1
+        if name == "mixing":
+            assert set(ids) == {r[0] for r in rows} and len(ids) >= len(rows)
+    pieces = corpus_pipeline.packed(spark, docs, sf).collect()
+    assert {p.doc_id for p in pieces} == {r[0] for r in rows}
