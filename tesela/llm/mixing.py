@@ -112,13 +112,13 @@ def _total(of: str, domains: int) -> list[Column]:
     return [F.sum(F.col(of) * F.col("p")[k]).alias(f"m{k}") for k in range(domains)]
 
 
-def fitted(cells: DataFrame, want: list[float], least: float, close: float) -> DataFrame:
+def fitted(cells: DataFrame, want: list[float], least: float, most: float, close: float) -> DataFrame:
     """``cells`` (p, n) with ``rate``: the rates whose totals come nearest ``want``, from 1 on.
 
-    A step goes along the gradient, scaled by the second moments of the cells that it can move (those at the bound which
-    it would push further down stay), and is projected on the bound.  One that doesn't lower the squared gap is halved.
-    Steps end when every total is within ``close`` of its target, relative to it, or at the least squares, when none
-    lowers the squared gap by a millionth any more.
+    A step goes along the gradient, scaled by the second moments of the cells that it can move (those at a bound which it
+    would push beyond it stay), and is projected on the bounds.  Where that doesn't lower the squared gap by a millionth
+    the plain gradient step is taken, which does unless this is the least squares.  Steps end there, or when every total
+    is within ``close`` of its target, relative to it.
     """
     k = len(want)
 
@@ -135,25 +135,31 @@ def fitted(cells: DataFrame, want: list[float], least: float, close: float) -> D
     metric = moments(cells)
     metric = np.linalg.inv(metric + np.eye(k) * 1e-9 * max(np.trace(metric), 1e-300))
     root = np.linalg.cholesky((metric + metric.T) / 2).T
-    cells = checkpointed(cells.withColumn("rate", F.lit(max(1.0, least))))
-    gap, share = gap_of(cells), 1.0
-    while (abs(gap) > close * np.array(want)).any() and share > 1e-3:
-        free = moments(cells.filter((F.col("rate") > least) | (toward(metric @ gap) < 0)))
-        step = np.linalg.lstsq(root @ free, root @ gap, rcond=1e-9)[0]
-        after = checkpointed(cells.select("p", "n", F.greatest(F.lit(least), F.col("rate") - toward(share * step)).alias("rate")))
-        then = gap_of(after)
-        better = then @ metric @ then < (1 - 1e-6) * (gap @ metric @ gap)
-        discard(cells if better else after)
-        cells, gap, share = (after, then, min(1.0, 2 * share)) if better else (cells, gap, share / 4)
+    cells = checkpointed(cells.withColumn("rate", F.lit(min(max(1.0, least), most))))
+    gap = gap_of(cells)
+    while (abs(gap) > close * np.array(want)).any():
+        push = toward(metric @ gap)
+        free = moments(cells.filter(((F.col("rate") > least) | (push < 0)) & ((F.col("rate") < most) | (push > 0))))
+        for step in (np.linalg.lstsq(root @ free, root @ gap, rcond=1e-9)[0], metric @ gap):
+            rate = F.least(F.lit(most), F.greatest(F.lit(least), F.col("rate") - toward(step)))
+            after = checkpointed(cells.select("p", "n", rate.alias("rate")))
+            then = gap_of(after)
+            better = then @ metric @ then < (1 - 1e-6) * (gap @ metric @ gap)
+            discard(cells if better else after)
+            if better:
+                cells, gap = after, then
+                break
+        else:
+            break
     return cells
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, growth: float = 1.0, carry: list[str] | None = None, rows: int = 6000, close: float = 1e-3) -> DataFrame:
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, most: float = math.inf, growth: float = 1.0, carry: list[str] | None = None, rows: int = 6000, close: float = 1e-3) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): row (a struct of the columns in ``carry``, or all), doc_id, n_tokens, p, rate.
 
     ``targets`` gives domains their shares of tokens (made to sum to 1); ``labelled`` (doc_id, domain) trains the
     classifier on at most ``rows`` documents.  Expected totals are to sum to ``growth`` times the corpus' own
-    tokens, and rates stay at ``least`` or above.  Every domain's total comes within ``close`` of its target, relative
+    tokens, and rates stay between ``least`` and ``most``.  Every domain's total comes within ``close`` of its target, relative
     to it; targets that such rates can't meet end at the least squares.
 
     Null, empty and blank texts have no tokens and count for nothing, but still get a rate; texts of any length are read
@@ -168,8 +174,8 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least
     cells = checkpointed(scored.groupBy("p").agg(F.sum("n_tokens").cast("double").alias("n")))
     size = cells.agg(F.sum("n").alias("n"), F.count("*").alias("cells")).first()
     if not size["n"]:
-        return scored.withColumn("rate", F.lit(max(1.0, least)))
-    rates = fitted(cells, [goal[d] * growth * size["n"] for d in domains], least, close).select(F.col("p").alias("of"), "rate")
+        return scored.withColumn("rate", F.lit(min(max(1.0, least), most)))
+    rates = fitted(cells, [goal[d] * growth * size["n"] for d in domains], least, most, close).select(F.col("p").alias("of"), "rate")
     # There are as many cells as rounded posteriors, however many documents: with three domains half a million at most.
     rates = F.broadcast(rates) if size["cells"] <= MOST_BROADCAST else rates.hint("merge")
     return scored.join(rates, F.col("p") == F.col("of")).drop("of")

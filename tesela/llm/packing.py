@@ -181,24 +181,27 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                row, out = [], [[] for _ in range(5)]
-                for i, (pieces, n, packed) in enumerate(zip(*(part.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
-                    ids = _unpacked(packed, n)
-                    for p in pieces:
-                        start, end, shift = p["start"], p["start"] + p["length"], p["at"] - p["start"]
-                        while start < end:
-                            where = shift + start
-                            length = min(end - start, window - where % window)
-                            for column, v in zip(out, (start, length, ids[start : start + length].tobytes(), n, where), strict=True):
-                                column.append(v)
-                            row.append(i)
-                            start += length
-                place, rows = np.array(out[4], np.int64), pa.array(row, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(rows), part.column(1).take(rows), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64()), pa.array(place // window), pa.array(place % window)], names
-                )
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                held, n = part.column(2), part.column(3).to_numpy()
+                flat = held.flatten()
+                start, length, at = (flat.field(c).to_numpy() for c in ("start", "length", "at"))
+                row = np.repeat(np.arange(len(n)), np.diff(held.offsets.to_numpy()))
+                order = np.lexsort((start, row))
+                start, length, at, row = start[order], length[order], at[order], row[order]
+                # Pieces over a window's border become one a window.
+                parts = (at + length - 1) // window - at // window + 1
+                which = np.repeat(np.arange(len(at)), parts)
+                k = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+                lo_ = np.maximum(at[which], (at[which] // window + k) * window)
+                hi_ = np.minimum((at + length)[which], (at[which] // window + k + 1) * window)
+                row, start, length = row[which], start[which] + lo_ - at[which], hi_ - lo_
+                # In the order of their starts a document's pieces tile it, so the ids' bytes stay where they are.
+                ids = np.concatenate([_unpacked(p, m) for p, m in zip(part.column(4).to_pylist(), n.tolist(), strict=True)] or [np.zeros(0, "<u4")])
+                cuts = pa.array(4 * np.concatenate([[0], np.cumsum(length)]), pa.int64())
+                data = pa.Array.from_buffers(pa.large_binary(), len(row), [None, cuts.buffers()[1], pa.py_buffer(ids.tobytes())]).cast(pa.binary())
+                rows = pa.array(row, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(start), pa.array(length), data, pa.array(n[row]), pa.array(lo_ // window), pa.array(lo_ % window)], names)
 
     # Rows are named by doc_id and a hash of all they hold, the same whenever it is computed; rows alike in both are copies.
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("doc_id", "source", "text").alias("key"), F.col("text").cast("string").alias("text"))

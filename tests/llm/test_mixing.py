@@ -40,6 +40,13 @@ def test_rates_are_a_least_squares_optimum(spark, share, least):
     assert abs(slope[free]).max(initial=0) < 1e-2 and (slope[~free] > -1e-2).all()
 
 
+def test_rates_keep_to_both_bounds(spark):
+    """A rare domain can't meet its target within four copies: all of it gets four."""
+    docs, labels = corpus(spark)
+    out = mixing.mixed(docs, labels, {"a": 0.1, "b": 0.9}, least=1.0, most=4.0).collect()
+    assert {round(r.rate, 6) for r in out if r.doc_id >= 100} == {4.0} and all(1 <= r.rate <= 4 for r in out)
+
+
 def test_targets_are_met_on_the_table(spark, sf):
     """Expected totals within a thousandth of their targets."""
     out = mixing.op7(spark, sf.replace("sf0.001", "sf0.01"))
