@@ -53,13 +53,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that expected domain tokens come nearer the targets; every document stays at least once.
+    """Documents repeated so that expected domain tokens come nearer the targets; every document stays at least once, four times at most.
 
     Null and wordless texts count for nothing and stay once.  Repeated rows get the same rate each, a null doc_id passes
     like any other, texts of any length are read whole, columns beside the five are dropped, empty stays empty.
     """
     labelled = mixing.domains_of(table(spark, sf_dir, "labels"))
-    out = mixing.mixed(docs.select(*COLUMNS), labelled, mixing.TARGETS, least=1.0, growth=1.1)
+    out = mixing.mixed(docs.select(*COLUMNS), labelled, mixing.TARGETS, least=1.0, most=4.0, growth=1.1)
     out = out.withColumn("copies", mixing.copies(F.col("rate"), F.col("doc_id"), F.col("row.text")))
     return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("copies", F.lit(1)))).alias("copy")).select("row.*")
 
