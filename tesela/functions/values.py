@@ -59,20 +59,47 @@ def lockout_seconds(failures: Column) -> Column:
 
 
 def locale_number(text: Column) -> Column:
-    """A number written with points and commas in either role, or with spaces between groups of three; null otherwise."""
-    t = F.trim(text)
-    plain = F.regexp_replace(t, " ", "")
+    """A number written with commas, points or blanks between groups of three, or with a decimal comma; null otherwise.
+
+    One group after a point is decimals (``1.250`` is 1.25); two or more are thousands.  A last point or comma is dropped.
+    """
+    t = F.regexp_replace(F.trim(text), "[.,]+$", "")
+    plain = F.regexp_replace(t, "[, ]", "")
+    swapped = F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     return (
-        F.when(t.rlike(r"^[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$"), F.regexp_replace(t, ",", ""))
-        .when(t.rlike(r"^[0-9]{1,3}(\.[0-9]{3})+(,[0-9]+)?$"), F.replace(F.regexp_replace(t, r"\.", ""), F.lit(","), F.lit(".")))
-        .when(t.rlike(r"^[0-9]{1,3}( [0-9]{3})+([.,][0-9]+)?$"), F.replace(plain, F.lit(","), F.lit(".")))
-        .when(t.rlike(r"^[0-9]+(\.[0-9]+)?$"), t)
-        .when(t.rlike(r"^[0-9]+,[0-9]+$"), F.replace(t, F.lit(","), F.lit(".")))
-        .cast("double")
+        F.when(t.rlike(r"^[0-9]{1,3}([, ][0-9]{3})+(\.[0-9]+)?$"), plain)
+        .when(t.rlike(r"^[0-9]{1,3}(\.[0-9]{3}){2,}(,[0-9]+)?$") | t.rlike(r"^[0-9]+,[0-9]{1,2}$"), swapped)
+        .when(plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), plain)
+        .try_cast("double")
     )
 
 
 def pesos(text: Column) -> Column:
-    """Whole units with optional sign ``$`` and groups of three; null for cents or other groups."""
-    t = F.trim(F.regexp_replace(text, r"^\s*\$", ""))
-    return F.when(t.rlike("^([0-9]+|[0-9]{1,3}(,[0-9]{3})+)$"), F.regexp_replace(t, ",", "")).cast("long")
+    """Whole units with optional sign ``$`` and groups of three after commas, blanks or points; null for cents or other groups."""
+    t = F.trim(F.regexp_replace(F.trim(text), r"^\$", ""))
+    return F.when(t.rlike("^([0-9]+|[0-9]{1,3}([, .][0-9]{3})+)$"), F.regexp_replace(t, "[, .]", "")).try_cast("long")
+
+
+def annual(amount: Column, period: Column) -> Column:
+    """What an amount is worth in a year: twelve times a monthly one."""
+    return F.when(period == "monthly", amount * 12).otherwise(amount).cast("long")
+
+
+def days_between(start: Column, end: Column) -> Column:
+    return F.datediff(end, start).cast("long")
+
+
+def add_days(day: Column, days: Column | int) -> Column:
+    return F.date_add(day, days)
+
+
+def banded(value: Column, bands: list[tuple[str, float]], last: str) -> Column:
+    """The name of the first band (name, upper bound, itself outside) that holds a value; ``last`` beyond all; null for null."""
+    out = F.when(value.isNull(), F.lit(None).cast("string"))
+    for name, below in bands:
+        out = out.when(value < below, name)
+    return out.otherwise(last)
+
+
+#: Seniority in years, and age bands of two kinds of institution.
+SENIORITY = ([("under 1", 1), ("1 to 4", 5), ("5 to 9", 10)], "10 and over")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesela.functions.text import dehyphenated, normal
+
 
 def as_of(changes: DataFrame, keys: list[str], at: str, tie: str, value: str, moment: Column) -> DataFrame:
     """The last value of each key at a moment; a value emptied by then is null, a key without changes has no row."""
@@ -51,13 +53,76 @@ def issues(rows: DataFrame, key: str, rules: list[tuple[str, str, bool, Column]]
 
 def evidence(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """``quotes`` (quote_id, doc, cited, quote) with ``page``, the nearest page of the document that holds the quote, and
-    ``state``: verified on the cited page, relocated, or rejected (also quotes under three characters)."""
-    near = quotes.join(pages.select("doc", F.col("page").alias("p"), F.col("text").alias("page_text")), "doc")
-    hit = near.filter((F.length("quote") >= 3) & F.contains("page_text", "quote")).groupBy("quote_id").agg(F.min_by("p", F.struct(F.abs(F.col("p") - F.col("cited")), F.col("p"))).alias("page"))
+    ``state``: verified on the cited page, relocated, or rejected.
+
+    Quotes and pages are compared in their normal forms, as they are and with words joined that a line break split.  A
+    quote under twelve characters must be a whole line or cell (between bars or tabs), one under three is never found.
+    """
+    forms = lambda c: F.array(normal(F.col(c)), normal(dehyphenated(F.col(c))))
+    asked = quotes.withColumn("sought", forms("quote"))
+    cells = F.transform(F.split(F.col("text"), "\n|\\||\t"), normal)
+    near = asked.join(pages.select("doc", F.col("page").alias("p"), forms("text").alias("held"), cells.alias("cells")), "doc")
+    length = F.length(F.trim("quote"))
+    inside = F.contains(F.col("held")[0], F.col("sought")[0]) | F.contains(F.col("held")[1], F.col("sought")[1])
+    found = (length >= 3) & (F.col("sought")[0] != "") & F.when(length < 12, F.array_contains("cells", F.col("sought")[0])).otherwise(inside)
+    hit = near.filter(found).groupBy("quote_id").agg(F.min_by("p", F.struct(F.abs(F.col("p") - F.col("cited")), F.col("p"))).alias("page"))
     out = quotes.join(hit, "quote_id", "left")
     return out.withColumn("state", F.when(F.col("page").isNull(), "rejected").when(F.col("page") == F.col("cited"), "verified").otherwise("relocated"))
 
 
+def optional(rows: DataFrame, **wanted: object) -> DataFrame:
+    """``rows`` filtered by the columns that are given; None asks for nothing."""
+    for column, value in wanted.items():
+        rows = rows if value is None else rows.filter(F.col(column) == F.lit(value))
+    return rows
+
+
+def unhidden(rows: DataFrame, column: str = "hidden") -> DataFrame:
+    """Rows that nobody hid; a null counts as hidden, as it does in the original's comparison."""
+    return rows.filter(F.col(column) == F.lit(0))
+
+
+def kept_by_person(by_rule: Column, by_person: Column) -> Column:
+    """What a person set, else what a rule says: rules never override people."""
+    return F.when(by_person.isNotNull(), by_person).otherwise(by_rule)
+
+
+def titled(rows: DataFrame, key: str, titles: DataFrame, default: str) -> DataFrame:
+    """``rows`` with ``title`` from the small list ``titles`` (id, title), or the default label."""
+    named = F.broadcast(titles.groupBy(F.col("id").alias("_id")).agg(F.min("title").alias("title")))
+    return rows.join(named, F.col(key) == F.col("_id"), "left").drop("_id").withColumn("title", F.coalesce("title", F.lit(default)))
+
+
+def by_code_of_list(rows: DataFrame, column: str, catalog: DataFrame) -> DataFrame:
+    """:func:`by_catalog` over a column that holds several codes a row."""
+    return by_catalog(rows.select(F.explode(column).alias("code_")), "code_", catalog)
+
+
+def is_filled(value: Column, is_list: bool = False) -> Column:
+    """A list with an item, or a text that is not blank."""
+    return F.coalesce(F.size(value) > 0 if is_list else F.trim(value.cast("string")) != "", F.lit(False))
+
+
+def missing(rows: DataFrame, key: str, fields: list[tuple[str, bool, Column | None]]) -> DataFrame:
+    """key and field of the required fields (name, required, the condition under which it applies) that are not filled."""
+    told = [F.when(F.coalesce(when, F.lit(False)) if when is not None else F.lit(True), F.when(~is_filled(F.col(name)), F.lit(name))) for name, required, when in fields if required]
+    return rows.select(key, F.explode(F.array_compact(F.array(*told))).alias("field"))
+
+
+def without_hidden_values(rows: DataFrame, fields: list[tuple[str, bool, Column | None]]) -> DataFrame:
+    """``rows`` with null in the fields that don't apply."""
+    hidden = {name: F.when(F.coalesce(when, F.lit(False)), F.col(name)) for name, _, when in fields if when is not None}
+    return rows.select(*[hidden[c].alias(c) if c in hidden else F.col(c) for c in rows.columns])
+
+
+def progress(fields: list[tuple[str, bool, Column | None]]) -> Column:
+    """Percent of the fields that apply which are filled, rounded down; 100 where none applies."""
+    applies = [F.coalesce(when, F.lit(False)) if when is not None else F.lit(True) for _, _, when in fields]
+    total = sum((a.cast("int") for a in applies[1:]), applies[0].cast("int"))
+    filled = [(a & is_filled(F.col(name))).cast("int") for a, (name, _, _) in zip(applies, fields, strict=True)]
+    return F.when(total == 0, 100).otherwise(F.floor(100 * sum(filled[1:], filled[0]) / total)).cast("long")
+
+
 def repeated_lines(lines: DataFrame, least: int = 3) -> DataFrame:
     """``lines`` (doc, page, shape, ...) without those whose shape stands on ``least`` pages of a document or more."""
     headers = lines.groupBy("doc", "shape").agg(F.countDistinct("page").alias("n")).filter(F.col("n") >= least)

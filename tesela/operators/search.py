@@ -33,10 +33,15 @@ def bm25(docs: DataFrame, terms: list[str], k: int | None = None) -> DataFrame:
     """
     read = docs.select("doc_id", tokens(F.col("text")).alias("t"))
     counted = read.select("doc_id", F.size("t").alias("len"), *[_begun(p).alias(f"n{i}") for i, p in enumerate(terms)])
-    stats = counted.agg(F.count("*").alias("rows"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"n{i}") > 0).alias(f"d{i}") for i in range(len(terms))])
+    return _ranked(counted, len(terms), k)
+
+
+def _ranked(counted: DataFrame, terms: int, k: int | None) -> DataFrame:
+    """doc_id and score of counted (doc_id, len, n0...)."""
+    stats = counted.agg(F.count("*").alias("rows"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"n{i}") > 0).alias(f"d{i}") for i in range(terms)])
     some = F.lit(False)
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i in range(terms):
         raw = F.ln((F.col("rows") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))
         tf = F.col(f"n{i}")
         score = score - F.when(raw <= 0, 1e-6).otherwise(raw) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("mean")))
@@ -79,3 +84,21 @@ def quality(found: DataFrame, k: int = 5) -> DataFrame:
     best = found.groupBy("query").agg(F.min(F.when(F.col("relevant") & (F.col("rank") <= k), F.col("rank"))).alias("r"))
     share = lambda c: F.avg(F.coalesce(c.cast("double"), F.lit(0.0)))
     return best.agg(share(F.col("r") <= 1).alias("hit1"), share(F.col("r") <= 3).alias("hit3"), share(1 / F.col("r")).alias("mrr"))
+
+
+def best_chunk(found: DataFrame) -> DataFrame:
+    """``found`` (query, page, similarity) as the best similarity of each page; those not above 0 are dropped."""
+    return found.groupBy("query", "page").agg(F.max("similarity").alias("similarity")).filter("similarity > 0")
+
+
+def weighted_bm25(docs: DataFrame, terms: list[str], k: int | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+    """doc_id and score over several text columns: a term's count is the weighted sum of its counts in each (title 5, body 1).
+
+    Length and mean length are of all columns together.  The counts are written into one pass, as in :func:`bm25`.
+    """
+    weights = weights or {"title": 5.0, "body": 1.0}
+    read = docs.select("doc_id", *[tokens(F.col(c)).alias(f"t_{c}") for c in weights])
+    hits = lambda c, p: F.size(F.filter(f"t_{c}", lambda w: w.startswith(p)))
+    length = sum((F.size(f"t_{c}") for c in list(weights)[1:]), F.size(f"t_{next(iter(weights))}"))
+    count = lambda p: sum((w * hits(c, p) for c, w in weights.items()), F.lit(0.0))
+    return _ranked(read.select("doc_id", length.alias("len"), *[count(p).alias(f"n{i}") for i, p in enumerate(terms)]), len(terms), k)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import documents, tables
+from . import documents, tables, usage
 
 FLAGSHIP = "pii_scan_counts"
-QUERIES: dict = documents.QUERIES | tables.QUERIES
-ORACLES: dict[str, str] = documents.ORACLES | tables.ORACLES
+QUERIES: dict = documents.QUERIES | tables.QUERIES | usage.QUERIES
+ORACLES: dict[str, str] = documents.ORACLES | tables.ORACLES | usage.ORACLES

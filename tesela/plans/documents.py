@@ -62,7 +62,7 @@ def search_bm25(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(_t(spark, d, "documents"), _TERMS, 20)
 
 
-_TOKENS = "regexp_extract_all(translate(lower(coalesce(text, '')), 'áàäâéèëêíìïîóòöôúùüû', 'aaaaeeeeiiiioooouuuu'), '[a-zñß0-9]+')"
+_TOKENS = "regexp_extract_all(translate(lower(coalesce(text, '')), 'áàäéèëíìïóòöúùü', 'aaaeeeiiiooouuu'), '[a-zñß0-9]+')"
 _SCORE = " + ".join(f"greatest(-1, CASE WHEN ln((n_rows - d{i} + 0.5) / (d{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_rows - d{i} + 0.5) / (d{i} + 0.5)) END * n{i} * 2.2 / (n{i} + 1.2 * (0.25 + 0.75 * len / mean)))" for i in range(len(_TERMS)))
 SEARCH_BM25_SQL = f"""
 WITH t AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
@@ -143,9 +143,10 @@ def evidence_states(spark: SparkSession, d: str) -> DataFrame:
     return records.evidence(quotes, talk).groupBy("state").agg(F.count("*").alias("quotes"))
 
 
-EVIDENCE_STATES_SQL = """
+N, H = r"trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))", r"regexp_replace({x}, '(\p{{L}})-\s+(\p{{Ll}})', '\1\2', 'g')"
+EVIDENCE_STATES_SQL = f"""
 WITH q AS (SELECT conv_id, turn, turn - turn % 2 AS cited, substr(text, 5, 40) AS quote FROM conversations),
-h AS (SELECT q.conv_id, q.turn, arg_min(c.turn, abs(c.turn - cited) * 1000000 + c.turn) AS page FROM q JOIN conversations c ON c.conv_id = q.conv_id AND length(quote) >= 3 AND contains(c.text, quote) GROUP BY ALL)
+h AS (SELECT q.conv_id, q.turn, arg_min(c.turn, abs(c.turn - cited) * 1000000 + c.turn) AS page FROM q JOIN conversations c ON c.conv_id = q.conv_id AND length(trim(quote)) >= 3 AND {N.format(x='quote')} <> '' AND CASE WHEN length(trim(quote)) < 12 THEN list_contains(list_transform(regexp_split_to_array(c.text, '\n|[|]|\t'), lambda x: {N.format(x='x')}), {N.format(x='quote')}) ELSE contains({N.format(x='c.text')}, {N.format(x='quote')}) OR contains({N.format(x=H.format(x='c.text'))}, {N.format(x=H.format(x='quote'))}) END GROUP BY ALL)
 SELECT CASE WHEN page IS NULL THEN 'rejected' WHEN page = cited THEN 'verified' ELSE 'relocated' END AS state, count(*) AS quotes FROM q LEFT JOIN h USING (conv_id, turn) GROUP BY 1
 """
 

@@ -57,24 +57,30 @@ def office_text(name: str, data: bytes) -> str:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """path, piece, text, error of the office files under a folder: unsupported, too_large, damaged or null."""
+    """path, piece, text, error of the office files under a folder: unsupported, too_large, protected, damaged or null.
+
+    Files over the limit are told by their length alone, so their content is never read.
+    """
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for name, data, length in zip(frame["path"], frame["content"], frame["length"], strict=True):
+            for name, data in zip(frame["path"], frame["content"], strict=True):
                 try:
-                    if length > MOST_BYTES:
-                        rows.append((name, 0, None, "too_large"))
-                    elif not name.lower().endswith((".docx", ".xlsx")):
+                    if not name.lower().endswith((".docx", ".xlsx")):
                         rows.append((name, 0, None, "unsupported"))
                     else:
                         rows += [(name, i, p, None) for i, p in enumerate(pieces(office_text(name.lower(), bytes(data))))]
+                except RuntimeError:
+                    rows.append((name, 0, None, "protected"))
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError):
                     rows.append((name, 0, None, "damaged"))
             yield pd.DataFrame(rows, columns=["path", "piece", "text", "error"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content", "length").mapInPandas(read, "path string, piece int, text string, error string")
+    found = spark.read.format("binaryFile").load(path)
+    small = found.filter(F.col("length") <= MOST_BYTES).select("path", "content").mapInPandas(read, "path string, piece int, text string, error string")
+    large = found.filter(F.col("length") > MOST_BYTES).select("path", F.lit(0).alias("piece"), F.lit(None).cast("string").alias("text"), F.lit("too_large").alias("error"))
+    return small.union(large)
 
 
 def append(df: DataFrame, path: str) -> None:

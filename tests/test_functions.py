@@ -19,11 +19,11 @@ def one(spark, column):
 @pytest.mark.parametrize(
     ("function", "value", "want"),
     [
-        (checks.clabe_valid, "002115016003269411", True), (checks.clabe_valid, "002115016003269412", False), (checks.nss_valid, "42859012348", True), (checks.nss_valid, "42859012349", False),
+        (checks.clabe_valid, "002115016003269411", True), (checks.clabe_valid, "002115016003269412", False), (checks.nss_valid, "73015628404", True), (checks.nss_valid, "73015628405", False),
         (checks.card_valid, "4539 1488 0343 6467", True), (checks.card_valid, "4539148803436468", False), (checks.plausible_yymmdd, "010229", True), (checks.plausible_yymmdd, "010431", False),
         (text.search_fold, "Niño ÁRBOL", "niño arbol"), (text.scan_fold, "Niño árbol", "NINO ARBOL"), (text.normal, "  A--b, ¡C 3! ", "a b c 3"), (text.line_shape, "Page 12 of 340", "page # of #"),
         (text.dehyphenated, "exam-\nple Co-Op", "example Co-Op"), (text.cleaned, "ﬁn \n\n\n\nx", "fin\n\nx"), (values.pesos, "$ 1,250,000", 1250000), (values.pesos, "12,50", None), (values.pesos, "10.50", None),
-        (values.locale_number, "1,250,000.50", 1250000.5), (values.locale_number, "1.250.000,50", 1250000.5), (values.locale_number, "1,5", 1.5), (values.locale_number, "250 000", 250000.0), (values.locale_number, "x", None),
+        (values.locale_number, "1,250,000.50", 1250000.5), (values.locale_number, "1.250.000,50", 1250000.5), (values.locale_number, "1,5", 1.5), (values.locale_number, "250 000", 250000.0), (values.locale_number, "x", None), (values.locale_number, "1.250", 1.25), (values.locale_number, "1,234567", 1234567.0), (values.locale_number, "250,", 250.0), (values.pesos, "1.250.000", 1250000), (values.pesos, "1 250", 1250), (values.pesos, "99999999999999999999", None), (checks.nss_valid, "7301 5628-404", True), (checks.curp_check, "?OMC850101HDFRRL09", False), (text.search_fold, "âé", "âe"), (text.scan_fold, "Straße e\u0301", "STRAßE E"), (text.cleaned, " a\u00ad\ufb03  b\r\n c https:/ /x ", "affi b\nc https://x"), (text.dominant_year, "2019 2021 2021 2019 1999", 2021),
         (values.date_valid, "2024-02-29", True), (values.date_valid, "2023-02-29", False), (values.date_valid, "1850-01-01", False), (values.date_valid, None, False),
     ],
 )
@@ -38,6 +38,50 @@ def test_check_digits_single_out_one_of_ten(spark):
         assert rows.filter(valid(F.col("v"))).count() == 1
 
 
+def test_names_of_one_form_and_statements(spark):
+    same = lambda a, b: one(spark, text.same_statement(F.lit(a), F.lit(b)))
+    assert same("The term is 12 months", "term is 12 months") and not same("12 months", "10 months") and not same("", "") and not same("a1 b", "1 b")
+    assert one(spark, text.scan_places(F.lit("ae\u0301b"))) == [0, 1, 3]
+    assert tuple(one(spark, checks.curp_birth(F.lit("gomc 850431-HDFRRL09")))) == (85, 4, 31)
+    assert one(spark, checks.month_and_day(F.lit("850431"))) and not one(spark, checks.month_and_day(F.lit("851301")))
+    assert one(spark, checks.masked(F.lit("ab-cd ef"), 2, 2)) == "AB••EF"
+    assert one(spark, values.banded(F.lit(5), *values.SENIORITY)) == "5 to 9" and one(spark, values.annual(F.lit(5), F.lit("monthly"))) == 60
+
+
+def test_chunks_and_excerpts(spark):
+    long = "word " * 450
+    df = spark.createDataFrame([("a\n\n b \n\n\n" + "c" * 997,), (long + "\n\ntail",), (None,), (" ",)], "t string").select(text.chunks("t").alias("c"))
+    got = [r.c for r in df.collect()]
+    assert got[0] == ["a\n\nb", "c" * 997] and got[2] == got[3] == []
+    assert all(len(x) < 1000 for x in got[1]) and " ".join(got[1]).split() == [*long.split(), "tail"] and got[1][-1] == "tail"
+    cut = lambda t, terms, n: one(spark, text.excerpt(F.lit(t), F.array(*map(F.lit, terms)), F.lit(n)))
+    assert cut("one two three four five six", ["four"], 8) == "…three four…" and cut("one two", ["x"], 50) == "one two" and cut("Él da becás hoy a todos", ["beca"], 6).startswith("…")
+
+
+def test_forms(spark):
+    rows = spark.createDataFrame([(1, "yes", " ", "x"), (2, "no", None, "y"), (3, None, "z", None)], "k int, has string, which string, name string")
+    fields = [("has", True, None), ("which", True, F.col("has") == "yes"), ("name", True, None)]
+    assert {tuple(r) for r in records.missing(rows, "k", fields).collect()} == {(1, "which"), (3, "has"), (3, "name")}
+    assert [r.which for r in records.without_hidden_values(rows, fields).orderBy("k").collect()] == [" ", None, None]
+    assert [r.p for r in rows.orderBy("k").select(records.progress(fields).alias("p")).collect()] == [66, 100, 0]
+    assert records.optional(rows, has=None, name="x").count() == 1
+
+
+def test_prices_in_force(spark):
+    from tesela.operators import usage
+
+    day = lambda m: dt.datetime(2024, m, 5)
+    calls = spark.createDataFrame([(1, "big-2", day(1), 10, 1, 0, 0), (2, "big-2", day(3), 10, 1, 10, 4), (3, "big-9", day(1), 1, 0, 0, 0), (4, "odd", day(1), 1, 1, 0, 0)], "call_id int, model string, at timestamp, input long, output long, cached long, written long")
+    prices = spark.createDataFrame([("big-2", dt.date(2024, 1, 1), 2, 8), ("big-2", dt.date(2024, 2, 1), 3, 9), ("big", dt.date(2023, 1, 1), 5, 6)], "name string, from_day date, price_in int, price_out int")
+    assert {r.call_id: r.cost for r in usage.priced(calls, prices).collect()} == {1: 28.0, 2: 3 * (10 + 1 + 5) + 9.0, 3: 5.0, 4: 13.0}
+
+
+def test_short_quotes_are_whole_lines(spark):
+    pages = spark.createDataFrame([("d", 1, "Amount | 500\nthe exam-\nple goes on here"), ("d", 2, "it is 5000 in all")], "doc string, page int, text string")
+    quotes = spark.createDataFrame([("a", "d", 2, "500"), ("b", "d", 1, "Example goes, on"), ("c", "d", 1, "50"), ("e", "d", 1, "goes on")], "quote_id string, doc string, cited int, quote string")
+    assert {r.quote_id: r.state for r in records.evidence(quotes, pages).collect()} == {"a": "relocated", "b": "verified", "c": "rejected", "e": "rejected"}
+
+
 def test_years_and_masks(spark):
     between = lambda a, b: one(spark, values.years_between(F.lit(a).cast("date"), F.lit(b).cast("date")))
     assert [between("2004-02-29", "2005-02-28"), between("2004-02-29", "2005-03-01"), between("1990-06-15", "2020-06-15")] == [0, 1, 30]
