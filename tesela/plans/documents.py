@@ -73,16 +73,17 @@ SELECT doc_id, round(-({_SCORE}), 6) AS score FROM c, s WHERE {" OR ".join(f"n{i
 
 
 def search_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    """Items whose id is divisible by 100 as queries, against every other item that shares a term."""
     w = search.tfidf(_t(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))
     a, b = w.select(F.col("doc_id").alias("a"), "term", F.col("weight").alias("wa")), w.select(F.col("doc_id").alias("b"), "term", F.col("weight").alias("wb"))
-    return a.filter("a < 5").join(b.filter("b >= 5"), "term").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("similarity"))
+    return a.filter("a % 100 = 0").join(b, "term").filter("a <> b").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("similarity"))
 
 
 SEARCH_TFIDF_SQL = f"""
 WITH t AS (SELECT item_id AS doc_id, unnest({_TOKENS}) AS w FROM benchmark), c AS (SELECT doc_id, left(w, 6) AS term, count(*) AS tf FROM t GROUP BY ALL),
 f AS (SELECT term, count(*) AS d FROM c GROUP BY ALL), g AS (SELECT doc_id, term, (1 + ln(tf)) * (ln(((SELECT count(*) FROM benchmark) + 1) / (d + 1)) + 1) AS w FROM c JOIN f USING (term)),
 h AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM g)
-SELECT x.doc_id AS a, y.doc_id AS b, round(sum(x.w * y.w), 6) AS similarity FROM h x JOIN h y ON x.term = y.term AND x.doc_id < 5 AND y.doc_id >= 5 GROUP BY ALL
+SELECT x.doc_id AS a, y.doc_id AS b, round(sum(x.w * y.w), 6) AS similarity FROM h x JOIN h y ON x.term = y.term AND x.doc_id % 100 = 0 AND y.doc_id <> x.doc_id GROUP BY ALL
 """
 
 
