@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from tesela.functions.checks import card_valid, clabe_valid, nss_valid
+from tesela.functions.checks import card_valid
+from tesela.operators import ordered
 
 #: Kind, pattern (without look-around, so that every engine reads it alike), severity; order breaks ties.
 DETECTORS = [
@@ -98,14 +99,11 @@ def lists_people(spans: Column) -> Column:
 def pseudonyms(found: DataFrame) -> DataFrame:
     """``found`` (scope, kind, value, place) with ``mark``: the same value has the same numbered mark in its scope.
 
-    Numbers follow first occurrence.  The first occurrence is grouped before ranking, so a hot value is one row.
+    Numbers follow first occurrence.  The first occurrence is grouped before ranking, so a hot value is one row, and ranks are counted by ranges.
     """
-    from pyspark.sql import Window
-
     first = found.groupBy("scope", "kind", "value").agg(F.min("place").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("scope", "kind").orderBy("first", "value"))
-    marks = first.select("scope", "kind", "value", F.concat(F.lit("["), F.upper("kind"), F.lit("_"), rank.cast("string"), F.lit("]")).alias("mark"))
+    placed = ordered.ranked(first, ["scope", "kind"], ["first", "value"], "place")
+    number = (F.col("place") + 1).cast("string")
+    marks = placed.select("scope", "kind", "value", F.concat(F.lit("["), F.upper("kind"), F.lit("_"), number, F.lit("]")).alias("mark"))
     return found.join(marks, ["scope", "kind", "value"])
 
-
-IDENTIFIERS = {"clabe": clabe_valid, "card": card_valid, "nss": nss_valid}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesela.functions.text import search_fold
+from tesela.operators import ordered
 
 
 def tokens(text: Column) -> Column:
@@ -69,14 +70,17 @@ def cosine(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
 
 def fused(rankings: DataFrame) -> DataFrame:
     """``rankings`` (list, id, score; larger is better) as id and the sum of 1 / (60 + rank), ranks from 0."""
-    rank = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("score"), "id")) - 1
-    return rankings.withColumn("rank", rank).groupBy("id").agg(F.round(F.sum(1 / (60 + F.col("rank"))), 9).alias("score"))
+    placed = ordered.ranked(rankings, ["list"], [F.desc("score"), F.col("id")], "rank")
+    return placed.groupBy("id").agg(F.round(F.sum(1 / (60 + F.col("rank"))), 9).alias("score"))
 
 
-def under_budget(pages: DataFrame, by: list[str], order: list[Column], size: str, budget: Column) -> DataFrame:
-    """Pages of each group in order while those before them stay under the budget."""
-    before = F.coalesce(F.sum(size).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return pages.withColumn("before", before).filter(F.col("before") < budget)
+def under_budget(pages: DataFrame, by: list[str], order: list[Column], size: str, budget: str) -> DataFrame:
+    """Pages of each group in order while those before them stay under the budget; ``order`` must tell all pages apart.
+
+    Ranges that begin beyond the budget go before sums are taken inside ranges.
+    """
+    deal = ordered.dealt(pages, by, order, F.col(size)).filter(F.col("_start") < F.col(budget))
+    return ordered.summed(deal, by, order, "before").filter(F.col("before") < F.col(budget))
 
 
 def quality(found: DataFrame, k: int = 5) -> DataFrame:

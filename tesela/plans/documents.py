@@ -114,7 +114,7 @@ SELECT user_id AS id, round(sum(1.0 / (60 + r)), 9) AS score FROM r GROUP BY ALL
 def budgeted_pages(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents").select("source", "doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
     total = docs.groupBy("source").agg(F.least(F.greatest(F.floor(F.sum("size") * 35 / 100), F.lit(8000)), F.lit(40000)).alias("budget"))
-    return search.under_budget(docs.join(total, "source"), ["source"], [F.desc("size"), F.col("doc_id")], "size", F.col("budget")).select("source", "doc_id", "before")
+    return search.under_budget(docs.join(total, "source"), ["source"], [F.desc("size"), F.col("doc_id")], "size", "budget").select("source", "doc_id", "before")
 
 
 BUDGETED_PAGES_SQL = """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesela.functions import values
-from tesela.operators import records
+from tesela.operators import ordered, records
 from tesela.streaming.usage import windowed_usage
 
 
@@ -23,12 +23,14 @@ ROLLING_USAGE_SQL = "SELECT event_type, count(*) AS calls, coalesce(round(sum(va
 
 
 def model_usage(spark: SparkSession, d: str) -> DataFrame:
-    ok = F.col("event_type") != "error"
+    e = _t(spark, d, "events").select((F.col("user_id") % 7).alias("model"), (F.col("event_type") != "error").alias("ok"), "value")
     cents = F.round(F.col("value") * 100).cast("long")
-    return _t(spark, d, "events").withColumn("model", F.col("user_id") % 7).groupBy("model").agg(
-        F.count("*").alias("calls"), F.count_if(~ok).alias("failures"), F.sum(cents).alias("cents"), F.expr("sum(if(event_type <> 'error', cast(round(value * 100) as bigint), 0)) div greatest(count_if(event_type <> 'error'), 1)").alias("mean_cents"),
-        F.expr("percentile_disc(0.95) within group (order by if(event_type <> 'error', value, null))").alias("p95"),
+    sums = e.groupBy("model").agg(
+        F.count("*").alias("calls"), F.count_if(~F.col("ok")).alias("failures"), F.sum(cents).alias("cents"),
+        F.coalesce(F.sum(F.when(F.col("ok"), cents)), F.lit(0)).alias("ok_cents"), F.count_if(F.col("ok")).alias("ok_calls"),
     )
+    p95 = ordered.quantile(e.filter("ok"), ["model"], "value", 0.95, "p95")
+    return sums.join(p95, "model", "left").select("model", "calls", "failures", "cents", F.expr("ok_cents div greatest(ok_calls, 1)").alias("mean_cents"), "p95")
 
 
 MODEL_USAGE_SQL = "SELECT user_id % 7 AS model, count(*) AS calls, count(*) FILTER (event_type = 'error') AS failures, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, CAST(sum(CASE WHEN event_type <> 'error' THEN CAST(round(value * 100) AS BIGINT) ELSE 0 END) // greatest(count(*) FILTER (event_type <> 'error'), 1) AS BIGINT) AS mean_cents, quantile_disc(CASE WHEN event_type <> 'error' THEN value END, 0.95) AS p95 FROM events GROUP BY ALL"
