@@ -142,6 +142,81 @@ def lines() -> list[Rule]:
     return [("label_missing", "label", True, ~is_filled(F.col("label"))), *money("amount_mxn")]
 
 
+#: Limits of places, and the holdings that come to an end.
+MOST_M2, MOST_LITRES, OLDEST_YEAR, ENDING = 1_000_000, 10_000_000, 1500, ["loan", "rent"]
+
+
+def position(catalogs: dict[str, list[str]], modalities: list[str]) -> list[Rule]:
+    """Positions: a title, known codes, a pay and a number of seats within their limits."""
+    kind = F.col("default_modality")
+    return [
+        ("label_missing", "title", True, ~is_filled(F.col("title"))),
+        *codes(catalogs),
+        ("modality_unknown", "default_modality", True, is_filled(kind) & ~kind.isin(modalities)),
+        *money("reference_pay_mxn"),
+        ("negative_number", "authorized_seats", True, ~F.col("authorized_seats").between(0, 10_000)),
+    ]
+
+
+def site(year: int, catalogs: dict[str, list[str]], lists: dict[str, list[str]]) -> list[Rule]:
+    """Buildings; ``year`` is the current one.  Problems block, what does not add up is a heads-up."""
+    c = F.col
+    sized = [("land_m2", MOST_M2), ("built_m2", MOST_M2), ("water_storage_liters", MOST_LITRES), *[(f, MOST_COUNT) for f in ("extinguishers", "smoke_detectors", "drills_per_year")]]
+    rules = [("label_missing", "name", True, ~is_filled(c("name")))]
+    for field, most in sized:
+        rules += [("negative_number", field, True, c(field) < 0), ("number_too_large", field, True, c(field) > most)]
+    rules += [("number_invalid", f, True, c(f) == 0) for f in ("land_m2", "built_m2")]
+    rules += [("floors_invalid", "floors", True, ~c("floors").between(1, FLOORS[1] + 1))]
+    rules += [("year_invalid", f, True, ~c(f).between(OLDEST_YEAR, last)) for f, last in (("built_year", year), ("opinion_year", year), ("tenure_until", year + 199))]
+    ends = F.coalesce(c("tenure").isin(ENDING), F.lit(False))
+    return [
+        *rules, *codes(catalogs), *code_lists(lists),
+        ("built_exceeds_land", "built_m2", False, (c("land_m2") > 0) & (c("built_m2") > c("land_m2") * c("floors"))),
+        ("tenure_expired", "tenure_until", False, ends & (c("tenure_until") < year)),
+        ("tenure_until_missing", "tenure_until", False, ends & c("tenure_until").isNull()),
+        ("opinion_year_missing", "opinion_year", False, c("civil_protection_opinion") & c("opinion_year").isNull()),
+    ]
+
+
+def site_gaps() -> Column:
+    """The key data a building still lacks, as codes."""
+    none = lambda name: F.coalesce(F.size(name) == 0, F.lit(True))
+    lacks = [("built_m2", F.col("built_m2").isNull()), ("floors", F.col("floors").isNull()), ("tenure", F.col("tenure").isNull()), ("water", none("water_sources")),
+        ("safety", F.col("extinguishers").isNull() & F.col("internal_program").isNull())]
+    return F.array_compact(F.array(*[F.when(missing, code) for code, missing in lacks]))
+
+
+def only_stairs() -> Column:
+    return F.coalesce((F.col("floors") > 1) & (F.size("floor_access") == 1) & F.array_contains("floor_access", "none"), F.lit(False))
+
+
+#: The first age of each band after the lowest, by kind of institution.
+BANDS = {"elderly": [60, 70, 80, 90], "children": [6, 12, 18], "other": [18, 60]}
+
+
+def age_band(kind: str, age: Column) -> Column:
+    """The band of an age: ``under_60`` or ``0_5``, ``60_69``, ``90_plus``; unknown without an age, below 0 and above 200."""
+    firsts = BANDS[kind]
+    low = f"under_{firsts[0]}" if kind == "elderly" else f"0_{firsts[0] - 1}"
+    out = F.when(age.isNull() | ~age.between(0, 200), "unknown").when(age < firsts[0], low)
+    for first, after in zip(firsts, firsts[1:], strict=False):
+        out = out.when(age < after, f"{first}_{after - 1}")
+    return out.otherwise(f"{firsts[-1]}_plus")
+
+
+def admitted(waiting: DataFrame, admissions: DataFrame, today: Column) -> tuple[DataFrame, DataFrame]:
+    """People made from entries of a waiting list that still wait, with an age, and the list with those admitted.
+
+    ``admissions`` holds ``entry_id``; an entry asked for twice is admitted once, one without an age or no longer waiting
+    stays as it is.
+    """
+    asked = admissions.select("entry_id").distinct().withColumn("_asked", F.lit(True))
+    told = waiting.join(asked, "entry_id", "left")
+    goes = F.col("_asked").isNotNull() & (F.col("status") == "waiting") & F.col("approx_age").isNotNull()
+    people = told.filter(goes).select(F.col("entry_id").alias("from_entry"), "name", "approx_age", F.lit("active").alias("status"), today.alias("entry_date"))
+    return people, told.withColumn("status", F.when(goes, "admitted").otherwise(F.col("status"))).drop("_asked")
+
+
 def totals_by_kind(groups: DataFrame, by: list[str]) -> DataFrame:
     """Counts, states and what nobody checked, of each kind."""
     left = F.greatest(F.col("count") - checked(), F.lit(0))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import documents, registers, tables, usage
+from . import documents, readings, registers, tables, usage
 
 FLAGSHIP = "pii_scan_counts"
-QUERIES: dict = documents.QUERIES | tables.QUERIES | usage.QUERIES | registers.QUERIES
-ORACLES: dict[str, str] = documents.ORACLES | tables.ORACLES | usage.ORACLES | registers.ORACLES
+QUERIES: dict = documents.QUERIES | tables.QUERIES | usage.QUERIES | registers.QUERIES | readings.QUERIES
+ORACLES: dict[str, str] = documents.ORACLES | tables.ORACLES | usage.ORACLES | registers.ORACLES | readings.ORACLES
