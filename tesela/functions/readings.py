@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,10 +71,20 @@ _SPELLED = f"((?:{_L}\\s+){{0,2}}?{_L})\\s+(?:d[ií]as?\\s+del\\s+mes\\s+)?de\\s
 _EDGE, _END = "(?iu)(?<![\\p{L}\\p{N}_])", "(?![\\p{L}\\p{N}_])"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _iso(year: Column, month: Column, day: Column) -> Column:
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), two(month), two(day))
-    return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull() & date_valid(text), text)
+    text = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), two(month), F.lit("-"), two(day))
+    return _once(text, lambda t: F.when(date_valid(t), t))
+
+
+def _first_sum(parts: list[Column], least: int, most: int) -> Column:
+    """The number of the first of some lists of words that is one between two bounds."""
+    return F.try_element_at(F.filter(F.transform(F.array(*parts), _sum_of), lambda n: n.between(least, most)), F.lit(1))
 
 
 def _month(word: Column) -> Column:
@@ -81,16 +93,13 @@ def _month(word: Column) -> Column:
 
 def _read_date(found: Column) -> Column:
     group = lambda pattern, i: F.regexp_extract(found, f"(?iu)^{pattern}$", i)
-    words, years = _split(group(_SPELLED, 1)), _split(group(_SPELLED, 3))
-    days = [F.when(F.size(words) >= n, _sum_of(F.slice(words, -n, n))) for n in (3, 2, 1)]
-    day = F.coalesce(*[F.when(d.between(1, 31), d) for d in days])
-    sums = [F.when(F.size(years) >= n, _sum_of(F.slice(years, 1, n))) for n in range(6, 0, -1)]
-    year = F.coalesce(*[F.when(y.between(1800, 2100), y) for y in sums])
+    day = _once(_split(group(_SPELLED, 1)), lambda w: _first_sum([F.slice(w, -n, n) for n in (3, 2, 1)], 1, 31))
+    year = _once(_split(group(_SPELLED, 3)), lambda w: _first_sum([F.slice(w, 1, n) for n in range(6, 0, -1)], 1800, 2100))
     number = lambda pattern, i: group(pattern, i).try_cast("int")
-    return F.coalesce(
-        _iso(number(_NUMERIC, 3), _month(group(_NUMERIC, 2)), number(_NUMERIC, 1)),
-        _iso(number(_SLASHED, 3), number(_SLASHED, 2), number(_SLASHED, 1)),
-        _iso(year, _month(group(_SPELLED, 2)), day),
+    return (
+        F.when(found.rlike("/"), _iso(number(_SLASHED, 3), number(_SLASHED, 2), number(_SLASHED, 1)))
+        .when(found.rlike("[0-9]"), _iso(number(_NUMERIC, 3), _month(group(_NUMERIC, 2)), number(_NUMERIC, 1)))
+        .otherwise(_iso(year, _month(group(_SPELLED, 2)), day))
     )
 
 
@@ -101,7 +110,8 @@ def dates_in(text: Column) -> Column:
     """
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{_EDGE}(?:{_NUMERIC}|{_SLASHED}|{_SPELLED}){_END}"), F.lit(0))
     read = F.array_compact(F.transform(found, _read_date))
-    step = F.aggregate(read, F.array().cast("array<string>"), lambda a, x: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1)) == x), a).otherwise(F.concat(a, F.array(x))))
+    repeated = lambda a, x: F.coalesce(F.try_element_at(a, F.lit(-1)) == x, F.lit(False))
+    step = F.aggregate(read, F.array().cast("array<string>"), lambda a, x: F.when(repeated(a, x), a).otherwise(F.array_append(a, x)))
     return F.when(text.isNotNull(), step)
 
 
@@ -136,7 +146,7 @@ def percent(text: Column) -> Column:
     figure = F.regexp_extract(text, "(\\d+(?:[.,]\\d+)?)\\s*(?:%|por\\s*ciento)", 1)
     word = F.regexp_extract(text, f"{_EDGE}({_L}(?:\\s+y\\s+{_L})?)\\s+por\\s*ciento", 1)
     value = F.when(figure != "", locale_number(figure)).otherwise(number_in_words(word).cast("double"))
-    return F.when(value <= 100, value)
+    return _once(value, lambda v: F.when(v <= 100, v))
 
 
 _SPAN = f"{_EDGE}(\\d+(?:[.,]\\d+)?|{_L}(?:\\s+y\\s+{_L})?)\\s+(a[ñn]os?|meses|mes|semanas?|d[ií]as?){_END}"
@@ -147,9 +157,9 @@ def duration(text: Column) -> Column:
 
     def taken(m: Column) -> Column:
         said, unit = F.regexp_extract(m, _SPAN, 1), F.lower(F.regexp_extract(m, _SPAN, 2))
-        value = F.coalesce(locale_number(said), number_in_words(said).cast("double"))
+        value = F.when(said.rlike("^[0-9]"), locale_number(said)).otherwise(number_in_words(said).cast("double"))
         named = F.when(unit.startswith("a"), "years").when(unit.startswith("m"), "months").when(unit.startswith("s"), "weeks").otherwise("days")
-        return F.when(value > 0, F.struct(value.alias("value"), named.alias("unit")))
+        return _once(value, lambda v: F.when(v > 0, F.struct(v.alias("value"), named.alias("unit"))))
 
     return F.try_element_at(F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(_SPAN), F.lit(0)), taken)), F.lit(1))
 
