@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .audit import OP13_SQL, op13
 from .crf import op2
 from .lines import OP5_SQL, op5
 from .minhash import op4
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8,
     "op9_mixture_packing": op9,
     "op10_substring_dedup": op10,
+    "op13_filter_audit": op13,
 }
 
-ORACLES: dict[str, str] = {"op3_exact_top_k": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_exact_top_k": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_substring_dedup": OP10_SQL, "op13_filter_audit": OP13_SQL}
