@@ -7,6 +7,8 @@ from .crf import op2
 from .lines import OP5_SQL, op5
 from .minhash import op4
 from .mixing import op7
+from .negatives import OP12_SQL, op12
+from .ngrams import op11
 from .packing import op9
 from .rules import op1
 from .substrings import OP10_SQL, op10
@@ -25,7 +27,9 @@ QUERIES = {
     "op8_toxicity": op8,
     "op9_mixture_packing": op9,
     "op10_substring_dedup": op10,
+    "op11_ngram_trie_lm": op11,
+    "op12_hard_negatives": op12,
     "op13_filter_audit": op13,
 }
 
-ORACLES: dict[str, str] = {"op3_exact_top_k": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_substring_dedup": OP10_SQL, "op13_filter_audit": OP13_SQL}
+ORACLES: dict[str, str] = {"op3_exact_top_k": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_substring_dedup": OP10_SQL, "op12_hard_negatives": OP12_SQL, "op13_filter_audit": OP13_SQL}
