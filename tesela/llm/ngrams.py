@@ -299,7 +299,7 @@ def _texts(docs: DataFrame, learn: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
 
 
-def tries(docs: DataFrame, learn: Column, weight: float = 100.0, block_tokens: int = 1 << 20, shard_tokens: int = 1 << 21) -> DataFrame:
+def tries(docs: DataFrame, learn: Column, weight: float = 100.0, block_tokens: int = 1 << 19, shard_tokens: int = 1 << 20) -> DataFrame:
     """shard and trie (the bytes that :class:`Trie` views) of the model that :func:`scored` uses."""
     texts = _texts(docs, learn)
     what = known(checkpointed(vocabulary(texts)), block_tokens, shard_tokens)
@@ -310,7 +310,7 @@ def tries(docs: DataFrame, learn: Column, weight: float = 100.0, block_tokens: i
     return _asked(_dealt(texts, what), what).groupBy("shard").applyInArrow(build, "shard int, trie binary")
 
 
-def scored(docs: DataFrame, learn: Column, weight: float = 100.0, block_tokens: int = 1 << 20, shard_tokens: int = 1 << 21) -> DataFrame:
+def scored(docs: DataFrame, learn: Column, weight: float = 100.0, block_tokens: int = 1 << 19, shard_tokens: int = 1 << 20) -> DataFrame:
     """doc_id, learn, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, text).
 
     Rows for which ``learn`` holds are the training texts.  Tokens are words after A-Z are lower-cased, then one end.
