@@ -1,174 +1,125 @@
-"""What Spanish texts say in words and figures: numbers, dates, amounts, shares and lengths of time, as Column expressions."""
+"""What Spanish texts say in words and figures: numbers, dates, amounts, shares and lengths of time, as Column expressions.
+
+What takes looking at several words at once is read by Arrow functions over the tokens of each text, what is a matter of
+shape by expressions.  Null texts give null.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
-from tesela.functions.figures import NUMBER_WORDS
-from tesela.functions.text import search_fold
-from tesela.functions.values import date_valid, locale_number
+from tesela.functions import tokens
+from tesela.functions.tokens import MONTHS  # noqa: F401
 
-#: The months, number words beyond those of figures, and the banks of the first three digits of a CLABE.
-MONTHS = ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"]
-MORE_WORDS = {
-    "primero": 1, "primer": 1, "veintiun": 21, "veintiseis": 26, "veintisiete": 27, "veintiocho": 28, "veintinueve": 29,
-    "doscientos": 200, "trescientos": 300, "cuatrocientos": 400, "quinientos": 500, "seiscientos": 600, "setecientos": 700,
-    "ochocientos": 800, "novecientos": 900,
-}
+#: The banks of the first three digits of a CLABE, and words that belong to the surname after them.
 BANKS = {
     "002": "Banamex", "012": "BBVA", "014": "Santander", "021": "HSBC", "030": "BanBajío", "036": "Inbursa", "044": "Scotiabank",
     "058": "Banregio", "062": "Afirme", "072": "Banorte", "127": "Banco Azteca", "137": "BanCoppel", "166": "Banco del Bienestar",
     "638": "Nu México", "646": "STP", "722": "Mercado Pago",
 }
-#: Words that belong to the surname after them.
 PARTICLES = ["de", "del", "la", "las", "los", "y", "san", "santa"]
-
-_WORDS = {w: n for w, n in (NUMBER_WORDS | MORE_WORDS).items() if w not in ("cero", "mil")}
+_DAY = pa.struct([("date", pa.string()), ("time", pa.string()), ("precision", pa.string()), ("inferred", pa.bool_())])
 
 
 def _lookup(entries: dict, key: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])[key]
 
 
-def _split(text: Column) -> Column:
-    return F.filter(F.split(search_fold(text), "\\s+"), lambda w: w != "")
+_AMOUNT = pa.struct([("value", pa.float64()), ("currency", pa.string())])
+_TIME = pa.struct([("value", pa.float64()), ("unit", pa.string())])
+_SPAN = pa.struct([("start", _DAY), ("end", _DAY)])
+_DATES, _SPANS = pa.list_(pa.string()), pa.list_(_SPAN)
 
 
-def _sum_of(words: Column) -> Column:
-    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("run"), F.lit(True).alias("ok"))
+def _reader(kind: pa.DataType) -> Callable:
+    """Makes an Arrow function of columns that gives values of a type."""
+    return F.arrow_udf(from_arrow_type(kind))
 
-    def add(s: Column, w: Column) -> Column:
-        known = _lookup(_WORDS, w)
-        thousand = w == "mil"
-        total = F.when(thousand, s["total"] + F.greatest(s["run"], F.lit(1)) * 1000).otherwise(s["total"])
-        run = F.when(thousand, 0).otherwise(s["run"] + F.coalesce(known, F.lit(0)))
-        return F.struct(total.alias("total"), run.alias("run"), (s["ok"] & (thousand | known.isNotNull())).alias("ok"))
 
-    said = F.filter(words, lambda w: w != "y")
-    return F.when(F.size(said) > 0, F.aggregate(said, start, add, lambda s: F.when(s["ok"], s["total"] + s["run"]))).cast("long")
+def _each(read: Callable, arrow: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """``read`` of each row whose first value is not null."""
+    rows = zip(*(c.to_pylist() for c in columns), strict=True)
+    return pa.array([None if r[0] is None else read(*r) for r in rows], arrow)
 
 
-def number_in_words(text: Column) -> Column:
+@_reader(pa.int64())
+def number_in_words(text: pa.Array) -> pa.Array:
     """A number up to the thousands ("dos mil veintisiete"); null when a word is none of a number."""
-    return _sum_of(_split(text))
+    return _each(lambda t: tokens.in_words(_words(t)), pa.int64(), text)
 
 
-def leading_number_in_words(text: Column) -> Column:
+@_reader(pa.int64())
+def leading_number_in_words(text: pa.Array) -> pa.Array:
     """The number at the start of a text, up to the first word that is not part of one."""
-    words = _split(text)
-    of_number = lambda w: w.isin("y", "mil") | _lookup(_WORDS, w).isNotNull()
-    first_other = F.array_min(F.filter(F.transform(words, lambda w, i: F.when(~of_number(w), i)), lambda i: i.isNotNull()))
-    return _sum_of(F.slice(words, F.lit(1), F.coalesce(first_other, F.size(words))))
-
-
-_L = "[\\p{L}]+"
-_NUMERIC = f"(\\d{{1,2}})\\s+de\\s+({_L})\\s+del?\\s+(\\d{{4}})"
-_SLASHED = "(\\d{1,2})/(\\d{1,2})/(\\d{4})"
-_SPELLED = f"((?:{_L}\\s+){{0,2}}?{_L})\\s+(?:d[ií]as?\\s+del\\s+mes\\s+)?de\\s+({_L})\\s+(?:del\\s+a(?:ñ|n|fi|h|ri|rì)o\\s+|de\\s+)((?:dos\\s+)?mil(?:\\s+{_L}){{0,4}})"
-_EDGE, _END = "(?iu)(?<![\\p{L}\\p{N}_])", "(?![\\p{L}\\p{N}_])"
-
-
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often ``use`` names it."""
-    return F.transform(F.array(value), use)[0]
+    return _each(lambda t: tokens.leading(_words(t)), pa.int64(), text)
 
 
-def _iso(year: Column, month: Column, day: Column) -> Column:
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    text = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), two(month), F.lit("-"), two(day))
-    return _once(text, lambda t: F.when(date_valid(t), t))
+def _words(text: str) -> list[str]:
+    return text.lower().translate(str.maketrans("áéíóúü", "aeiouu")).split()
 
 
-def _first_sum(parts: list[Column], least: int, most: int) -> Column:
-    """The number of the first of some lists of words that is one between two bounds."""
-    return F.try_element_at(F.filter(F.transform(F.array(*parts), _sum_of), lambda n: n.between(least, most)), F.lit(1))
+@_reader(_DATES)
+def dates_in(text: pa.Array) -> pa.Array:
+    """ISO dates of "14 de marzo de 2017", "10/03/2015" and dates in words, in the text's order, equal neighbours once."""
+    return _each(tokens.dates, _DATES, text)
 
 
-def _month(word: Column) -> Column:
-    return _lookup({m: i + 1 for i, m in enumerate(MONTHS)} | {"setiembre": 9}, search_fold(word))
-
-
-def _read_date(found: Column) -> Column:
-    group = lambda pattern, i: F.regexp_extract(found, f"(?iu)^{pattern}$", i)
-    day = _once(_split(group(_SPELLED, 1)), lambda w: _first_sum([F.slice(w, -n, n) for n in (3, 2, 1)], 1, 31))
-    year = _once(_split(group(_SPELLED, 3)), lambda w: _first_sum([F.slice(w, 1, n) for n in range(6, 0, -1)], 1800, 2100))
-    number = lambda pattern, i: group(pattern, i).try_cast("int")
-    return (
-        F.when(found.rlike("/"), _iso(number(_SLASHED, 3), number(_SLASHED, 2), number(_SLASHED, 1)))
-        .when(found.rlike("[0-9]"), _iso(number(_NUMERIC, 3), _month(group(_NUMERIC, 2)), number(_NUMERIC, 1)))
-        .otherwise(_iso(year, _month(group(_SPELLED, 2)), day))
-    )
-
-
-def dates_in(text: Column) -> Column:
-    """ISO dates of "14 de marzo de 2017", "10/03/2015" and dates in words, in the text's order, equal neighbours once.
+@_reader(_AMOUNT)
+def amount(text: pa.Array, pesos: pa.Array) -> pa.Array:
+    """struct(value, currency) of the first number with a currency mark, a multiplier or groups of three; null without any.
 
-    The text is scanned once; only what was found is taken apart.
+    In a text that speaks of pesos, or is nothing but the number, a plain number is an amount too.  ``pesos`` says whether
+    a bare ``$`` means pesos.
     """
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{_EDGE}(?:{_NUMERIC}|{_SLASHED}|{_SPELLED}){_END}"), F.lit(0))
-    read = F.array_compact(F.transform(found, _read_date))
-    repeated = lambda a, x: F.coalesce(F.try_element_at(a, F.lit(-1)) == x, F.lit(False))
-    step = F.aggregate(read, F.array().cast("array<string>"), lambda a, x: F.when(repeated(a, x), a).otherwise(F.array_append(a, x)))
-    return F.when(text.isNotNull(), step)
+    named = lambda t, p: (found := tokens.amount(t, bool(p))) and {"value": found[0], "currency": found[1]}
+    return _each(named, _AMOUNT, text, pesos)
 
 
-def currency(text: Column, pesos: Column) -> Column:
-    """USD, EUR or MXN by the marks of a text, a bare ``$`` being pesos where ``pesos`` says so; XXX otherwise."""
-    t = F.translate(search_fold(text), "ñ", "n")
-    has = lambda *marks: F.array_contains(F.array(*map(t.contains, marks)), True)
-    return F.when(has("us$", "usd", "dolar"), "USD").when(has("eur", "€"), "EUR").when(has("mxn", "pesos", "m.n"), "MXN").when(has("$") & pesos, "MXN").otherwise("XXX")
-
-
-_MONEY = "(?iu)(?:US\\$|\\$|€)?\\s*(\\d{1,3}(?:[,\\s]\\d{3})+(?:\\.\\d+)?|\\d+(?:[.,]\\d+)?)\\s*(millones|millón|millon|mil)?(?![\\p{L}\\p{N}_])"
-
-
-def amount(text: Column, pesos: Column) -> Column:
-    """struct(value, currency) of the first number with a currency mark, a multiplier or groups of three; null without any.
-
-    In a text that speaks of pesos, or is nothing but the number, a plain number is an amount too.
-    """
-    plain_ok = search_fold(text).contains("peso")
+@_reader(pa.float64())
+def percent(text: pa.Array) -> pa.Array:
+    """A share of at most 100, in figures or words before ``%`` or "por ciento"."""
+    return _each(tokens.percent, pa.float64(), text)
 
-    def taken(m: Column) -> Column:
-        number, times = F.regexp_extract(m, _MONEY, 1), F.regexp_extract(m, _MONEY, 2)
-        marked = m.rlike("[$€]") | (times != "") | number.rlike("[, ]") | plain_ok | (F.length(text) == F.length(number))
-        factor = F.when(times == "", 1.0).when(F.lower(times).startswith("mill"), 1e6).otherwise(1e3)
-        return F.when(marked, F.struct((locale_number(number) * factor).alias("value"), currency(text, pesos).alias("currency")))
 
-    return F.try_element_at(F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(_MONEY), F.lit(0)), taken)), F.lit(1))
+@_reader(_TIME)
+def duration(text: pa.Array) -> pa.Array:
+    """struct(value, unit: years, months, weeks or days) of the first length of time above zero; null without any."""
+    named = lambda t: (found := tokens.duration(t)) and {"value": found[0], "unit": found[1]}
+    return _each(named, _TIME, text)
 
 
-def percent(text: Column) -> Column:
-    """A share of at most 100, in figures or words before ``%`` or "por ciento"."""
-    figure = F.regexp_extract(text, "(\\d+(?:[.,]\\d+)?)\\s*(?:%|por\\s*ciento)", 1)
-    word = F.regexp_extract(text, f"{_EDGE}({_L}(?:\\s+y\\s+{_L})?)\\s+por\\s*ciento", 1)
-    value = F.when(figure != "", locale_number(figure)).otherwise(number_in_words(word).cast("double"))
-    return _once(value, lambda v: F.when(v <= 100, v))
+@_reader(pa.int64())
+def whole(text: pa.Array) -> pa.Array:
+    """The first whole number in figures, else the first word that is a number."""
+    return _each(tokens.whole, pa.int64(), text)
 
 
-_SPAN = f"{_EDGE}(\\d+(?:[.,]\\d+)?|{_L}(?:\\s+y\\s+{_L})?)\\s+(a[ñn]os?|meses|mes|semanas?|d[ií]as?){_END}"
+@_reader(_SPANS)
+def spans_of_days(text: pa.Array, year: pa.Array) -> pa.Array:
+    """Every day and range of days of a text, in seven forms, in its order; ``year`` is taken where a day has none."""
 
+    def read(t: str, usual: int | None) -> list[dict]:
+        return [{"start": tokens.told(s.start, None, usual), "end": s.end and tokens.told(s.end._replace(year=s.end.year or s.start.year), None, usual)} for s in tokens.days(tokens.Tokens(t))]
 
-def duration(text: Column) -> Column:
-    """struct(value, unit: years, months, weeks or days) of the first length of time above zero; null without any."""
+    return _each(read, _SPANS, text, year)
 
-    def taken(m: Column) -> Column:
-        said, unit = F.regexp_extract(m, _SPAN, 1), F.lower(F.regexp_extract(m, _SPAN, 2))
-        value = F.when(said.rlike("^[0-9]"), locale_number(said)).otherwise(number_in_words(said).cast("double"))
-        named = F.when(unit.startswith("a"), "years").when(unit.startswith("m"), "months").when(unit.startswith("s"), "weeks").otherwise("days")
-        return _once(value, lambda v: F.when(v > 0, F.struct(v.alias("value"), named.alias("unit"))))
 
-    return F.try_element_at(F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(_SPAN), F.lit(0)), taken)), F.lit(1))
+@_reader(_DAY)
+def day_of(text: pa.Array, year: pa.Array) -> pa.Array:
+    """struct(date, time, precision, inferred) of the first day of a text, the first of a range; null without any."""
+    return _each(tokens.date, _DAY, text, year)
 
 
-def whole(text: Column) -> Column:
-    """The first whole number in figures, else the first word that is a number."""
-    figure = F.regexp_extract(text, "\\d{1,3}(?:,\\d{3})+|\\d+", 0)
-    words = F.transform(_split(text), lambda w: _lookup(_WORDS | {"mil": 1000}, w))
-    return F.when(figure != "", F.replace(figure, F.lit(","), F.lit("")).try_cast("long")).otherwise(F.try_element_at(F.array_compact(words), F.lit(1)).cast("long"))
+@_reader(_SPAN)
+def milestone(start: pa.Array, end: pa.Array, quote: pa.Array, year: pa.Array) -> pa.Array:
+    """struct(start, end) of a milestone: ``start`` may hold the whole range, ``quote`` what neither holds; null without a day."""
+    read = lambda s, e, q, y: tokens.milestone(s, e, q or "", y)
+    return _each(read, _SPAN, start, end, quote, year)
 
 
 def mentions_pesos(text: Column) -> Column:

@@ -2,33 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_own = ""
-
-
-def _shared_folder(spark: SparkSession) -> str:
-    global _own
-    if shared := spark.conf.get("spark.checkpoint.dir", ""):
-        return shared
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    _own = _own or tempfile.mkdtemp(prefix="tesela-")
-    return f"file://{_own}"
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the cluster's shared folder, deleted when the application ends."""
-    spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/ordered-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+from tesela.sources.shared import written
 
 
 def dealt(rows: DataFrame, by: list[str], order: list[Column | str], size: Column) -> DataFrame:
@@ -37,7 +14,7 @@ def dealt(rows: DataFrame, by: list[str], order: list[Column | str], size: Colum
     Ranges of (by, order) are sampled and so of even size: a hot group lies in many.  They are written down, since a
     range's number is good only for the run that dealt it.  A group's ranges, one row each, are summed across.
     """
-    ranges = _written(rows.withColumn("_size", size.cast("long")).repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    ranges = written(rows.withColumn("_size", size.cast("long")).repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ordered")
     totals = ranges.groupBy(*by, "_range").agg(F.sum("_size").alias("_total"))
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("_start", F.coalesce(F.sum("_total").over(earlier), F.lit(0))).drop("_total")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tesela.functions.checks import CURP_ALPHABET, card_valid, clabe_valid, curp_check, nss_valid, plausible_yymmdd
 from tesela.functions.text import SCAN_FROM, SCAN_TO
+from tesela.operators import names as people
 
 #: Kinds in the order that breaks ties, and their shapes over folded text.
 PATTERNS = {
@@ -37,6 +38,11 @@ MISREAD_CURP = r"\b[A-Z][AEIOUX][A-Z]{2}[0-9OILZSGB]{6}[HMX][A-Z]{2}[B-DF-HJ-NP-
 MISREAD_RFC = r"\b[A-Z&]{4}[0-9OILZSGB]{6}[A-Z0-9]{3}\b"
 #: Words of a header line that tells of a list of people.
 ROSTER_WORDS = ("EDAD", "DIAGNOSTICO", "CURP", "PADECIMIENTO", "FECHA DE NACIMIENTO")
+#: How sure each kind is; a CURP with a wrong check digit and misread identifiers are less so.
+SURE = {"rfc_person": 0.9, "rfc_company": 0.8, "voter_key": 0.9, "phone": 0.8, "email": 1.0, "clabe": 1.0, "card": 0.9, "nss": 0.7}
+SURE_CURP, SURE_MISREAD = (1.0, 0.6), {"curp": 0.8, "rfc_person": 0.7}
+#: Kinds in the order that breaks ties, names and health after identifiers.
+KINDS = [*PATTERNS, "person_name", "health_context"]
 SPANS = "array<struct<start:int,end:int,kind:string,severity:string,confidence:double>>"
 
 
@@ -127,19 +133,21 @@ def _curp(v: str) -> bool:
 
 def strongest(spans: list[tuple]) -> list[tuple]:
     """Of overlapping (start, end, kind, severity, confidence) the blocking ones first, then the longest, then by kind."""
-    order = list(PATTERNS)
     kept: list[tuple] = []
-    for s in sorted(spans, key=lambda s: (s[3] != "block", s[0] - s[1], order.index(s[2]), s[0])):
+    for s in sorted(spans, key=lambda s: (s[3] != "block", s[0] - s[1], KINDS.index(s[2]), s[0])):
         at = bisect.bisect(kept, (s[0],))
         if (at == 0 or kept[at - 1][1] <= s[0]) and (at == len(kept) or kept[at][0] >= s[1]):
             kept.insert(at, s)
     return kept
 
 
-def scanner(own: Own = Own(), pictures: bool = False):
-    """A function of a text column: resolved spans; an empty list for null.  ``pictures`` also reads misread identifiers."""
+def scanner(own: Own = Own(), pictures: bool = False, lists: people.Lists | None = None):
+    """A function of a text column: resolved spans; an empty list for null.
+
+    ``pictures`` also reads misread identifiers, ``lists`` of names adds people and words about one person's health.
+    """
     shapes = {k: re.compile(p, re.ASCII) for k, p in PATTERNS.items()}
-    misread = [("curp", re.compile(MISREAD_CURP, re.ASCII), 0.8), ("rfc_person", re.compile(MISREAD_RFC, re.ASCII), 0.7)]
+    misread = [("curp", re.compile(MISREAD_CURP, re.ASCII)), ("rfc_person", re.compile(MISREAD_RFC, re.ASCII))]
     phones = {_digits(p)[-10:] for p in own.phones}
     emails = {e.strip().upper() for e in own.emails}
     accounts = [re.compile(r"\b" + "[ -]?".join(_digits(a)) + r"\b", re.ASCII) for a in own.accounts if len(_digits(a)) == 18]
@@ -148,16 +156,16 @@ def scanner(own: Own = Own(), pictures: bool = False):
     def judged(kind: str, v: str, before: str, after: str) -> float | None:
         """The confidence in a value, None if its gate turns it away; a CURP with a wrong check digit is told apart by 0.6."""
         if kind == "curp":
-            return 1.0 if _curp(v) else 0.6
+            return SURE_CURP[0] if _curp(v) else SURE_CURP[1]
         if kind.startswith("rfc"):
-            return (0.9 if kind == "rfc_person" else 0.8) if _date(v[-9:-3]) else None
+            return SURE[kind] if _date(v[-9:-3]) else None
         if kind == "phone":
             d = _digits(v)
             d = d[2:] if len(d) == 12 and d.startswith("52") else d
             edge = any(c.isalnum() or c in "-_/" for c in before + after)
-            return None if edge or len(d) != 10 or d in phones else 0.8
+            return None if edge or len(d) != 10 or d in phones else SURE[kind]
         passes = {"clabe": lambda: _clabe(v), "card": lambda: _luhn(_digits(v)), "nss": lambda: _luhn(v), "email": lambda: v not in emails}
-        return {"voter_key": 0.9, "clabe": 1.0, "card": 0.9, "nss": 0.7, "email": 1.0}[kind] if passes.get(kind, lambda: True)() else None
+        return SURE[kind] if passes.get(kind, lambda: True)() else None
 
     def found(t: str):
         for kind, shape in shapes.items():
@@ -165,21 +173,26 @@ def scanner(own: Own = Own(), pictures: bool = False):
                 sure = judged(kind, m[0], t[m.start() - 1 : m.start()] if m.start() else "", t[m.end() : m.end() + 1])
                 if sure is not None:
                     yield m.start(), m.end(), kind, "block" if kind in BLOCKING or (kind, sure) == ("curp", 1.0) else "warn", sure
-        for kind, shape, sure in misread if pictures else ():
+        for kind, shape in misread if pictures else ():
             for m in shape.finditer(t):
                 v = m[0]
                 mended = v[:4] + v[4:10].translate(MISREAD) + v[10:]
                 mended = mended[:17] + mended[17:].translate(MISREAD) if kind == "curp" else mended
                 right = shapes[kind].fullmatch(mended) and (_curp(mended) if kind == "curp" else _date(mended[4:10]))
                 if mended != v and sum(c.isdigit() for c in v[4:10]) >= 4 and right:
-                    yield m.start(), m.end(), kind, "block", sure
+                    yield m.start(), m.end(), kind, "block", SURE_MISREAD[kind]
 
     def scan(text: str | None) -> list[dict]:
         t, places = fold(text or "")
         mine = [m.span() for a in accounts for m in a.finditer(t)]
         spans = [s for s in found(t) if not any(a <= s[0] and s[1] <= b for a, b in mine)]
         spans = [s for s in spans if s[3] == "block" or t[s[0] : s[1]].strip() not in cleared]
-        return [{"start": places[a], "end": places[b - 1] + 1, "kind": k, "severity": s, "confidence": c} for a, b, k, s, c in strongest(spans)]
+        spans = [(places[a], places[b - 1] + 1, k, s, c) for a, b, k, s, c in spans]
+        if lists is not None and text:
+            called = people.find_names(text, lambda w: fold(w)[0], lists)
+            about = [(*x, "person_name") for x in called] + [(*x, "health_context") for x in people.find_health(t, places, called)]
+            spans += [(a, b, k, "warn", c) for a, b, c, k in about if fold(text[a:b].strip())[0] not in cleared]
+        return [dict(zip(("start", "end", "kind", "severity", "confidence"), s, strict=True)) for s in strongest(spans)]
 
     @F.pandas_udf(SPANS)
     def spans(text: pd.Series) -> pd.Series:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import documents, readings, registers, tables, usage
+from . import archive, calendar, decisions, documents, layout, people, readings, registers, tables, usage
 
 FLAGSHIP = "pii_scan_counts"
-QUERIES: dict = documents.QUERIES | tables.QUERIES | usage.QUERIES | registers.QUERIES | readings.QUERIES
-ORACLES: dict[str, str] = documents.ORACLES | tables.ORACLES | usage.ORACLES | registers.ORACLES | readings.ORACLES
+_MODULES = (documents, tables, usage, registers, readings, calendar, archive, people, layout, decisions)
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
