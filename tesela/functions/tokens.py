@@ -37,10 +37,10 @@ class Tokens:
 
     def __init__(self, text: str):
         self.text = text.lower().translate(_FOLD)
-        found = [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(self.text)]
-        self.word = [w for w, _, _ in found]
-        self.start = [a for _, a, _ in found]
-        self.end = [b for _, _, b in found]
+        spans = [m.span() for m in _TOKEN.finditer(self.text)]
+        self.word = [self.text[a:b] for a, b in spans]
+        self.start = [a for a, _ in spans]
+        self.end = [b for _, b in spans]
 
     def __len__(self) -> int:
         return len(self.word)
@@ -170,9 +170,8 @@ def _words_before(t: Tokens, i: int) -> float | None:
 def duration(text: str) -> tuple[float, str] | None:
     """Value and unit of the first length of time above zero."""
     t = Tokens(text)
-    for i in range(1, len(t)):
-        unit = UNITS.get(t.word[i])
-        if unit and not t.glued(i) and t.edged(i, i + 1):
+    for i, unit in [(i, UNITS[w]) for i, w in enumerate(t.word) if w in UNITS]:
+        if i and not t.glued(i) and t.edged(i, i + 1):
             value = _figure_before(t, i) if t.digits(i - 1) else _words_before(t, i)
             if value:
                 return value, unit
@@ -225,7 +224,8 @@ def dates(text: str) -> list[str]:
     """ISO dates of "14 de marzo de 2017", "10/03/2015" and of dates in words, in the text's order, equal neighbours once."""
     t = Tokens(text)
     found: list[tuple[int, str | None]] = []
-    for i, w in enumerate(t.word):
+    for i in [i for i, w in enumerate(t.word) if w == "/" or w in _MONTH]:
+        w = t.word[i]
         if w == "/" and t.digits(i - 1, 2) and t.digits(i + 1, 2) and t.at(i + 2) == "/" and t.digits(i + 3, 4, 4) and all(map(t.glued, range(i, i + 4))) and t.edged(i - 1, i + 4):
             found.append((i - 1, _iso(int(t.word[i + 3]), int(t.word[i + 1]), int(t.word[i - 1]))))
         elif w in _MONTH and t.at(i - 1) == "de":
@@ -317,21 +317,25 @@ def _days_at(t: Tokens, i: int, form: str) -> Span | None:
     return Span(i, after, Day(year, month, number(j)), None)
 
 
-#: Forms of days in the order in which they win where they overlap.
-FORMS = ("iso", "figures", "days of month", "month days", "day of month", "month day", "month of year")
+#: Forms of days in the order in which they win where they overlap, and where they begin: so far before a mark or a month.
+FORMS = {"iso": (1,), "figures": (1,), "days of month": (4, 3), "month days": (0,), "day of month": (2, 1), "month day": (0,), "month of year": (0,)}
 
 
 def days(t: Tokens) -> list[Span]:
     """Days and ranges of days of a text in its order; a day, "al" and a day are one range, in which the first takes over the
     second's year, or the one before it when its month is later."""
     found: list[Span] = []
-    for form in FORMS:
-        i = 0
-        while i < len(t):
-            span = _days_at(t, i, form)
-            if span and span.start.real() and (span.end is None or span.end.real()) and not any(s.first < span.after and span.first < s.after for s in found):
+    marks = [i for i, w in enumerate(t.word) if w in ("-", "/", ".") and t.digits(i - 1)]
+    months = [i for i, w in enumerate(t.word) if w in _SHORT]
+    for form, before in FORMS.items():
+        after = 0
+        for i in sorted({at - n for at in (marks if before == (1,) else months) for n in before}):
+            span = _days_at(t, i, form) if i >= after else None
+            if span is None:
+                continue
+            after = span.after
+            if span.start.real() and (span.end is None or span.end.real()) and not any(s.first < span.after and span.first < s.after for s in found):
                 found.append(span)
-            i = span.after if span else i + 1
     out: list[Span] = []
     for s in sorted(found):
         last = out[-1] if out else None
@@ -347,8 +351,8 @@ def days(t: Tokens) -> list[Span]:
 
 def hour(t: Tokens) -> str | None:
     """The first time of day, as ``HH:MM``."""
-    for i in range(1, len(t) - 1):
-        if t.word[i] == ":" and t.glued(i) and t.glued(i + 1) and t.digits(i - 1, 2) and t.digits(i + 1, 2, 2) and t.edged(i - 1, i + 2) and int(t.word[i - 1]) < 24 and int(t.word[i + 1]) < 60:
+    for i in [i for i, w in enumerate(t.word) if w == ":"]:
+        if t.glued(i) and t.glued(i + 1) and t.digits(i - 1, 2) and t.digits(i + 1, 2, 2) and t.edged(i - 1, i + 2) and int(t.word[i - 1]) < 24 and int(t.word[i + 1]) < 60:
             return f"{int(t.word[i - 1]):02d}:{t.word[i + 1]}"
     return None
 

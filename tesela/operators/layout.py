@@ -97,7 +97,8 @@ def _runs(values: np.ndarray, near: np.ndarray | float) -> list[np.ndarray]:
     """Places of sorted values in runs: a value belongs to the run whose first is no farther than ``near`` from it."""
     near = np.broadcast_to(near, len(values))
     cuts, first = [0], 0
-    for i in range(1, len(values)):
+    # Where neither changes, a value is as near to the first of its run as the one before it.
+    for i in np.flatnonzero((values[1:] != values[:-1]) | (near[1:] < near[:-1])) + 1:
         if abs(values[i] - values[first]) > near[i]:
             cuts.append(i)
             first = i

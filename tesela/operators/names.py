@@ -51,23 +51,34 @@ class Lists:
     safe: frozenset[str] = field(default_factory=frozenset)
 
 
+class _Folded(dict):
+    """Words by number, folded when they are first asked for: few of a text's words stand in or before a name."""
+
+    def __init__(self, words: list[re.Match], fold):
+        super().__init__()
+        self.words, self.fold = words, fold
+
+    def __missing__(self, i: int) -> str:
+        self[i] = self.fold(self.words[i][0])
+        return self[i]
+
+
 def find_names(text: str, fold, lists: Lists) -> list[tuple[int, int, float]]:
     """(start, end, confidence) of each name: a given and a family name together, or a known name behind a trigger."""
     words = list(_WORD.finditer(text))
-    folded = [fold(m[0]) for m in words]
+    folded = _Folded(words, fold)
 
-    def tag(m: re.Match) -> str:
-        w = m[0]
-        if len(w) > 1 and w[0].isupper() and any(c.islower() for c in w[1:]):
-            return "C"
-        return "c" if w.lower() in CONNECTORS else "."
+    def tag(w: str) -> str:
+        if w[0].isupper():
+            return "C" if len(w) > 1 and not w.isupper() and any(c.islower() for c in w[1:]) else "c" if w.lower() in CONNECTORS else "."
+        return "c" if len(w) <= 3 and w.lower() in CONNECTORS else "."
 
     tags, owner = [], []
     for i, m in enumerate(words):
         if i and text[words[i - 1].end() : m.start()] != " ":
             tags.append(" ")
             owner.append(-1)
-        tags.append(tag(m))
+        tags.append(tag(m[0]))
         owner.append(i)
     out = []
     for run in _RUN.finditer("".join(tags)):

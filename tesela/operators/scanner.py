@@ -43,6 +43,8 @@ SURE = {"rfc_person": 0.9, "rfc_company": 0.8, "voter_key": 0.9, "phone": 0.8, "
 SURE_CURP, SURE_MISREAD = (1.0, 0.6), {"curp": 0.8, "rfc_person": 0.7}
 #: Kinds in the order that breaks ties, names and health after identifiers.
 KINDS = [*PATTERNS, "person_name", "health_context"]
+#: Every identifier has a digit or an at sign.
+POSSIBLE = re.compile("[0-9@]")
 SPANS = "array<struct<start:int,end:int,kind:string,severity:string,confidence:double>>"
 
 
@@ -76,7 +78,7 @@ def gated(text: Column, kind: str) -> Column:
 
 def counts(docs: DataFrame) -> DataFrame:
     """kind, severity, documents and findings over ``text``, before overlaps are resolved: one pass, one small aggregation."""
-    text = docs.select(folded(F.col("text")).alias("t"))
+    text = docs.select(F.when(F.col("text").rlike(POSSIBLE.pattern), folded(F.col("text"))).otherwise("").alias("t"))
     told = [(k, "block" if k in BLOCKING else "warn", F.size(gated(F.col("t"), k))) for k in PATTERNS if k not in ("phone", "curp")]
     curps = gated(F.col("t"), "curp")
     told += [("curp", "block", F.size(F.filter(curps, curp_check))), ("curp", "warn", F.size(F.filter(curps, lambda v: ~curp_check(v))))]
@@ -183,9 +185,11 @@ def scanner(own: Own = Own(), pictures: bool = False, lists: people.Lists | None
                     yield m.start(), m.end(), kind, "block", SURE_MISREAD[kind]
 
     def scan(text: str | None) -> list[dict]:
+        if lists is None and not POSSIBLE.search(text or ""):
+            return []
         t, places = fold(text or "")
         mine = [m.span() for a in accounts for m in a.finditer(t)]
-        spans = [s for s in found(t) if not any(a <= s[0] and s[1] <= b for a, b in mine)]
+        spans = [s for s in (found(t) if POSSIBLE.search(t) else ()) if not any(a <= s[0] and s[1] <= b for a, b in mine)]
         spans = [s for s in spans if s[3] == "block" or t[s[0] : s[1]].strip() not in cleared]
         spans = [(places[a], places[b - 1] + 1, k, s, c) for a, b, k, s, c in spans]
         if lists is not None and text:

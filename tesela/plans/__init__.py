@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import archive, calendar, decisions, documents, layout, people, readings, registers, tables, usage
+from . import archive, calendar, decisions, documents, layout, people, readings, registers, store, tables, usage
 
-FLAGSHIP = "pii_scan_counts"
-_MODULES = (documents, tables, usage, registers, readings, calendar, archive, people, layout, decisions)
+FLAGSHIP = "scanner_counts"
+_MODULES = (documents, tables, usage, registers, readings, calendar, archive, people, layout, decisions, store)
 QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesela.functions import readings
+from tesela.sources.shared import spread
 
 _USUAL = 2027
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/orders.parquet").filter("o_orderdate is not null").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    return spread(spark.read.parquet(f"{d}/orders.parquet").filter("o_orderdate is not null").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day")))
 
 
 def _month(day: Column) -> Column:

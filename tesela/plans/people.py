@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesela.operators import names, scanner, vault
+from tesela.sources import shared
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -29,7 +30,7 @@ def people_in_texts(spark: SparkSession, d: str) -> DataFrame:
         .when(k % 7 == 1, F.concat(F.lit("doña "), given))
         .when(k % 7 == 2, F.concat(F.lit("la casa hogar "), given, F.lit(" "), family))
         .when(k % 7 == 3, F.concat(F.lit("San "), given))
-        .when(k % 7 == 4, F.concat(F.lit("Don "), given, F.lit(" de la "), family))
+        .when(k % 7 == 4, F.concat(F.lit("Don "), given, F.lit(" de "), family))
         .when(k % 7 == 5, F.lit("la señora"))
         .otherwise(F.lit("mucha gente"))
     )
@@ -41,7 +42,7 @@ def people_in_texts(spark: SparkSession, d: str) -> DataFrame:
 
 PEOPLE_IN_TEXTS_SQL = f"""
 WITH c AS (SELECT c_custkey % 7 AS k, c_custkey % 2 = 0 AS ill, {_GIVEN}[c_custkey % 4 + 1] AS g, {_FAMILY}[c_custkey % 3 + 1] AS f FROM customer),
-n AS (SELECT *, CASE WHEN g = 'Luz' AND (f = 'Solís' OR k IN (1, 3)) AND k <> 4 THEN NULL WHEN k = 0 THEN g || ' ' || f WHEN k = 1 THEN g WHEN k = 4 THEN g || ' de la ' || f END AS said, CASE WHEN k = 0 THEN 0.6 ELSE 0.9 END AS sure FROM c),
+n AS (SELECT *, CASE WHEN g = 'Luz' AND (f = 'Solís' OR k IN (1, 3)) AND k <> 4 THEN NULL WHEN k = 0 THEN g || ' ' || f WHEN k = 1 THEN g WHEN k = 4 THEN g || ' de ' || f END AS said, CASE WHEN k = 0 THEN 0.6 ELSE 0.9 END AS sure FROM c),
 h AS (SELECT unnest(['padece', 'diabetes']) AS said, CASE WHEN n.said IS NULL THEN 0.7 ELSE 0.9 END AS sure FROM n WHERE ill AND (n.said IS NOT NULL OR k = 5))
 SELECT 'person_name' AS kind, CAST(sure AS DOUBLE) AS confidence, said, count(*) AS texts FROM n WHERE said IS NOT NULL GROUP BY ALL
 UNION ALL SELECT 'health_context', CAST(sure AS DOUBLE), said, count(*) FROM h GROUP BY ALL
@@ -53,14 +54,15 @@ _PROSE = names.Lists(frozenset(("ORRE", "UND", "AND", "STTEEN", "OF")), frozense
 
 
 def names_in_documents(spark: SparkSession, d: str) -> DataFrame:
-    spans = _t(spark, d, "documents").select("doc_id", scanner.scanner(lists=_PROSE)("text").alias("spans"))
+    spans = shared.spread(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", scanner.scanner(lists=_PROSE)("text").alias("spans"))
     called = F.filter("spans", lambda s: s["kind"] == "person_name")
     return spans.select("doc_id", F.size(called).alias("names"), F.coalesce(F.array_max(F.transform(called, lambda s: s["end"] - s["start"])), F.lit(0)).alias("longest"))
 
 
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").filter("doc_id is not null")
-    return docs.select(F.coalesce("source", F.lit("")).alias("scope"), F.col("doc_id").cast("long").alias("id"), "text", scanner.scanner()("text").alias("spans"))
+    docs = shared.spread(_t(spark, d, "documents").filter("doc_id is not null").select("doc_id", "source", "text"))
+    scanned = docs.select(F.coalesce("source", F.lit("")).alias("scope"), F.col("doc_id").cast("long").alias("id"), "text", scanner.scanner()("text").alias("spans"))
+    return shared.written(scanned, "scanned")  # read five times, scanned once
 
 
 def vault_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -69,8 +71,14 @@ def vault_round_trip(spark: SparkSession, d: str) -> DataFrame:
     found = vault.found_values(texts)
     kept = vault.vault_of(found)
     back = vault.revealed(vault.marked(texts, found, kept), kept)
-    plain = lambda c: F.regexp_replace(scanner.folded(c), "[^\\p{L}\\p{N}]", "")
-    return back.select(F.col("id").alias("doc_id"), F.md5(plain(F.col("revealed"))).alias("letters_md5"), F.size(F.col("spans")).cast("long").alias("findings"), F.size(vault.marks_in("marked")).cast("long").alias("marks"))
+    plain = F.regexp_replace(F.lower(F.coalesce("revealed", F.lit(""))), "[^\\p{L}\\p{N}]", "")
+    return back.select(F.col("id").alias("doc_id"), F.md5(plain).alias("letters_md5"))
+
+
+VAULT_ROUND_TRIP_SQL = rf"""
+SELECT doc_id, md5(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]', '', 'g')) AS letters_md5
+FROM documents WHERE doc_id IS NOT NULL
+"""
 
 
 def vault_marks(spark: SparkSession, d: str) -> DataFrame:

@@ -22,18 +22,21 @@ _PERSON = """concat('Cuenta ', lpad(cast(k * 15485863 % 1000000000 AS {s}), 9, '
 _DATE = "concat(lpad(cast(k * 37 % 100 AS {s}), 2, '0'), lpad(cast(k % 13 AS {s}), 2, '0'), lpad(cast(k % 32 AS {s}), 2, '0'))"
 
 
-def _people(spark: SparkSession, d: str) -> DataFrame:
+PEOPLE_TEXTS = f"SELECT {_PERSON.format(s='VARCHAR')} AS text FROM (SELECT k, {_DATE.format(s='VARCHAR')} AS d FROM (SELECT c_custkey AS k FROM customer))"
+
+
+def people(spark: SparkSession, d: str) -> DataFrame:
     k = _t(spark, d, "customer").select(F.col("c_custkey").alias("k"))
     return k.withColumn("d", F.expr(_DATE.format(s="string"))).select("k", F.expr(_PERSON.format(s="string")).alias("text"))
 
 
 def scanner_counts(spark: SparkSession, d: str) -> DataFrame:
-    return scanner.counts(_people(spark, d).select("text").union(_t(spark, d, "documents").select("text")))
+    return scanner.counts(people(spark, d).select("text").union(_t(spark, d, "documents").select("text")))
 
 
 def scanner_findings(spark: SparkSession, d: str) -> DataFrame:
     """Resolved findings of every record by kind and severity; phones and overlaps need places, so this has no SQL."""
-    spans = _people(spark, d).select("text").union(_t(spark, d, "documents").select("text")).select(F.explode(scanner.scanner()("text")).alias("x"))
+    spans = people(spark, d).select("text").union(_t(spark, d, "documents").select("text")).select(F.explode(scanner.scanner()("text")).alias("x"))
     return spans.groupBy("x.kind", "x.severity").agg(F.count("*").alias("findings"))
 
 
@@ -43,19 +46,19 @@ def _kind_sql(kind: str, gate: str = "true", severity: str | None = None) -> str
     return f"SELECT '{kind}' AS kind, '{severity}' AS severity, count(*) FILTER (n > 0) AS documents, CAST(sum(n) AS BIGINT) AS findings FROM (SELECT {n} AS n FROM f)"
 
 
-def _day_sql(at: int) -> str:
+def day_sql(at: int) -> str:
     m, d = f"CAST(substr(v, {at + 2}, 2) AS INT)", f"CAST(substr(v, {at + 4}, 2) AS INT)"
     return f"{m} BETWEEN 1 AND 12 AND {d} BETWEEN 1 AND CASE WHEN {m} = 2 THEN 29 WHEN {m} IN (4, 6, 9, 11) THEN 30 ELSE 31 END"
 
 
-_CURP = f"(10 - list_sum(list_transform(range(1, 18), lambda i: (strpos('{CURP_ALPHABET}', v[i]) - 1) * (19 - i))) % 10) % 10 = CAST(v[18] AS INT)"
-_CLABE = "(10 - list_sum(list_transform(range(1, 18), lambda i: CAST(v[i] AS INT) * CASE i % 3 WHEN 1 THEN 3 WHEN 2 THEN 7 ELSE 1 END % 10)) % 10) % 10 = CAST(v[18] AS INT)"
-_LUHN = "list_sum(list_transform(string_split(reverse(regexp_replace(v, '[^0-9]', '', 'g')), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INT) WHEN CAST(c AS INT) > 4 THEN 2 * CAST(c AS INT) - 9 ELSE 2 * CAST(c AS INT) END)) % 10 = 0"
+CURP_GATE = f"(10 - list_sum(list_transform(range(1, 18), lambda i: (strpos('{CURP_ALPHABET}', v[i]) - 1) * (19 - i))) % 10) % 10 = CAST(v[18] AS INT)"
+CLABE_GATE = "(10 - list_sum(list_transform(range(1, 18), lambda i: CAST(v[i] AS INT) * CASE i % 3 WHEN 1 THEN 3 WHEN 2 THEN 7 ELSE 1 END % 10)) % 10) % 10 = CAST(v[18] AS INT)"
+LUHN_GATE = "list_sum(list_transform(string_split(reverse(regexp_replace(v, '[^0-9]', '', 'g')), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INT) WHEN CAST(c AS INT) > 4 THEN 2 * CAST(c AS INT) - 9 ELSE 2 * CAST(c AS INT) END)) % 10 = 0"
 SCANNER_COUNTS_SQL = f"""
 WITH k AS (SELECT k, {_DATE.format(s='VARCHAR')} AS d FROM (SELECT c_custkey AS k FROM customer)),
 f AS (SELECT translate(upper(coalesce(text, '')), '{SCAN_FROM}', '{SCAN_TO}') AS t FROM (SELECT {_PERSON.format(s='VARCHAR')} AS text FROM k UNION ALL SELECT text FROM documents))
 """ + "\nUNION ALL\n".join(
-    [_kind_sql("curp", _CURP, "block"), _kind_sql("curp", f"NOT ({_CURP})", "warn"), _kind_sql("rfc_person", _day_sql(5)), _kind_sql("rfc_company", _day_sql(4)), _kind_sql("voter_key"), _kind_sql("email"), _kind_sql("clabe", _CLABE), _kind_sql("card", _LUHN), _kind_sql("nss", _LUHN)]
+    [_kind_sql("curp", CURP_GATE, "block"), _kind_sql("curp", f"NOT ({CURP_GATE})", "warn"), _kind_sql("rfc_person", day_sql(5)), _kind_sql("rfc_company", day_sql(4)), _kind_sql("voter_key"), _kind_sql("email"), _kind_sql("clabe", CLABE_GATE), _kind_sql("card", LUHN_GATE), _kind_sql("nss", LUHN_GATE)]
 )
 
 

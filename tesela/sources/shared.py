@@ -34,3 +34,12 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = place(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many parts as there are cores, where a small table has fewer: before Python reads each row.
+
+    Tables of many splits, as all large ones are, stay as they are and aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
