@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def date_valid(text: Column, first: int = 1900, last: int = 2100) -> Column:
     """``YYYY-MM-DD`` of the calendar, between two years."""
-    return F.coalesce(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).isNotNull() & F.substring(text, 1, 4).cast("int").between(first, last), F.lit(False))
+    return F.coalesce(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).isNotNull() & F.substring(text, 1, 4).try_cast("int").between(first, last), F.lit(False))
 
 
 def years_between(start: Column, end: Column) -> Column:
