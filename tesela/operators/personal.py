@@ -85,10 +85,12 @@ def redacted(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([cut(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
 
-def decided(spans: Column, overridden: Column) -> Column:
-    """clean, overridden (warnings only, and somebody cleared them) or quarantine; blocking findings can't be cleared."""
+def decided(spans: Column, overridden: Column, redacted: Column | None = None) -> Column:
+    """clean, redacted (somebody had all findings covered), overridden (warnings only, and somebody cleared them) or quarantine;
+    blocking findings can be covered but not cleared."""
     block = F.exists(spans, lambda s: s["severity"] == "block")
-    return F.when(F.size(spans) == 0, "clean").when(~block & overridden, "overridden").otherwise("quarantine")
+    covered = F.lit(False) if redacted is None else F.coalesce(redacted, F.lit(False))
+    return F.when(F.size(spans) == 0, "clean").when(covered, "redacted").when(~block & F.coalesce(overridden, F.lit(False)), "overridden").otherwise("quarantine")
 
 
 def lists_people(spans: Column) -> Column:

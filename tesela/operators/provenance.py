@@ -45,6 +45,23 @@ def _edits(sought: np.ndarray, text: np.ndarray, anywhere: bool) -> np.ndarray:
     return ends
 
 
+def _near(sought: str, text: str, cut: list[int], slips: int) -> list[tuple[int, int]]:
+    """Where in a text, in its order, a piece with so few edits may lie: around each place of a part as it is."""
+    around = []
+    for a, b in zip(cut, cut[1:], strict=False):
+        part, at = sought[a:b], text.find(sought[a:b])
+        while part and at >= 0:
+            around.append((max(0, at - a - slips), min(len(text), at - a + len(sought) + slips)))
+            at = text.find(part, at + 1)
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(around):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _closest(sought: str, text: str, slips: int) -> tuple[int, int] | None:
     at = text.find(sought)
     if at >= 0:
@@ -54,9 +71,13 @@ def _closest(sought: str, text: str, slips: int) -> tuple[int, int] | None:
     if not slips or not any(sought[a:b] in text for a, b in zip(cut, cut[1:], strict=False)):
         return None
     q, t = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (sought, text))
-    ends = _edits(q, t, True)
-    end = int(ends.argmin()) + 1
-    if ends[end - 1] > slips:
+    best, end = slips + 1, 0
+    for a, b in _near(sought, text, cut, slips):
+        ends = _edits(q, t[a:b], True)
+        at = int(ends.argmin())
+        if ends[at] < best:
+            best, end = int(ends[at]), a + at + 1
+    if best > slips:
         return None
     back = t[max(0, end - len(q) - slips) : end][::-1]
     start = end - 1 - int(_edits(q[::-1], back, False).argmin())

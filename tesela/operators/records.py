@@ -14,8 +14,9 @@ def as_of(changes: DataFrame, keys: list[str], at: str, tie: str, value: str, mo
     return changes.filter(F.col(at) <= moment).groupBy(*keys).agg(last.alias("last")).select(*keys, F.col(f"last.{value}").alias(value))
 
 
-def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The row of each key that comes last by ``order``, nulls first: nothing is sorted, and a hot key is reduced map-side."""
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")).select("_row.*")
 
 
 def difference(old: DataFrame, new: DataFrame, key: str, fields: list[str], protected: frozenset[str] = frozenset()) -> DataFrame:
@@ -88,8 +89,8 @@ def kept_by_person(by_rule: Column, by_person: Column) -> Column:
 
 
 def titled(rows: DataFrame, key: str, titles: DataFrame, default: str) -> DataFrame:
-    """``rows`` with ``title`` from the small list ``titles`` (id, title), or the default label."""
-    named = F.broadcast(titles.groupBy(F.col("id").alias("_id")).agg(F.min("title").alias("title")))
+    """``rows`` with ``title`` from the list ``titles`` (id, title), or the default label."""
+    named = titles.groupBy(F.col("id").alias("_id")).agg(F.min("title").alias("title"))
     return rows.join(named, F.col(key) == F.col("_id"), "left").drop("_id").withColumn("title", F.coalesce("title", F.lit(default)))
 
 

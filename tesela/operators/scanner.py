@@ -10,7 +10,9 @@ import bisect
 import re
 import unicodedata
 from dataclasses import dataclass, field
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,13 +105,30 @@ def lists_people(text: Column, spans: Column) -> Column:
     return (F.size(F.filter(spans, lambda s: s["severity"] == "block")) > 5) | roster_header(text)
 
 
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each character of two bytes its folded form, and whether it is a combining mark."""
+    folded, marks = np.arange(1 << 16, dtype=np.uint32), np.zeros(1 << 16, bool)
+    for c in (c for c in range(1 << 16) if not 0xD800 <= c < 0xE000):
+        upper = chr(c).upper()
+        folded[c] = ord(upper) if len(upper) == 1 else c  # letters that upper case makes longer stay as they are
+        marks[c] = unicodedata.category(chr(c)) == "Mn"
+    for a, b in zip(SCAN_FROM, SCAN_TO, strict=True):
+        folded[folded == ord(a)] = ord(b)
+    return folded, marks
+
+
 def fold(text: str) -> tuple[str, list[int] | range]:
-    """The folded text, and for each of its characters the place in the original."""
+    """The folded text, and for each of its characters the place in the original; letters of more than two bytes stay."""
     if text.isascii():
         return text.upper(), range(len(text))
-    places = [i for i, c in enumerate(text) if unicodedata.category(c) != "Mn"]
-    upper = (text[i].upper() for i in places)
-    return "".join(u if len(u) == 1 else text[i] for i, u in zip(places, upper, strict=True)).translate(str.maketrans(SCAN_FROM, SCAN_TO)), places
+    folded, marks = _tables()
+    letters = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    small = letters < 1 << 16
+    low = np.where(small, letters, 0)
+    kept = np.flatnonzero(~(marks[low] & small))
+    out = np.where(small, folded[low], letters)[kept].astype("<u4").tobytes().decode("utf-32-le")
+    return out, range(len(text)) if len(kept) == len(text) else kept.tolist()
 
 
 def _digits(text: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesela.functions.text import search_fold
 from tesela.operators import ordered
+from tesela.sources.shared import written
 
 
 def tokens(text: Column) -> Column:
@@ -30,11 +31,12 @@ def _begun(prefix: str) -> Column:
 def bm25(docs: DataFrame, terms: list[str], k: int | None = None) -> DataFrame:
     """doc_id and score of the documents with a token that begins with a term; smaller is better, as in full-text indexes.
 
-    One pass gives lengths and counts by term (no token is exploded), one row of statistics goes back to all.
+    One pass gives lengths and counts by term (no token is exploded); these few numbers a document are written, so that texts
+    are read once for statistics and scores.
     """
     read = docs.select("doc_id", tokens(F.col("text")).alias("t"))
     counted = read.select("doc_id", F.size("t").alias("len"), *[_begun(p).alias(f"n{i}") for i, p in enumerate(terms)])
-    return _ranked(counted, len(terms), k)
+    return _ranked(written(counted, "counts"), len(terms), k)
 
 
 def _ranked(counted: DataFrame, terms: int, k: int | None) -> DataFrame:
@@ -68,6 +70,15 @@ def cosine(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.select("vec_id", F.round(dot(v, q) / F.sqrt(dot(v, v) * dot(q, q)), 6).alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(k)
 
 
+def nearest(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """:func:`cosine` with the one vector of ``asked`` (embedding): none of it passes the driver, and without it there are no rows."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    one = asked.limit(1).select(F.col("embedding").cast("array<double>").alias("q"))
+    v = F.col("embedding").cast("array<double>")
+    met = vectors.join(F.broadcast(one))
+    return met.select("vec_id", F.round(dot(v, F.col("q")) / F.sqrt(dot(v, v) * dot(F.col("q"), F.col("q"))), 6).alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(k)
+
+
 def fused(rankings: DataFrame) -> DataFrame:
     """``rankings`` (list, id, score; larger is better) as id and the sum of 1 / (60 + rank), ranks from 0."""
     placed = ordered.ranked(rankings, ["list"], [F.desc("score"), F.col("id")], "rank")
@@ -105,4 +116,4 @@ def weighted_bm25(docs: DataFrame, terms: list[str], k: int | None = None, weigh
     hits = lambda c, p: F.size(F.filter(f"t_{c}", lambda w: w.startswith(p)))
     length = sum((F.size(f"t_{c}") for c in list(weights)[1:]), F.size(f"t_{next(iter(weights))}"))
     count = lambda p: sum((w * hits(c, p) for c, w in weights.items()), F.lit(0.0))
-    return _ranked(read.select("doc_id", length.alias("len"), *[count(p).alias(f"n{i}") for i, p in enumerate(terms)]), len(terms), k)
+    return _ranked(written(read.select("doc_id", length.alias("len"), *[count(p).alias(f"n{i}") for i, p in enumerate(terms)]), "counts"), len(terms), k)

@@ -29,6 +29,8 @@ MEANINGS = {
 HEALTH_LABEL = "[DATO DE SALUD OCULTO]"
 #: Letters of a value that is looked for again, and digits that make two phones one.
 LEAST_LETTERS, PHONE_DIGITS = 3, 10
+#: Bits of the filter of first words that all tasks know: two megabytes, whatever the size of the vault.
+FILTER_BITS = 1 << 24
 #: Parts over which the texts of one (scope, word) are dealt.
 SALTS = 16
 
@@ -70,11 +72,26 @@ def vault_of(found: DataFrame) -> DataFrame:
     return placed.select("scope", mark.alias("mark"), "word", "key", "value")
 
 
+def _may_begin(words: DataFrame, values: DataFrame) -> DataFrame:
+    """``words`` (scope, begin, ...) without most of those that begin no value: by one bit for each value's first word.
+
+    The bits are of one size, so they may be known to all tasks; where many values fill them fewer words are kept out, and the
+    join that follows decides.
+    """
+    bit = F.pmod(F.xxhash64("scope", "begin"), F.lit(FILTER_BITS))
+    bits = values.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_bits"))
+    at = F.bitmap_bit_position(F.col("_bit"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = words.withColumn("_bit", bit).withColumn("_bucket", F.bitmap_bucket_number("_bit")).join(F.broadcast(bits), "_bucket")
+    return met.filter(F.shiftright(byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).drop("_bit", "_bucket", "_bits")
+
+
 def _known(texts: DataFrame, vault: DataFrame) -> DataFrame:
     """scope, id and known: (value, mark) of the values whose first word the text holds."""
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
     words = texts.select("scope", "id", F.explode(F.array_distinct(F.regexp_extract_all(folded(F.col("text")), F.lit("[\\p{L}\\p{N}]+"), F.lit(0)))).alias("begin"), salt.alias("salt"))
     values = vault.filter(F.length("value") >= LEAST_LETTERS).select("scope", "value", "mark", _first_word(folded(F.col("value"))).alias("begin"))
+    words = _may_begin(words, values)
     values = values.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     met = words.join(values, ["scope", "begin", "salt"])
     return met.groupBy("scope", "id").agg(F.sort_array(F.collect_set(F.struct("value", "mark"))).alias("known"))
@@ -132,7 +149,8 @@ def marked(texts: DataFrame, found: DataFrame, vault: DataFrame) -> DataFrame:
     keyed = ends.join(found.select("scope", "id", "start", "word", "key"), ["scope", "id", "start"], "left")
     named = keyed.join(vault.select("scope", "word", "key", "mark"), ["scope", "word", "key"], "left")
     own = named.groupBy("scope", "id").agg(F.collect_list(F.struct("start", "end", F.coalesce("mark", F.lit(HEALTH_LABEL)).alias("mark"))).alias("own"))
-    joined = texts.join(own, ["scope", "id"], "left").join(_known(texts, vault), ["scope", "id"], "left")
+    told = own.join(_known(texts, vault), ["scope", "id"], "full")  # texts are shuffled once
+    joined = texts.join(told, ["scope", "id"], "left")
     return joined.withColumn("marked", _marked("text", "own", "known")).drop("own", "known")
 
 

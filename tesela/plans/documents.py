@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesela.functions.text import line_shape, normal, same_statement
-from tesela.operators import personal, records, search
+from tesela.operators import personal, records, scanner, search
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -33,13 +33,14 @@ PII_SCAN_COUNTS_SQL = "\nUNION ALL\n".join(f"SELECT '{k}' AS kind, count(*) FILT
 
 
 def pii_decisions(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").withColumn("spans", personal.findings("text"))
-    state = docs.select(personal.decided(F.col("spans"), F.lit(False)).alias("decision"), personal.lists_people(F.col("spans")).alias("lists_people"))
+    docs = _t(spark, d, "documents").withColumn("spans", scanner.scanner()("text"))
+    choice = F.element_at(F.array(F.lit("keep"), F.lit("redact"), F.lit("override")), (F.col("doc_id") % 3 + 1).cast("int"))
+    state = docs.select(personal.decided(F.col("spans"), choice == "override", choice == "redact").alias("decision"), scanner.lists_people(F.col("text"), F.col("spans")).alias("lists_people"))
     return state.groupBy("decision", "lists_people").agg(F.count("*").alias("documents"))
 
 
 def pii_redacted(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").withColumn("spans", personal.findings("text"))
+    docs = _t(spark, d, "documents").withColumn("spans", scanner.scanner()("text"))
     return docs.select("doc_id", F.size("spans").alias("findings"), F.md5(personal.redacted("text", "spans")).alias("text_md5"))
 
 
@@ -126,7 +127,7 @@ SELECT source, doc_id, before FROM r WHERE before < budget
 
 def header_lines_removed(spark: SparkSession, d: str) -> DataFrame:
     lines = _t(spark, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    lines = lines.withColumn("shape", line_shape(F.col("line"))).filter("shape <> ''")
+    lines = lines.select("doc", "page", line_shape(F.col("line")).alias("shape")).filter("shape <> ''").withColumn("shape", F.xxhash64("shape"))
     return records.repeated_lines(lines).groupBy("doc").agg(F.count("*").alias("lines"), F.countDistinct("shape").alias("shapes"))
 
 
@@ -167,8 +168,7 @@ NORMAL_FORMS_SQL = r"SELECT doc_id, md5(trim(regexp_replace(lower(coalesce(text,
 
 def vector_top5(spark: SparkSession, d: str) -> DataFrame:
     v = _t(spark, d, "embeddings")
-    first = v.filter("vec_id = 0").first()
-    return search.cosine(v, list(first.embedding), 5)
+    return search.nearest(v, v.filter("vec_id = 0"), 5)
 
 
 VECTOR_TOP5_SQL = "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])), 6) AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 5"

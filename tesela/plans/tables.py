@@ -69,7 +69,7 @@ HISTORY_AS_OF_SQL = 'SELECT user_id, CASE WHEN event_type <> \'error\' THEN valu
 
 
 def latest_versions(spark: SparkSession, d: str) -> DataFrame:
-    return records.latest(_t(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")
+    return records.latest(_t(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
 LATEST_VERSIONS_SQL = "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1"
