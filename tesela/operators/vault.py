@@ -83,7 +83,7 @@ def _may_begin(words: DataFrame, values: DataFrame) -> DataFrame:
     at = F.bitmap_bit_position(F.col("_bit"))
     byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     met = words.withColumn("_bit", bit).withColumn("_bucket", F.bitmap_bucket_number("_bit")).join(F.broadcast(bits), "_bucket")
-    return met.filter(F.shiftright(byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).drop("_bit", "_bucket", "_bits")
+    return met.filter(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).drop("_bit", "_bucket", "_bits")
 
 
 def _known(texts: DataFrame, vault: DataFrame) -> DataFrame:
