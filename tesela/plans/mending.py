@@ -9,7 +9,7 @@ from tesela.functions import mending
 
 _NAMES = ["Benito Juárez", "San José", "Ñuu Savi", "Álvaro Obregón", "El Oro"]
 _SAID = ["BENITO JUAREZ", "municipio de san jose", "Alcaldía ñuu-savi", "delegación Álvaro  Obregón", "el oro.", "Municipio", "otro"]
-_WRITTEN = ["bot3n", "Reg1men", "dej3", "caf3", "a1a", "x4y4", "A3a", "plain"]
+_WRITTEN = ["bot3n", "R3gimen", "dej3", "caf3", "a1a", "x4y4", "A3a", "plain"]
 _MEANT = ["botón", "Régimen", "dejé", "café", "a1a", "x4y4", "A3a", "plain"]
 _KNOWN = ["botón", "régimen", "dejé", "café", "plain"]
 
