@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-PIECE = 3_500
-MOST_BYTES = 40 << 20
+#: Letters of a piece, bytes of a file, kinds of files that are taken, letters from which a page can be read.
+PIECE, MOST_BYTES, LEAST_LETTERS = 3_500, 40 << 20, 20
+ADMITTED = ("pdf", "docx", "jpg", "jpeg", "png")
+#: Bytes that the parts of one packed file may have when unpacked.
+MOST_UNPACKED = 8 * MOST_BYTES
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
@@ -37,8 +40,13 @@ def pieces(text: str, size: int = PIECE) -> list[str]:
 
 
 def office_text(name: str, data: bytes) -> str:
-    """The text of a .docx (a line a paragraph) or .xlsx (a line a row, cells joined by `` | ``)."""
+    """The text of a .docx (a line a paragraph) or .xlsx (a line a row, cells joined by `` | ``).
+
+    A file whose parts are too large when unpacked is refused before any is.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
+        if sum(part.file_size for part in z.infolist()) > MOST_UNPACKED:
+            raise OverflowError(name)
         if name.endswith(".docx"):
             root = ElementTree.fromstring(z.read("word/document.xml"))
             return "\n".join("".join(t.text or "" for t in p.iter() if t.tag.endswith("}t")) for p in root.iter() if p.tag.endswith("}p"))
@@ -71,6 +79,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                         rows.append((name, 0, None, "unsupported"))
                     else:
                         rows += [(name, i, p, None) for i, p in enumerate(pieces(office_text(name.lower(), bytes(data))))]
+                except OverflowError:
+                    rows.append((name, 0, None, "too_large"))
                 except RuntimeError:
                     rows.append((name, 0, None, "protected"))
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError):
@@ -83,6 +93,38 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return small.union(large)
 
 
+def admission(files: DataFrame) -> DataFrame:
+    """``files`` (path, length) with ``refused``: wrong_type, too_large or null, told without reading any file."""
+    ending = F.lower(F.regexp_extract("path", "[.]([^./]+)$", 1))
+    return files.withColumn("refused", F.when(~ending.isin(*ADMITTED), "wrong_type").when(F.col("length") > MOST_BYTES, "too_large"))
+
+
+def readable(pages: DataFrame) -> DataFrame:
+    """doc and readable: whether some page of ``pages`` (doc, text) has twenty letters or more."""
+    letters = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\p{L}]", ""))
+    return pages.groupBy("doc").agg((F.max(letters) >= LEAST_LETTERS).alias("readable"))
+
+
+def lookup(table: DataFrame, key: str, value: object, fold: bool = False) -> DataFrame:
+    """The rows of one key; a plain comparison reaches the files' statistics, one whatever the case reads the column."""
+    return table.filter(F.lower(key) == str(value).lower()) if fold else table.filter(F.col(key) == F.lit(value))
+
+
+def replace_whole(df: DataFrame, path: str, version: int) -> None:
+    """Write all rows of a list anew, as a version of its own: readers see the old list until the new one is whole."""
+    df.write.mode("overwrite").parquet(f"{path}/v{version:012d}")
+
+
+def read_whole(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest whole version of a list; None where there is none."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(there):
+        return None
+    whole = sorted(str(s.getPath()) for s in system.listStatus(there) if system.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+    return spark.read.parquet(whole[-1]) if whole else None
+
+
 def append(df: DataFrame, path: str) -> None:
     """History is only ever added to."""
     df.write.mode("append").parquet(path)
