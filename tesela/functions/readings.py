@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from tesela.functions import tokens
+from tesela.functions.arrow import each
 from tesela.functions.tokens import MONTHS  # noqa: F401
 
 #: The banks of the first three digits of a CLABE, and words that belong to the surname after them.
@@ -43,8 +44,7 @@ def _reader(kind: pa.DataType) -> Callable:
 
 def _each(read: Callable, arrow: pa.DataType, *columns: pa.Array) -> pa.Array:
     """``read`` of each row whose first value is not null."""
-    rows = zip(*(c.to_pylist() for c in columns), strict=True)
-    return pa.array([None if r[0] is None else read(*r) for r in rows], arrow)
+    return each(lambda *r: None if r[0] is None else read(*r), arrow, *columns)
 
 
 @_reader(pa.int64())

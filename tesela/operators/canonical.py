@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from tesela.functions.arrow import each
 from tesela.operators.fold import folded
 
 #: Groups of a summary with their section and field, in the order in which a person reads them.
@@ -191,7 +192,7 @@ def masked_text(text: str, quotes: list[str]) -> str:
 @F.arrow_udf(StringType())
 def masked(text: pa.Array, quotes: pa.Array) -> pa.Array:
     """:func:`masked_text` of each row; null quotes are none."""
-    return pa.array([None if t is None else masked_text(t, [x for x in q or [] if x]) for t, q in zip(text.to_pylist(), quotes.to_pylist(), strict=True)], pa.string())
+    return each(lambda t, q: None if t is None else masked_text(t, [x for x in q or [] if x]), pa.string(), text, quotes)
 
 
 def page_groups(pages: DataFrame, letters: int = GROUP_LETTERS, most: int = MOST_GROUPS) -> DataFrame:

@@ -9,10 +9,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from tesela.functions.arrow import each
 from tesela.functions.checks import card_valid
 from tesela.operators import ordered
 
@@ -69,8 +71,8 @@ def findings(text: pd.Series) -> pd.Series:
     return text.map(scan, na_action=None)
 
 
-@F.pandas_udf(StringType())
-def redacted(text: pd.Series, spans: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def redacted(text: pa.Array, spans: pa.Array) -> pa.Array:
     """The text with ``[KIND]`` in place of each span."""
 
     def cut(t: str | None, found) -> str | None:
@@ -82,7 +84,7 @@ def redacted(text: pd.Series, spans: pd.Series) -> pd.Series:
             at = s["end"]
         return "".join([*out, t[at:]])
 
-    return pd.Series([cut(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
+    return each(cut, pa.string(), text, spans)
 
 
 def decided(spans: Column, overridden: Column, redacted: Column | None = None) -> Column:

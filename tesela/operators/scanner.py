@@ -13,10 +13,11 @@ from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesela.functions.arrow import each
 from tesela.functions.checks import CURP_ALPHABET, card_valid, clabe_valid, curp_check, nss_valid, plausible_yymmdd
 from tesela.functions.text import SCAN_FROM, SCAN_TO
 from tesela.operators import names as people
@@ -47,6 +48,7 @@ SURE_CURP, SURE_MISREAD = (1.0, 0.6), {"curp": 0.8, "rfc_person": 0.7}
 KINDS = [*PATTERNS, "person_name", "health_context"]
 #: Every identifier has a digit or an at sign.
 POSSIBLE = re.compile("[0-9@]")
+_ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("severity", pa.string()), ("confidence", pa.float64())]))
 SPANS = "array<struct<start:int,end:int,kind:string,severity:string,confidence:double>>"
 
 
@@ -217,8 +219,8 @@ def scanner(own: Own = Own(), pictures: bool = False, lists: people.Lists | None
             spans += [(a, b, k, "warn", c) for a, b, c, k in about if fold(text[a:b].strip())[0] not in cleared]
         return [dict(zip(("start", "end", "kind", "severity", "confidence"), s, strict=True)) for s in strongest(spans)]
 
-    @F.pandas_udf(SPANS)
-    def spans(text: pd.Series) -> pd.Series:
-        return text.map(scan, na_action=None)
+    @F.arrow_udf(SPANS)
+    def spans(text: pa.Array) -> pa.Array:
+        return each(scan, _ARROW_SPANS, text)
 
     return spans

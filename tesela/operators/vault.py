@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from tesela.functions.arrow import each
 from tesela.operators import ordered
 from tesela.operators.scanner import fold, folded
 
@@ -139,7 +140,7 @@ def _marked(text: pa.Array, found: pa.Array, known: pa.Array) -> pa.Array:
             done = s["end"]
         return _rewrite(t, places)
 
-    return pa.array([mark(*r) for r in zip(text.to_pylist(), found.to_pylist(), known.to_pylist(), strict=True)], pa.string())
+    return each(mark, pa.string(), text, found, known)
 
 
 def marked(texts: DataFrame, found: DataFrame, vault: DataFrame) -> DataFrame:
@@ -157,7 +158,7 @@ def marked(texts: DataFrame, found: DataFrame, vault: DataFrame) -> DataFrame:
 @F.arrow_udf(ArrayType(StringType()))
 def marks_in(text: pa.Array) -> pa.Array:
     """The marks that a text holds, as the vault writes them, each once; also those written a little differently."""
-    return pa.array([None if t is None else list(dict.fromkeys(canonical(m) for m in _MARK.findall(t))) for t in text.to_pylist()], pa.list_(pa.string()))
+    return each(lambda t: None if t is None else list(dict.fromkeys(canonical(m) for m in _MARK.findall(t))), pa.list_(pa.string()), text)
 
 
 @F.arrow_udf(StringType())
@@ -166,7 +167,7 @@ def _revealed(text: pa.Array, values: pa.Array) -> pa.Array:
         of = {v["mark"]: v["value"] for v in held or []}
         return t if t is None or not of else _MARK.sub(lambda m: of.get(canonical(m[0]), m[0]), t)
 
-    return pa.array([reveal(*r) for r in zip(text.to_pylist(), values.to_pylist(), strict=True)], pa.string())
+    return each(reveal, pa.string(), text, values)
 
 
 def _held(texts: DataFrame, column: str) -> DataFrame:
