@@ -73,18 +73,19 @@ def vault_of(found: DataFrame) -> DataFrame:
     return placed.select("scope", mark.alias("mark"), "word", "key", "value")
 
 
-def _may_begin(words: DataFrame, values: DataFrame) -> DataFrame:
-    """``words`` (scope, begin, ...) without most of those that begin no value: by one bit for each value's first word.
+def _likely(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with ``_likely``: false where no row of ``keys`` has their key, by one bit for each key.
 
-    The bits are of one size, so they may be known to all tasks; where many values fill them fewer words are kept out, and the
-    join that follows decides.
+    The bits are of one size, so they may be known to all tasks; where many keys fill them more rows are likely, and the join
+    that follows decides.
     """
-    bit = F.pmod(F.xxhash64("scope", "begin"), F.lit(FILTER_BITS))
-    bits = values.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_bits"))
+    bit = F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS))
+    bits = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_bits"))
     at = F.bitmap_bit_position(F.col("_bit"))
     byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    met = words.withColumn("_bit", bit).withColumn("_bucket", F.bitmap_bucket_number("_bit")).join(F.broadcast(bits), "_bucket")
-    return met.filter(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).drop("_bit", "_bucket", "_bits")
+    met = rows.withColumn("_bit", bit).withColumn("_bucket", F.bitmap_bucket_number("_bit")).join(F.broadcast(bits), "_bucket", "left")
+    there = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return met.withColumn("_likely", F.coalesce(there, F.lit(False))).drop("_bit", "_bucket", "_bits")
 
 
 def _known(texts: DataFrame, vault: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def _known(texts: DataFrame, vault: DataFrame) -> DataFrame:
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
     words = texts.select("scope", "id", F.explode(F.array_distinct(F.regexp_extract_all(folded(F.col("text")), F.lit("[\\p{L}\\p{N}]+"), F.lit(0)))).alias("begin"), salt.alias("salt"))
     values = vault.filter(F.length("value") >= LEAST_LETTERS).select("scope", "value", "mark", _first_word(folded(F.col("value"))).alias("begin"))
-    words = _may_begin(words, values)
+    words = _likely(words, values, ["scope", "begin"]).filter("_likely").drop("_likely")
     values = values.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     met = words.join(values, ["scope", "begin", "salt"])
     return met.groupBy("scope", "id").agg(F.sort_array(F.collect_set(F.struct("value", "mark"))).alias("known"))
@@ -150,9 +151,11 @@ def marked(texts: DataFrame, found: DataFrame, vault: DataFrame) -> DataFrame:
     keyed = ends.join(found.select("scope", "id", "start", "word", "key"), ["scope", "id", "start"], "left")
     named = keyed.join(vault.select("scope", "word", "key", "mark"), ["scope", "word", "key"], "left")
     own = named.groupBy("scope", "id").agg(F.collect_list(F.struct("start", "end", F.coalesce("mark", F.lit(HEALTH_LABEL)).alias("mark"))).alias("own"))
-    told = own.join(_known(texts, vault), ["scope", "id"], "full")  # texts are shuffled once
-    joined = texts.join(told, ["scope", "id"], "left")
-    return joined.withColumn("marked", _marked("text", "own", "known")).drop("own", "known")
+    told = own.join(_known(texts, vault), ["scope", "id"], "full")
+    # Only texts that something may be known of are shuffled.
+    sorted_ = _likely(texts, told, ["scope", "id"])
+    some = sorted_.filter("_likely").drop("_likely").join(told, ["scope", "id"], "left").withColumn("marked", _marked("text", "own", "known")).drop("own", "known")
+    return some.unionByName(sorted_.filter("not _likely").drop("_likely").withColumn("marked", F.col("text")))
 
 
 @F.arrow_udf(ArrayType(StringType()))
@@ -182,7 +185,10 @@ def revealed(texts: DataFrame, vault: DataFrame, column: str = "marked") -> Data
     held = _held(texts, column).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     values = vault.select("scope", "mark", "value", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     of = held.join(values, ["scope", "mark", "salt"]).groupBy("scope", "id").agg(F.collect_list(F.struct("mark", "value")).alias("values"))
-    return texts.join(of, ["scope", "id"], "left").withColumn("revealed", _revealed(column, "values")).drop("values")
+    # Only texts with marks are shuffled.
+    marked_ = F.coalesce(F.size(marks_in(column)), F.lit(0)) > 0
+    some = texts.filter(marked_).join(of, ["scope", "id"], "left").withColumn("revealed", _revealed(column, "values")).drop("values")
+    return some.unionByName(texts.filter(~marked_).withColumn("revealed", F.col(column)))
 
 
 def unknown(texts: DataFrame, vault: DataFrame, column: str = "marked") -> DataFrame:
