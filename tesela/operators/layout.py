@@ -370,7 +370,9 @@ def page_rows(marks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(([doc] * len(rows), [number] * len(rows), range(len(rows)), [r[0] for r in rows], [r[1] for r in rows]), schema, strict=True)], schema=schema)
 
     keyed = marks.filter("doc is not null and page is not null and letter is not null")
-    return keyed.repartition("doc", "page").sortWithinPartitions("doc", "page").mapInArrow(read, "doc long, page int, n int, ruled boolean, row string")
+    # Dealt by a hash of their own: letters and lines that each are dealt by page already, as sides of a union are, would
+    # not be dealt again, though Spark may have joined the parts of either side in its own way.
+    return keyed.repartition(F.xxhash64("doc", "page")).sortWithinPartitions("doc", "page").mapInArrow(read, "doc long, page int, n int, ruled boolean, row string")
 
 
 def with_rows(text: Column, rows: Column) -> Column:

@@ -119,3 +119,19 @@ def test_pages_stream_through_batches(spark):
         assert layout.page_rows(spark.createDataFrame([], layout.MARKS)).count() == 0
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_letters_and_lines_of_a_page_meet(spark, sf):
+    """Before, where Spark joined the parts of letters and of lines in other ways, no page with lines was read as ruled."""
+    from tesela.plans.layout import table_rows
+
+    own = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        got = table_rows(spark, sf).select("page", "ruled").distinct().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert all(r.ruled == (r.page % 2 == 0) for r in got) and len(got) == 8
