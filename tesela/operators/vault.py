@@ -1,22 +1,25 @@
 """Marks in place of personal data, the same for the same value in one errand (scope), and back.
 
 A vault is a table (scope, mark, word, key, value).  Marking a text needs the values it may hold, not its errand's: texts
-and values meet on the first word of a value, so that a hot scope is no task's work, and a text gets the few values that
-begin with one of its words.  Revealing joins the marks that a text holds.  Values never leave these tables.
+and values meet on all words of a value, so that a hot scope is no task's work, and a text gets the few values whose words
+it holds in their order.  Revealing joins the marks that a text holds.  Values never leave these tables.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from tesela.functions.arrow import each
 from tesela.operators import ordered
 from tesela.operators.scanner import fold, folded
+from tesela.sources.shared import written
 
 #: The word of each kind's mark, what it is in the legend, and the label of what is never revealed.
 WORDS = {
@@ -30,14 +33,17 @@ MEANINGS = {
 HEALTH_LABEL = "[DATO DE SALUD OCULTO]"
 #: Letters of a value that is looked for again, and digits that make two phones one.
 LEAST_LETTERS, PHONE_DIGITS = 3, 10
-#: Bits of the filter of first words that all tasks know: two megabytes, whatever the size of the vault.
+#: Bits of the filters that all tasks know: two megabytes, whatever the size of the vault.
 FILTER_BITS = 1 << 24
-#: Parts over which the texts of one (scope, word) are dealt.
+#: Words of a value by which it meets texts; longer values meet by their first ones.
+MOST_WORDS = 8
+#: Parts over which the texts of one (scope, words) are dealt.
 SALTS = 16
 
 _SAID = "|".join(w.replace("TELEFONO", "TEL[EÉ]FONO").replace("_", "[ _]") for w in dict.fromkeys(WORDS.values()))
 MARK = rf"\[\s*(?:{_SAID})[ _-]?[0-9]{{1,3}}\s*\]|\b(?:{_SAID})_[0-9]{{1,3}}\b"
 _MARK = re.compile(MARK, re.IGNORECASE)
+_WORD = re.compile(r"[^\W_]+")
 
 
 def canonical(mark: str) -> str:
@@ -46,10 +52,6 @@ def canonical(mark: str) -> str:
     return f"[{fold(word)[0].replace(' ', '_')}_{number.lstrip('0')}]"
 
 
-def _first_word(text: Column) -> Column:
-    return F.regexp_extract(text, "[\\p{L}\\p{N}]+", 0)
-
-
 def found_values(texts: DataFrame) -> DataFrame:
     """scope, id, start, word, key and value of the findings in ``texts`` (scope, id, text, spans of the scanner).
 
@@ -88,14 +90,73 @@ def _likely(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return met.withColumn("_likely", F.coalesce(there, F.lit(False))).drop("_bit", "_bucket", "_bits")
 
 
+def _begin(word: bytes, scope: int) -> int:
+    return zlib.crc32(word, scope) % FILTER_BITS
+
+
+def _whole(words: bytes, scope: int) -> int:
+    return zlib.crc32(words, ~scope & 0xFFFFFFFF) % FILTER_BITS
+
+
+def words_of(value: str) -> list[str]:
+    """The words by which a value meets texts."""
+    return _WORD.findall(fold(value)[0])[:MOST_WORDS]
+
+
+@F.arrow_udf(StructType().add("words", StringType()).add("n", IntegerType()).add("bits", ArrayType(LongType())))
+def _met_by(scope: pa.Array, value: pa.Array) -> pa.Array:
+    """The words of a value in one string, their number and its bits: of the first word and of all; null without a word."""
+
+    def told(of: str | None, v: str) -> dict | None:
+        words = words_of(v)
+        at, key = zlib.crc32((of or "").encode()), " ".join(words)
+        return {"words": key, "n": len(words), "bits": [_begin(words[0].encode(), at), _whole(key.encode(), at)]} if words else None
+
+    return each(told, pa.struct([("words", pa.string()), ("n", pa.int32()), ("bits", pa.list_(pa.int64()))]), scope, value)
+
+
+def words_met(bits: np.ndarray, lengths: list[int]):
+    """A function of scope and text: the strings of words in the text that a value may have, by ``bits`` packed into bytes."""
+    filled = bits.tobytes()
+    there = lambda bit: filled[bit >> 3] >> (bit & 7) & 1
+
+    def met(of: str | None, text: str | None) -> list[str] | None:
+        words = _WORD.findall(fold(text or "")[0])
+        at = zlib.crc32((of or "").encode())
+        begins = {w for w in set(words) if there(_begin(w.encode(), at))}
+        if not begins:
+            return None
+        found = set()
+        for i, w in enumerate(words):
+            if w in begins:
+                found.update(" ".join(words[i : i + n]) for n in lengths if i + n <= len(words))
+        return [k for k in found if there(_whole(k.encode(), at))] or None
+
+    @F.arrow_udf(ArrayType(StringType()))
+    def strings(scope: pa.Array, text: pa.Array) -> pa.Array:
+        return each(met, pa.list_(pa.string()), scope, text)
+
+    return strings
+
+
 def _known(texts: DataFrame, vault: DataFrame) -> DataFrame:
-    """scope, id and known: (value, mark) of the values whose first word the text holds."""
+    """scope, id and known: (value, mark) of the values whose words the text holds in their order.
+
+    A filter of the values' words, of one size whatever their number, goes to all tasks, so that of a text's words only those
+    of a likely value are joined; the join decides.
+    """
+    keyed = vault.filter(F.length("value") >= LEAST_LETTERS).withColumn("met", _met_by("scope", "value")).filter("met is not null").select("scope", "value", "mark", "met.*")
+    bit = keyed.select(F.explode("bits").alias("bit"), "n").withColumn("bit", F.col("bit") + 1)  # buckets count from 1
+    parts = bit.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"), F.collect_set("n").alias("lengths")).collect()
+    bits, lengths = np.zeros(FILTER_BITS // 8, np.uint8), sorted({n for p in parts for n in p.lengths})
+    for p in parts:
+        own = np.frombuffer(bytes(p.bits), np.uint8)
+        start = (p.bucket - 1) * len(own)
+        bits[start : start + len(own)] = own[: len(bits) - start]
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
-    words = texts.select("scope", "id", F.explode(F.array_distinct(F.regexp_extract_all(folded(F.col("text")), F.lit("[\\p{L}\\p{N}]+"), F.lit(0)))).alias("begin"), salt.alias("salt"))
-    values = vault.filter(F.length("value") >= LEAST_LETTERS).select("scope", "value", "mark", _first_word(folded(F.col("value"))).alias("begin"))
-    words = _likely(words, values, ["scope", "begin"]).filter("_likely").drop("_likely")
-    values = values.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    met = words.join(values, ["scope", "begin", "salt"])
+    words = texts.select("scope", "id", F.explode(words_met(bits, lengths)("scope", "text")).alias("words"), salt.alias("salt"))
+    values = keyed.select("scope", "value", "mark", "words", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    met = words.join(values, ["scope", "words", "salt"])
     return met.groupBy("scope", "id").agg(F.sort_array(F.collect_set(F.struct("value", "mark"))).alias("known"))
 
 
@@ -151,7 +212,7 @@ def marked(texts: DataFrame, found: DataFrame, vault: DataFrame) -> DataFrame:
     keyed = ends.join(found.select("scope", "id", "start", "word", "key"), ["scope", "id", "start"], "left")
     named = keyed.join(vault.select("scope", "word", "key", "mark"), ["scope", "word", "key"], "left")
     own = named.groupBy("scope", "id").agg(F.collect_list(F.struct("start", "end", F.coalesce("mark", F.lit(HEALTH_LABEL)).alias("mark"))).alias("own"))
-    told = own.join(_known(texts, vault), ["scope", "id"], "full")
+    told = written(own.join(_known(texts, vault), ["scope", "id"], "full"), "told")  # read twice
     # Only texts that something may be known of are shuffled.
     sorted_ = _likely(texts, told, ["scope", "id"])
     some = sorted_.filter("_likely").drop("_likely").join(told, ["scope", "id"], "left").withColumn("marked", _marked("text", "own", "known")).drop("own", "known")
@@ -164,6 +225,11 @@ def marks_in(text: pa.Array) -> pa.Array:
     return each(lambda t: None if t is None else list(dict.fromkeys(canonical(m) for m in _MARK.findall(t))), pa.list_(pa.string()), text)
 
 
+def _marks(column: str) -> Column:
+    """:func:`marks_in`, null where a text has neither a bracket nor a line below, as every mark has."""
+    return marks_in(F.when(F.contains(F.col(column), F.lit("[")) | F.contains(F.col(column), F.lit("_")), F.col(column)))
+
+
 @F.arrow_udf(StringType())
 def _revealed(text: pa.Array, values: pa.Array) -> pa.Array:
     def reveal(t: str | None, held: list | None) -> str | None:
@@ -174,7 +240,7 @@ def _revealed(text: pa.Array, values: pa.Array) -> pa.Array:
 
 
 def _held(texts: DataFrame, column: str) -> DataFrame:
-    return texts.select("scope", "id", F.explode(marks_in(column)).alias("mark"))
+    return texts.select("scope", "id", F.explode(_marks(column)).alias("mark"))
 
 
 def revealed(texts: DataFrame, vault: DataFrame, column: str = "marked") -> DataFrame:
@@ -186,7 +252,7 @@ def revealed(texts: DataFrame, vault: DataFrame, column: str = "marked") -> Data
     values = vault.select("scope", "mark", "value", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     of = held.join(values, ["scope", "mark", "salt"]).groupBy("scope", "id").agg(F.collect_list(F.struct("mark", "value")).alias("values"))
     # Only texts with marks are shuffled.
-    marked_ = F.coalesce(F.size(marks_in(column)), F.lit(0)) > 0
+    marked_ = F.coalesce(F.size(_marks(column)), F.lit(0)) > 0
     some = texts.filter(marked_).join(of, ["scope", "id"], "left").withColumn("revealed", _revealed(column, "values")).drop("values")
     return some.unionByName(texts.filter(~marked_).withColumn("revealed", F.col(column)))
 

@@ -62,15 +62,24 @@ def names_in_documents(spark: SparkSession, d: str) -> DataFrame:
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
     docs = shared.spread(_t(spark, d, "documents").filter("doc_id is not null").select("doc_id", "source", "text"))
     scanned = docs.select(F.coalesce("source", F.lit("")).alias("scope"), F.col("doc_id").cast("long").alias("id"), "text", scanner.scanner()("text").alias("spans"))
-    return shared.written(scanned, "scanned")  # read five times, scanned once
+    return shared.written(scanned, "scanned")  # read several times, scanned once
+
+
+def _kept(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts with their spans, the values found and the vault, each computed once."""
+    texts = _scanned(spark, d)
+    found = shared.written(vault.found_values(texts), "found")
+    return texts, found, shared.written(vault.vault_of(found), "vault")
+
+
+def _marked(texts: DataFrame, found: DataFrame, kept: DataFrame) -> DataFrame:
+    return shared.written(vault.marked(texts, found, kept).select("scope", "id", "marked"), "marked")  # read three times
 
 
 def vault_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Texts marked by source and revealed again; what comes back is the text, but for values that first stood in other forms."""
-    texts = _scanned(spark, d)
-    found = vault.found_values(texts)
-    kept = vault.vault_of(found)
-    back = vault.revealed(vault.marked(texts, found, kept), kept)
+    texts, found, kept = _kept(spark, d)
+    back = vault.revealed(_marked(texts, found, kept), kept)
     plain = F.regexp_replace(F.lower(F.coalesce("revealed", F.lit(""))), "[^\\p{L}\\p{N}]", "")
     return back.select(F.col("id").alias("doc_id"), F.md5(plain).alias("letters_md5"))
 
@@ -83,9 +92,7 @@ FROM documents WHERE doc_id IS NOT NULL
 
 def vault_marks(spark: SparkSession, d: str) -> DataFrame:
     """How many marks of each word every source has, and how many of a text's marks its vault doesn't hold: none."""
-    texts = _scanned(spark, d)
-    found = vault.found_values(texts)
-    kept = vault.vault_of(found)
+    texts, found, kept = _kept(spark, d)
     lost = vault.unknown(vault.marked(texts, found, kept), kept).groupBy("scope").agg(F.count("*").alias("lost"))
     counted = kept.groupBy("scope", "word").agg(F.count("*").alias("marks"), F.max(F.regexp_extract("mark", "[0-9]+", 0).cast("long")).alias("last"))
     return counted.join(lost, "scope", "left").withColumn("lost", F.coalesce("lost", F.lit(0)))

@@ -122,6 +122,22 @@ def test_known_values_longest_first_against_brute_force():
         assert vault.places_of(text, values) == sorted(want)
 
 
+def test_texts_get_only_the_values_whose_words_they_hold(spark):
+    """Before, a text got every value that begins with one of its words, such as all phones of one city."""
+    draw = random.Random(3)
+    phones = [f"55 {n:04d} {n % 7:04d}" for n in range(300)]
+    values = [*phones, "_ana@x.mx", "+52 (55) 0001", "Óscar de la Luz y de la Paz y de la O", "ana"]
+    rows = [("a", i, " ".join(draw.choice([*values, "55", "ana_", "oscar", "0001"]) for _ in range(draw.randrange(6)))) for i in range(60)] + [("b", 1, phones[0]), ("a", 99, None)]
+    texts = spark.createDataFrame(rows, "scope string, id long, text string")
+    kept = spark.createDataFrame([("a", f"[M_{n}]", v) for n, v in enumerate(values)], "scope string, mark string, value string")
+    got = {(r.scope, r.id): {k.value for k in r.known} for r in vault._known(texts, kept).collect()}
+    for scope, i, text in rows:
+        want = {v for v in values if scope == "a" and text and vault.places_of(text, [v])}
+        assert want <= got.get((scope, i), set())
+        assert all(" ".join(vault.words_of(v)) in " ".join(vault.words_of(text or "") if len(text or "") < 20 else re.findall(r"[^\W_]+", fold(text))) for v in got.get((scope, i), set()))
+    assert sum(map(len, got.values())) < 300
+
+
 def test_passages(spark, tmp_path):
     text = "Para pedir la licencia\nde construcción hay que llenar el formato azul y llevarlo a la ventanilla número tres del palacio antes del lunes"
     rows = [("f1", 1, "Guía", "obras", False, 1, 0, text), ("f2", 1, "Guía", "obras", False, 2, 1, "licencias y más licencias"), ("f3", 2, "Oculto", "obras", True, 1, 0, "licencia"), ("f4", 3, "Otro", "salud", False, 1, 0, "licencia"), ("f5", 4, "Nulo", "obras", None, 1, 0, "licencia"), ("f6", 5, "Vacío", "obras", False, 1, 0, None)]
