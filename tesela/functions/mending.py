@@ -109,12 +109,14 @@ def balance_word(balance: Column) -> Column:
     return F.when(balance < 0, "deficit").when(balance == 0, "even").when(balance > 0, "surplus")
 
 
-def snapshots(taken: DataFrame, figures: list[str], balance: str) -> DataFrame:
+def snapshots(taken: DataFrame, figures: list[str], balance: str, number: str | None = None) -> DataFrame:
     """id, month, taken_at and figures_json of ``taken`` (id, at, ...): the last of each month, its figures as JSON in order.
 
-    The balance is in it as a word.  A later one of a month takes the place of those before; nothing is sorted.
+    The balance is in it as a word.  A later one of a month takes the place of those before; nothing is sorted.  Of several
+    taken at one moment the one of the lowest ``number`` (a column of numbers) stays, as none of the others is later.
     """
     told = F.to_json(F.struct(*[F.col(f) for f in figures], balance_word(F.col(balance)).alias("balance")), {"ignoreNullFields": "false"})
-    rows = taken.select("id", F.date_format("at", "yyyy-MM").alias("month"), "at", told.alias("json"))
-    last = rows.groupBy("id", "month").agg(F.max(F.struct("at", "json")).alias("x"))
+    first = -F.col(number) if number else F.lit(0)
+    rows = taken.select("id", F.date_format("at", "yyyy-MM").alias("month"), "at", first.alias("first"), told.alias("json"))
+    last = rows.groupBy("id", "month").agg(F.max(F.struct("at", "first", "json")).alias("x"))
     return last.select("id", "month", F.col("x.at").alias("taken_at"), F.col("x.json").alias("figures_json"))

@@ -51,7 +51,7 @@ def monthly_snapshots(spark: SparkSession, d: str) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderdate is not null")
     k = F.col("o_orderkey")
     taken = o.select((F.col("o_custkey") % 20).alias("id"), (F.col("o_orderdate") + F.expr("make_interval(0, 0, 0, 0, 0, 0, 1) * (o_orderkey % 80000)")).alias("at"), k.alias("people"), F.when(k % 3 > 0, k % 7).alias("waiting"), ((k % 5) - 2).alias("balance_mxn"))
-    out = mending.snapshots(taken, ["people", "waiting"], "balance_mxn")
+    out = mending.snapshots(taken, ["people", "waiting"], "balance_mxn", "people")
     return out.select("id", "month", "figures_json")
 
 

@@ -64,3 +64,18 @@ def test_ranges_and_snapshots(spark):
     taken = spark.createDataFrame(rows, "id string, at string, people int, balance int").withColumn("at", F.col("at").cast("timestamp"))
     got = {(r.id, r.month): r.figures_json for r in mending.snapshots(taken, ["people"], "balance").collect()}
     assert got == {("a", "2024-01"): '{"people":null,"balance":"even"}', ("a", "2024-02"): '{"people":3,"balance":null}', ("b", "2024-01"): '{"people":4,"balance":"surplus"}'}
+
+
+def test_snapshots_of_one_moment(spark, tmp_path):
+    """Before, the JSON of the largest text stayed, whatever the numbers: 9 of 9, 80009 and 160009."""
+    import duckdb
+
+    from tesela.plans.mending import MONTHLY_SNAPSHOTS_SQL, monthly_snapshots
+
+    rows = [(k + 80000 * copy, 7, k) for copy in range(3) for k in (9, 10, 11)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, day int").select("o_orderkey", "o_custkey", F.lit("2024-01-05").cast("timestamp").alias("o_orderdate"))
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.execute(MONTHLY_SNAPSHOTS_SQL).fetchall()
+    assert [tuple(r) for r in monthly_snapshots(spark, str(tmp_path)).collect()] == want == [(7, "2024-01", '{"people":11,"waiting":4,"balance":"deficit"}')]
