@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from tesela.llm.rules import FEATURES, calibrate, fit, grow, op1, quality_rules, statistics
+from tesela.llm.rules import FEATURES, calibrate, fit, grow, judged, measured, op1, quality_rules, statistics
 from tesela.llm.textkit import slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -68,3 +68,14 @@ def test_forest_isolates_outliers_and_calibration_bounds_the_loss():
     limit = calibrate(scores, np.ones(2000, bool), 0.01)
     assert 0 < (scores > limit).mean() <= 0.01
     assert calibrate(np.zeros(0), np.zeros(0, bool), 0.1) == 1.0
+
+
+def test_the_limit_is_that_of_all_labelled_rows(spark):
+    """Before, it came from at most 6000 labelled rows."""
+    words = ["uno", "dos", "TRES", "cuatro;", "cinco", "#"]
+    docs = spark.createDataFrame([(i, " ".join(words[(i * k + k * k // 7) % 6] + str(k) for k in range(21 + i % 40))) for i in range(6500)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 5 > 0) as quality")
+    rows = measured(docs)
+    forest = fit(docs, labels, trees=20, sample=64, most_lost=0.01)
+    got = [(r.doc_id, r.anomaly) for r in judged(rows, forest).filter("doc_id % 5 > 0 and not base_failed").collect()]
+    assert len(got) > 5000 and forest.limit == calibrate(np.array([s for _, s in got]), np.ones(len(got), bool), 0.01)
