@@ -20,6 +20,36 @@ def test_scanner_gates(spark):
     assert found(spark, None) == [] and found(spark, "") == []
 
 
+def test_matches_lie_where_the_shapes_find_them():
+    """Runs against every shape over the whole text, with what stands around identifiers and joins them."""
+    import random
+    import re
+
+    draw, shapes = random.Random(11), {k: re.compile(p, re.ASCII) for k, p in scanner.PATTERNS.items()}
+    bits = ["PEGA800101HDFRRS09", "PEGA800101AB3", "ABC801231XY1", "ABCDEF80010112H123", "55 1234 5678", "(55)1234-5678", "+52 55 1234 5678", "A.B@C.MX", "ANA@CORREO.EXAMPLE.", "@", "002010077777777779", "4539 1488 0343 6467", "12345678901", "7"]
+    joints = ["", "", " ", "-", "_", "&", "Ñ", "ß", ".", "+", "(", "\n", "X", "1", "@", "\u0301"]
+    for _ in range(4000):
+        raw = "".join(draw.choice(bits if draw.random() < 0.5 else joints) for _ in range(draw.randrange(9)))
+        t = scanner.fold(raw)[0]
+        want = sorted((k, m.span()) for k, s in shapes.items() for m in s.finditer(t))
+        assert sorted((k, m.span()) for k, m in scanner.matches(t, shapes)) == want, t
+        assert not want or scanner.likely(raw), raw
+
+
+def test_check_digits_by_hand():
+    for n in range(3000):
+        d = f"{n * 7919 * 104729:018d}"[-18:]
+        assert scanner._luhn(d) == (sum(sum(divmod(int(c) << (i & 1), 10)) for i, c in enumerate(reversed(d))) % 10 == 0)
+        assert scanner._clabe(d) == ((10 - sum(int(c) * (3, 7, 1)[i % 3] % 10 for i, c in enumerate(d[:17])) % 10) % 10 == int(d[17]))
+
+
+def test_records_of_one_row_group_are_dealt_over_the_cores(spark, sf):
+    """Before, customers of a few bytes a row were one task's work whatever their number."""
+    from tesela.plans.registers import people
+
+    assert people(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_scanner_places_in_folded_text(spark):
     text = "Señora Ñuño, ß, tel 55 1234 5678; correo Ana@Correo.example"
     assert found(spark, text) == [("55 1234 5678", "phone", "warn"), ("Ana@Correo.example", "email", "warn")]
