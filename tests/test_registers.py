@@ -36,6 +36,17 @@ def test_matches_lie_where_the_shapes_find_them():
         assert not want or scanner.likely(raw), raw
 
 
+def test_only_texts_that_may_hold_an_identifier_are_folded(spark):
+    """Before, one digit was enough; digits apart by marks or blanks count, since folding and cards join them."""
+    apart = "4\u0301539 1488-0343\u0301 6467"
+    texts = [apart, "nss 1\u03012345678903", "año 2024, página 12 de 345", "corto", "a@b.mx", "1.234.567", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.t for r in df.select("i", scanner.sought(F.col("text")).alias("t")).collect()}
+    assert got == {0: "4539 1488-0343 6467", 1: "NSS 12345678903", 2: "", 3: "", 4: "A@B.MX", 5: "1.234.567", 6: "", 7: ""}
+    told = {(r.kind, r.severity): (r.documents, r.findings) for r in scanner.counts(df).collect()}
+    assert len(told) == 9 and {k for k, v in told.items() if v != (0, 0)} == {("card", "block"), ("nss", "block"), ("email", "warn")}
+
+
 def test_check_digits_by_hand():
     for n in range(3000):
         d = f"{n * 7919 * 104729:018d}"[-18:]
