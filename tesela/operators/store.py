@@ -49,13 +49,12 @@ def texts_of(tables: dict[str, DataFrame]) -> DataFrame:
 def scanned(tables: dict[str, DataFrame]) -> DataFrame:
     """table, column, texts, findings and texts_with: identifiers of people that nobody may clear, counted, never shown.
 
-    Only a text with a digit or an at sign is folded and looked at; counts are added up map-side, one row a column.
+    Only a text that may hold an identifier is folded and looked at; counts are added up map-side, one row a column.
     """
     rows = texts_of(tables)
-    folded = F.when(F.col("text").rlike(scanner.POSSIBLE.pattern), scanner.folded(F.col("text"))).otherwise("")
     t = F.col("t")
-    found = sum((F.size(scanner.gated(t, k)) for k in sorted(scanner.BLOCKING)), F.size(F.filter(scanner.gated(t, "curp"), scanner.curp_check)))
-    counted = rows.select("table", "column", folded.alias("t")).select("table", "column", found.alias("n"))
+    found = scanner.sized(t, *(scanner.gated(t, k) for k in sorted(scanner.BLOCKING)), F.filter(scanner.gated(t, "curp"), scanner.curp_check))
+    counted = rows.select("table", "column", scanner.sought(F.col("text")).alias("t")).select("table", "column", found.alias("n"))
     return counted.groupBy("table", "column").agg(F.count("*").alias("texts"), F.sum("n").alias("findings"), F.count_if(F.col("n") > 0).alias("texts_with"))
 
 
