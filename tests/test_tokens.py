@@ -3,9 +3,11 @@
 import datetime
 import random
 
+import pyarrow as pa
 import pytest
 
 from tesela.functions import tokens
+from tesela.functions.arrow import each
 from tesela.functions.tokens import MONTHS, Day, Tokens
 
 UNITS = ["uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve"]
@@ -127,3 +129,33 @@ def test_shares_times_and_counts():
     assert [tokens.percent(t) for t in ("mínima del 30%", "el 12.5 por ciento", "treinta por ciento", "el 130%", "treinta y cinco porciento", "1,000%", "por mucho", "nada %")] == [30.0, 12.5, 30.0, None, 35.0, None, None, None]
     assert [tokens.duration(t) for t in ("hasta 12 meses", "por un año", "dos años", "quince días hábiles", "1.5 años", "0 días, 5 semanas", "treinta y un días", "nada", "3 mesas")] == [(12.0, "months"), (1.0, "years"), (2.0, "years"), (15.0, "days"), (1.5, "years"), (5.0, "weeks"), (31.0, "days"), None, None]
     assert [tokens.whole(t) for t in ("30 puntos", "1,000 puntos", "tres", "ninguno", "1,00 y 2", "mil")] == [30, 1000, 3, None, 1, 1000]
+
+
+def test_whole_numbers_against_a_walk_over_tokens():
+    def walked(text):
+        t = Tokens(text)
+        i = next((i for i in range(len(t)) if t.digits(i)), None)
+        if i is None:
+            return next((tokens.NUMBERS.get(w, 1000) for w in t.text.split() if w in tokens.NUMBERS or w == "mil"), None)
+        digits, j = t.word[i], i + 1
+        while len(t.word[i]) <= 3 and t.at(j) == "," and t.glued(j) and t.glued(j + 1) and t.digits(j + 1, 3, 3):
+            digits, j = digits + t.word[j + 1], j + 2
+        return int(digits)
+
+    draw = random.Random(8)
+    for _ in range(5000):
+        text = "".join(draw.choice(["1", "250", "1,250", ",000", ",", " ", ".", "a", "_", "tres ", "Mil ", "x" * 3, "9" * 98, "٣", "é"]) for _ in range(draw.randrange(9)))
+        assert tokens.whole(text) == walked(text), text
+
+
+def test_each_different_short_text_is_read_once():
+    """Before, equal texts of a batch were read again and again."""
+    seen = []
+    read = lambda t: seen.append(t) or (None if t is None else [t, t.upper()])
+    column = pa.array(["a", None, "b", "a", "a", None, "b", "a"] * 100)
+    want = [None if t is None else [t, t.upper()] for t in column.to_pylist()]
+    got = each(read, pa.list_(pa.string()), column)
+    assert got.to_pylist() == want and got.type == pa.list_(pa.string()) and sorted(map(str, seen)) == ["None", "a", "b"]
+    for few in ([], ["a"], ["a", "b"], ["x" * 1000] * 3):
+        assert each(read, pa.list_(pa.string()), pa.array(few, pa.string())).to_pylist() == [[t, t.upper()] for t in few]
+    assert each(lambda a, b: a + b, pa.int64(), pa.array([1, 1]), pa.array([2, 3])).to_pylist() == [3, 4]
