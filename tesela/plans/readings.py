@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tesela.functions import readings
 from tesela.operators import kinds, provenance, records, registers
-from tesela.sources.shared import spread
+from tesela.sources.shared import dealt, spread
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -43,7 +43,8 @@ def dates_in_texts(spark: SparkSession, d: str) -> DataFrame:
     figure, month, year = F.dayofmonth(day), _pick(readings.MONTHS, F.month(day) - 1), F.year(day)
     spelled = F.concat_ws(" ", F.lit("a los"), _pick(_UNITS, figure % 9), F.lit("días del mes de"), month, F.lit("de dos mil"), _pick(_UNITS, k % 9))
     text = F.concat(F.format_string("El %d de %s de %d; 31/02/%d, %d/%d/%d. Ante mí, ", figure, month, year, year, figure, F.month(day), year), spelled, F.lit(" y nada más."))
-    return spread(_t(spark, d, "orders").select("o_orderkey", "o_orderdate")).select(F.explode(readings.dates_in(text)).alias("day")).groupBy("day").agg(F.count("*").alias("times"))
+    texts = _t(spark, d, "orders").groupBy(text.alias("text")).agg(F.count("*").alias("n"))  # each different text is read once
+    return texts.select(F.explode(readings.dates_in("text")).alias("day"), "n").groupBy("day").agg(F.sum("n").alias("times"))
 
 
 DATES_IN_TEXTS_SQL = """
@@ -78,7 +79,7 @@ def spans_and_shares(spark: SparkSession, d: str) -> DataFrame:
     time = F.concat_ws(" ", F.lit("un plazo de"), F.when(k % 2 == 0, (k % 30).cast("string")).otherwise(_pick(_UNITS, k % 9)), _pick(["años", "meses", "semanas", "días"], k % 4))
     part = F.when(k % 3 == 0, F.format_string("el %d %% del total", k % 150)).otherwise(F.concat(_pick(_TENS, k % 7), F.lit(" y "), _pick(_UNITS, k % 9), F.lit(" por ciento")))
     items = F.when(k % 2 == 0, F.format_string("%,d puntos", k * 7)).otherwise(F.concat(F.lit("son "), _pick(_TENS, k % 7)))
-    told = spread(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber")).select(readings.duration(time).alias("t"), readings.percent(part).alias("percent"), readings.whole(items).alias("n"))
+    told = dealt(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber").select(readings.duration(time).alias("t"), readings.percent(part).alias("percent"), readings.whole(items).alias("n"))
     return told.groupBy(F.col("t.unit").alias("unit"), F.col("percent").cast("long").alias("percent")).agg(F.count("*").alias("texts"), F.sum("t.value").cast("long").alias("time"), F.sum("n").alias("whole"))
 
 

@@ -111,3 +111,11 @@ def test_positions_and_admissions(spark):
 def test_age_bands(spark, kind, ages, want):
     df = spark.createDataFrame([(i, a) for i, a in enumerate(ages)], "i int, a int")
     assert [r.b for r in df.select("i", registers.age_band(kind, F.col("a")).alias("b")).orderBy("i").collect()] == want
+
+
+def test_equal_texts_of_days_are_put_together_before_they_are_read(spark, sf):
+    """Before, each order's text was read, though few differ."""
+    from tesela.plans import QUERIES
+
+    plan = QUERIES["dates_in_texts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.rindex("Aggregate")
