@@ -50,36 +50,39 @@ def decided(ledger: DataFrame, changes: DataFrame, protected: frozenset[str] = f
     - then ``invalid``, and ``nothing_to_change`` when every value is held already;
     - else it is ``applied`` at the next version.  Values of protected fields are held but stay out of history.
 
-    A change repeated in a batch counts once; a null entity or seq is left out; entities begin at version 0 with nothing held.
+    A change repeated in a batch, under one seq and entity, counts once; a null entity or seq is left out; entities begin at version 0 with nothing held.
     """
-    told = changes.filter("entity is not null and seq is not null").dropDuplicates(["seq", "change"])
-    told = told.withColumn("fingerprint", fingerprint(F.col("entity"), F.col("base_version"), F.col("values")))
+    told = changes.filter("entity is not null and seq is not null").withColumn("fingerprint", fingerprint(F.col("entity"), F.col("base_version"), F.col("values")))
+    told = told.withColumn("approved", F.coalesce(F.col("approved") == F.col("fingerprint"), F.lit(True)))
     state = current(ledger).select("entity", F.col("version").alias("now"), "held")
     done = ledger.select(F.col("entity").alias("_entity"), F.col("fingerprint").alias("_print"), F.col("version").alias("done"))
     joined = told.join(state, "entity", "left").join(done, (F.col("entity") == F.col("_entity")) & (F.col("fingerprint") == F.col("_print")), "left").drop("_entity", "_print")
 
     def start(row: dict) -> dict:
-        return {"version": row["now"] or 0, "held": dict(row["held"] or []), "done": {}}
+        return {"version": row["now"] or 0, "held": dict(row["held"] or []), "done": {}, "last": None}
 
-    def step(state: dict, row: dict) -> dict:
-        out = {k: row[k] for k in ("change", "fingerprint", "entity", "fact", "origin", "at")} | {"version": None, "held": None, "fields": None}
-        before = row["done"] or state["done"].get(row["fingerprint"])
+    def step(state: dict, row: dict) -> dict | None:
+        last, state["last"] = state["last"], (row["seq"], row["change"])
+        if last == state["last"]:
+            return None
+        before = row["done"] or state["done"].get(row["_print"])
         if before:
-            return out | {"outcome": ALREADY, "version": before}
-        if (row["approved"] is not None and row["approved"] != row["fingerprint"]) or row["base_version"] != state["version"]:
-            return out | {"outcome": STALE}
+            return {"outcome": ALREADY, "version": before}
+        if not row["approved"] or row["base_version"] != state["version"]:
+            return {"outcome": STALE}
         if not row["valid"]:
-            return out | {"outcome": INVALID}
+            return {"outcome": INVALID}
         moved = {f: v for f, v in row["values"] or [] if state["held"].get(f) != v}
         if not moved:
-            return out | {"outcome": NOTHING}
+            return {"outcome": NOTHING}
         fields = [{"field": f, "before": None if f in protected else state["held"].get(f), "after": None if f in protected else v, "protected": f in protected} for f, v in sorted(moved.items())]
         state["version"] += 1
         state["held"].update(moved)
-        state["done"][row["fingerprint"]] = state["version"]
-        return out | {"outcome": APPLIED, "version": state["version"], "held": sorted(state["held"].items()), "fields": fields}
+        state["done"][row["_print"]] = state["version"]
+        return {"outcome": APPLIED, "version": state["version"], "held": sorted(state["held"].items()), "fields": fields}
 
-    return folded(joined, ["entity"], ["seq", "change"], start, step, _OUT)
+    seen = joined.select("seq", "change", "entity", "base_version", "values", "approved", "valid", "fact", "origin", "at", "fingerprint", "now", "held", "done", F.col("fingerprint").alias("_print"))
+    return folded(seen, ["entity"], ["seq", "change"], start, step, _OUT, ["change", "entity", "fingerprint", "fact", "origin", "at"], ["now", "held"])
 
 
 def apply_batch(spark: SparkSession, path: str, batch: str, changes: DataFrame, protected: frozenset[str] = frozenset()) -> None:

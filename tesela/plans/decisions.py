@@ -97,7 +97,7 @@ CHANGES_DECIDED_SQL = _FOLDED_CHANGES + "SELECT 'chg' || id AS change, o AS outc
 def ledger_after_replays(spark: SparkSession, d: str) -> DataFrame:
     """What entities hold when a batch is applied twice under one name and once more under another: as after once."""
     path = shared.place(spark, "ledger")
-    batch = _changes(spark, d)
+    batch = shared.written(_changes(spark, d), "changes")  # read twice
     for name in ("batch=1", "batch=1", "batch=2"):
         changes.apply_batch(spark, path, name, batch, frozenset(["secret"]))
     ledger = changes.read_ledger(spark, path)

@@ -96,6 +96,23 @@ def test_fold_keeps_null_keys_together(spark):
     assert got == [("", [1]), ("", [1, 2]), ("", [1, 2, 3]), ("a", [1])]
 
 
+def test_fold_carries_columns_and_reads_first_ones_once(spark):
+    """Before, every column of every event became a Python value."""
+    rows = [("a", i, f"x{i}", "s" if i else "begin") for i in range(40)] + [("b", 1, None, "other")]
+    df = spark.createDataFrame(rows, "k string, n int, carry string, head string")
+
+    def step(state, row):
+        assert set(row) == {"k", "n"}
+        return {"was": state} if row["n"] % 2 else None
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(tuple(r) for r in folded(df, ["k"], ["n"], lambda r: r["head"], step, "carry string, k string, was string", ["carry", "k"], ["head"]).collect() if r.carry)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted((f"x{i}", "a", "begin") for i in range(1, 40, 2))
+
+
 CHANGE = "seq long, change string, entity string, base_version long, values map<string,string>, approved string, valid boolean, fact string, origin string, at timestamp"
 
 
