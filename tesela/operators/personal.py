@@ -71,9 +71,13 @@ def findings(text: pd.Series) -> pd.Series:
     return text.map(scan, na_action=None)
 
 
+def redacted(text: str, spans: str) -> Column:
+    """The text with ``[KIND]`` in place of each span; only texts with spans are sent to Python."""
+    return F.coalesce(_cut(F.when(F.size(spans) > 0, F.col(text)), F.col(spans)), F.col(text))
+
+
 @F.arrow_udf(StringType())
-def redacted(text: pa.Array, spans: pa.Array) -> pa.Array:
-    """The text with ``[KIND]`` in place of each span."""
+def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
 
     def cut(t: str | None, found) -> str | None:
         if t is None or found is None:

@@ -151,3 +151,12 @@ def test_stream_equals_table(spark, sf, tmp_path):
     query.awaitTermination(120)
     want = {tuple(r) for r in windowed_usage(table, "1 day").collect()}
     assert {tuple(r) for r in spark.table("usage").collect()} == want
+
+
+def test_texts_without_findings_are_not_sent_to_be_cut(spark):
+    """Before, every text went to a second Python process, whether or not there was something to cut."""
+    span = "array<struct<start:int,end:int,kind:string>>"
+    rows = [("ab cd", [(0, 2, "nss")]), ("x", []), ("y", None), (None, []), ("", [])]
+    df = spark.createDataFrame(rows, f"text string, s {span}").select("text", personal.redacted("text", "s").alias("r"))
+    assert [r.r for r in df.collect()] == ["[NSS] cd", "x", "y", None, ""]
+    assert "CASE WHEN (size(s" in df._jdf.queryExecution().analyzed().toString()
