@@ -41,7 +41,8 @@ MOST_WORDS = 8
 SALTS = 16
 
 _SAID = "|".join(w.replace("TELEFONO", "TEL[EÉ]FONO").replace("_", "[ _]") for w in dict.fromkeys(WORDS.values()))
-MARK = rf"\[\s*(?:{_SAID})[ _-]?[0-9]{{1,3}}\s*\]|\b(?:{_SAID})_[0-9]{{1,3}}\b"
+# Numbers of any length: a scope of all texts of a source has thousands of values of a kind, all of which come back.
+MARK = rf"\[\s*(?:{_SAID})[ _-]?[0-9]+\s*\]|\b(?:{_SAID})_[0-9]+\b"
 _MARK = re.compile(MARK, re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+")
 

@@ -105,6 +105,21 @@ def test_marks_and_back(spark):
     assert vault.legend(kept).count() == 5 and vault.vault_of(vault.found_values(texts.limit(0))).count() == 0
 
 
+def test_marks_beyond_a_thousand_come_back(spark):
+    """Before, marks were read with three digits at most, so the values from the thousandth of a kind and scope on never came back."""
+    said = [f"p{n:04d}@ejemplo.mx" for n in range(1203)]
+    rows = [("a", i, "; ".join(said[at : at + 40])) for i, at in enumerate(range(0, len(said), 40))] + [("a", 99, f"otra vez {said[1100]} y {said[7]}")]
+    texts = errands(spark, rows)
+    found = vault.found_values(texts)
+    kept = vault.vault_of(found)
+    marked = vault.marked(texts, found, kept)
+    assert {(r.scope, r.id): r.revealed for r in vault.revealed(marked, kept).collect()} == {(s, i): t for s, i, t in rows}
+    assert [r.marked for r in marked.filter("id = 99").collect()] == ["otra vez [CORREO_1101] y [CORREO_8]"]
+    answers = spark.createDataFrame([("a", 1, "[Correo 1203], CORREO_01203, CORREO_20000 y [CORREO_1204]")], "scope string, id long, marked string")
+    assert [r.revealed for r in vault.revealed(answers, kept).collect()] == [f"{said[1202]}, {said[1202]}, CORREO_20000 y [CORREO_1204]"]
+    assert sorted(r.mark for r in vault.unknown(answers, kept).collect()) == ["[CORREO_1204]", "[CORREO_20000]"]
+
+
 def test_known_values_longest_first_against_brute_force():
     draw = random.Random(9)
     for _ in range(300):
