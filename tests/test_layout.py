@@ -135,3 +135,27 @@ def test_letters_and_lines_of_a_page_meet(spark, sf):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert all(r.ruled == (r.page % 2 == 0) for r in got) and len(got) == 8
+
+
+def test_pages_read_together_are_as_read_alone(spark):
+    """Pages of all kinds in one batch, some empty: each gives what it gives alone."""
+    draw = random.Random(8)
+    pages = []
+    for doc in range(60):
+        rows, columns = draw.randrange(0, 7), draw.randrange(1, 5)
+        said = [(60 + 100 * c, 120 + draw.choice([25, 12]) * r, "".join(draw.choice("ab ñ3") for _ in range(draw.randrange(0, 9))), draw.choice(["across"] * 9 + ["up"])) for r in range(rows) for c in range(columns)]
+        drawn = frame([55 + 100 * c for c in range(columns + 1)], [105 + 25 * r for r in range(rows + 1)]) if draw.random() < 0.6 else []
+        pages.append((doc, 1, letters(*said), drawn[: len(drawn) - draw.randrange(2)]))
+    table = [(d, p, [tuple(map(float, v[:4])) + ((t, {0: "across", 1: "up"}[int(w)])) for *v, t, w in zip(s.x, s.end, s.y, s.size, s.text, s.direction, strict=True)] or None, [(bool(x), *map(float, v)) for x, *v in n] or None) for d, p, s, n in pages]
+    got = {r.doc: [tuple(x) for x in r.rows] for r in layout.read_pages(spark.createDataFrame(table, layout.PAGES).coalesce(1)).collect()}
+    want = {d: rows_of(s, lines(*n)) for d, _, s, n in pages}
+    assert got == {d: rows for d, rows in want.items() if rows} and len({ruled for rows in got.values() for ruled, _ in rows}) == 2
+
+
+def test_letters_of_pages_are_not_shuffled(spark, sf):
+    """Before, each letter and line was a row that was dealt and sorted (109 s on sf0.1); now line items alone are dealt."""
+    from tesela.plans.layout import table_rows
+
+    plan = table_rows(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert plan.index("Exchange") > plan.index("MapInArrow") and "letters" not in plan[plan.index("Exchange") :]
