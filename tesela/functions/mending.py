@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -109,14 +109,15 @@ def balance_word(balance: Column) -> Column:
     return F.when(balance < 0, "deficit").when(balance == 0, "even").when(balance > 0, "surplus")
 
 
-def snapshots(taken: DataFrame, figures: list[str], balance: str, number: str | None = None) -> DataFrame:
+def snapshots(taken: DataFrame, figures: list[str], balance: str, order: list[Column] | None = None) -> DataFrame:
     """id, month, taken_at and figures_json of ``taken`` (id, at, ...): the last of each month, its figures as JSON in order.
 
-    The balance is in it as a word.  A later one of a month takes the place of those before; nothing is sorted.  Of several
-    taken at one moment the one of the lowest ``number`` (a column of numbers) stays, as none of the others is later.
+    The balance is in it as a word.  A later one of a month takes the place of those before.  Of several taken at one moment
+    the first by ``order`` stays, as none of the others is later.  Each task keeps one of a month before they are brought
+    together, so a hot one is no task's work.
     """
     told = F.to_json(F.struct(*[F.col(f) for f in figures], balance_word(F.col(balance)).alias("balance")), {"ignoreNullFields": "false"})
-    first = -F.col(number) if number else F.lit(0)
-    rows = taken.select("id", F.date_format("at", "yyyy-MM").alias("month"), "at", first.alias("first"), told.alias("json"))
-    last = rows.groupBy("id", "month").agg(F.max(F.struct("at", "first", "json")).alias("x"))
-    return last.select("id", "month", F.col("x.at").alias("taken_at"), F.col("x.json").alias("figures_json"))
+    first = [c.alias(f"_{i}") for i, c in enumerate(order or [])]
+    rows = taken.select("id", F.date_format("at", "yyyy-MM").alias("month"), F.col("at").alias("taken_at"), told.alias("figures_json"), *first)
+    newest = Window.partitionBy("id", "month").orderBy(F.desc("taken_at"), *[f"_{i}" for i in range(len(first))], F.desc("figures_json"))
+    return rows.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").select("id", "month", "taken_at", "figures_json")

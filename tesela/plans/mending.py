@@ -48,10 +48,11 @@ SELECT id, (SELECT CASE WHEN count(DISTINCT name) = 1 THEN min(name) END FROM c
 
 
 def monthly_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    o = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderdate is not null")
+    """The last order of a month as its figures; of several at one moment the first in the table stays."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("*", "_metadata.file_path", "_metadata.row_index").filter("o_orderdate is not null")
     k = F.col("o_orderkey")
-    taken = o.select((F.col("o_custkey") % 20).alias("id"), (F.col("o_orderdate") + F.expr("make_interval(0, 0, 0, 0, 0, 0, 1) * (o_orderkey % 80000)")).alias("at"), k.alias("people"), F.when(k % 3 > 0, k % 7).alias("waiting"), ((k % 5) - 2).alias("balance_mxn"))
-    out = mending.snapshots(taken, ["people", "waiting"], "balance_mxn", "people")
+    taken = o.select((F.col("o_custkey") % 20).alias("id"), (F.col("o_orderdate") + F.expr("make_interval(0, 0, 0, 0, 0, 0, 1) * (o_orderkey % 80000)")).alias("at"), k.alias("people"), F.when(k % 3 > 0, k % 7).alias("waiting"), ((k % 5) - 2).alias("balance_mxn"), "file_path", "row_index")
+    out = mending.snapshots(taken, ["people", "waiting"], "balance_mxn", [F.col("file_path"), F.col("row_index")])
     return out.select("id", "month", "figures_json")
 
 

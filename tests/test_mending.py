@@ -79,3 +79,17 @@ def test_snapshots_of_one_moment(spark, tmp_path):
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     want = con.execute(MONTHLY_SNAPSHOTS_SQL).fetchall()
     assert [tuple(r) for r in monthly_snapshots(spark, str(tmp_path)).collect()] == want == [(7, "2024-01", '{"people":11,"waiting":4,"balance":"deficit"}')]
+
+
+def test_snapshots_of_one_moment_in_the_order_of_the_table(spark, tmp_path):
+    """Before, the lowest number stayed, 2001; the SQL over one row group of Parquet gives the first, whatever its number."""
+    import duckdb
+
+    from tesela.plans.mending import MONTHLY_SNAPSHOTS_SQL, monthly_snapshots
+
+    con = duckdb.connect()
+    keys = "(VALUES (0, 162001), (1, 2001), (2, 82001), (3, 1999), (4, 242001)) v(n, k)"
+    con.execute(f"COPY (SELECT k AS o_orderkey, 7 AS o_custkey, TIMESTAMP '2024-01-05' AS o_orderdate FROM {keys} ORDER BY n) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    want = con.execute(MONTHLY_SNAPSHOTS_SQL).fetchall()
+    assert [tuple(r) for r in monthly_snapshots(spark, str(tmp_path)).collect()] == want == [(7, "2024-01", '{"people":162001,"waiting":0,"balance":"deficit"}')]
